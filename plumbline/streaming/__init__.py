@@ -1,0 +1,5 @@
+"""Empty on purpose: the job this library does is batch only.
+
+Scoring, tree Shapley values, surrogates and the noise columns are row-local, so
+they hold on a streaming DataFrame as they are; nothing stateful is needed.
+"""
