@@ -40,48 +40,47 @@ def _zero_metrics(df: DataFrame) -> DataFrame:
     )
 
 
+def usable_classes(matrix: DataFrame, label: str = LABEL) -> bool:
+    """Whether two classes have at least two rows each; one count per class is read."""
+    sizes = matrix.groupBy(label).count().where(F.col("count") > 1).count()
+    return sizes >= 2
+
+
+def split_matrix(
+    matrix: DataFrame, ratio: float = 0.8, seed: int = 42, label: str = LABEL, key: str = KEY
+) -> DataFrame:
+    """The matrix with ``is_train``, written once for the passes of fitting and scoring."""
+    return materialize(with_stratified_split(matrix, ratio, seed, key, label), "explanation-matrix")
+
+
 def train_and_evaluate(
-    matrix: DataFrame,
-    features: list[str],
-    kind: str = "logistic",
-    ratio: float = 0.8,
-    seed: int = 42,
-    label: str = LABEL,
-    key: str = KEY,
+    split: DataFrame, features: list[str], kind: str = "logistic", label: str = LABEL
 ) -> tuple[DataFrame, DataFrame | None]:
-    """``(metric, value)`` on the held-out part, and coefficient importance for ``logistic``.
+    """``(metric, value)`` on the held-out part of ``split_matrix``, and coefficient
+    importance for ``logistic``.
 
-    With fewer than two usable classes (none with two rows) all metrics are 0.
+    With fewer than two usable classes all metrics are 0.
     """
-    sizes = matrix.groupBy(label).count().collect()
-    if len(sizes) < 2 or any(r["count"] < 2 for r in sizes):
-        return _zero_metrics(matrix), None
-    split = with_stratified_split(matrix, ratio, seed, key, label)
-    model = fit_simple_model(split.where("is_train").drop("is_train"), features, kind, label)
-    scored = score_model(model, split.where("NOT is_train"))
-    importance = coefficient_importance(model, matrix) if kind == "logistic" else None
+    if not usable_classes(split, label):
+        return _zero_metrics(split), None
+    model = fit_simple_model(split.where("is_train"), features, kind, label)
+    scored = score_model(model, split.where("NOT is_train")).select(label, "p", "prediction")
+    importance = coefficient_importance(model, split) if kind == "logistic" else None
     return positive_class_metrics(scored, label=label), importance
 
 
 def analyze_discriminative_power(
     matrix: DataFrame, features: list[str], seed: int = 42, label: str = LABEL, key: str = KEY
 ) -> dict[str, DataFrame]:
-    """``metrics`` rows ``(model, metric, value)`` of both models, and ``importance``.
-
-    The matrix is written once: four training and scoring passes read it.
-    """
-    matrix = materialize(matrix, "explanation-matrix")
-    parts, importance = [], None
+    """``metrics`` rows ``(model, metric, value)`` of both models, and ``importance``."""
+    split = split_matrix(matrix, seed=seed, label=label, key=key)
+    parts, out = [], {}
     for name, kind in MODELS.items():
-        metrics, coefficients = train_and_evaluate(
-            matrix, features, kind, seed=seed, label=label, key=key
-        )
+        metrics, coefficients = train_and_evaluate(split, features, kind, label)
         parts.append(metrics.select(F.lit(name).alias("model"), "metric", "value"))
-        importance = importance if coefficients is None else coefficients
-    out = {"metrics": reduce(DataFrame.unionByName, parts)}
-    if importance is not None:
-        out["importance"] = importance
-    return out
+        if coefficients is not None:
+            out["importance"] = coefficients
+    return {"metrics": reduce(DataFrame.unionByName, parts), **out}
 
 
 def compare_models(metrics: DataFrame) -> DataFrame:

@@ -210,11 +210,13 @@ def with_decision(scored: DataFrame, threshold: float = 0.8) -> DataFrame:
 
 
 def with_balanced_weight(df: DataFrame, label: str = LABEL, to: str = "weight") -> DataFrame:
-    """Row weight ``n / (2 n_class)``; one row per class is broadcast back."""
-    counts = df.groupBy(label).agg(F.count("*").alias("__c"))
-    totals = df.agg(F.count("*").alias("__n")).first()["__n"]
-    weights = counts.select(label, (F.lit(float(totals)) / (2.0 * F.col("__c"))).alias(to))
-    return df.join(F.broadcast(weights), label)
+    """Row weight ``n / (2 n_class)``; one count per class reaches the driver."""
+    sizes = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}
+    total = float(sum(sizes.values()))
+    weight = F.lit(None).cast("double")
+    for value, n in sizes.items():
+        weight = F.when(F.col(label) == value, F.lit(total / (2.0 * n))).otherwise(weight)
+    return df.withColumn(to, weight)
 
 
 def fit_simple_model(
@@ -224,18 +226,16 @@ def fit_simple_model(
 
     ``regParam = 1 / n`` is an L2 penalty with unit strength on the summed loss.
     """
-    weighted = with_balanced_weight(train, label)
     assembler = VectorAssembler(inputCols=features, outputCol="features")
     if kind == "logistic":
-        n = train.count()
         learner = LogisticRegression(
-            labelCol=label, weightCol="weight", standardization=False, regParam=1.0 / n
+            labelCol=label, weightCol="weight", standardization=False, regParam=1.0 / train.count()
         )
     elif kind == "tree":
         learner = DecisionTreeClassifier(labelCol=label, weightCol="weight", maxDepth=3, seed=42)
     else:
         raise ValueError(f"unknown model: {kind}; use 'logistic' or 'tree'")
-    return Pipeline(stages=[assembler, learner]).fit(weighted)
+    return Pipeline(stages=[assembler, learner]).fit(with_balanced_weight(train, label))
 
 
 def score_model(model: PipelineModel, df: DataFrame) -> DataFrame:

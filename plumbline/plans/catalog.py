@@ -387,7 +387,7 @@ def join_feature_stats(spark, sf_dir):
     table = transactions(spark, sf_dir)
     stats = F.broadcast(profiling.feature_stats(table, FEATURES))
     values = unpivot_columns(table, FEATURES, ["id"], "feature")
-    return rounded(values.join(stats, "feature").select("id", "feature", "value", "mean", "median"), 4)
+    return rounded(values.join(stats, "feature").select("id", "feature", "value", "mean", "median"))
 
 
 @query
@@ -623,14 +623,14 @@ def balanced_weights(spark, sf_dir):
 
 @query
 def logistic_on_features(spark, sf_dir):
-    metrics_rows, _ = discriminate.train_and_evaluate(transactions(spark, sf_dir), FEATURES, "logistic")
-    return rounded(metrics_rows)
+    split = discriminate.split_matrix(transactions(spark, sf_dir))
+    return rounded(discriminate.train_and_evaluate(split, FEATURES, "logistic")[0])
 
 
 @query
 def shallow_tree(spark, sf_dir):
-    metrics_rows, _ = discriminate.train_and_evaluate(transactions(spark, sf_dir), FEATURES, "tree")
-    return rounded(metrics_rows)
+    split = discriminate.split_matrix(transactions(spark, sf_dir))
+    return rounded(discriminate.train_and_evaluate(split, FEATURES, "tree")[0])
 
 
 @query
@@ -826,11 +826,29 @@ def lime_fidelity(spark, sf_dir):
 # --- stability --------------------------------------------------------------------------
 
 
+def _by_copy(long: DataFrame, value: str) -> DataFrame:
+    """Four figures per noisy copy that depend on every entry and its position."""
+    v = F.col(value)
+    return rounded(
+        long.groupBy("id", "rep").agg(
+            F.sum(v).alias("total"),
+            F.sum(v * F.col("feature_pos")).alias("weighted"),
+            F.min(v).alias("least"),
+            F.max(v).alias("most"),
+        )
+    )
+
+
 def _noise(spark, sf_dir, strategy):
     linear = Linear(spark, sf_dir)
-    rows = stability.perturb_noise(linear.rows, linear.stats["std"], strategy=strategy)
-    long = unpivot_array(rows, "x", FEATURES, ["id", "rep"], "value")
-    return rounded(long.select("id", "rep", "feature_pos", "value"))
+    stds = linear.stats["std"]
+    rows = stability.perturb_noise(
+        linear.rows.withColumn("before", F.col("x")), stds, strategy=strategy
+    )
+    shift = F.zip_with("x", "before", lambda a, b: a - b)
+    scaled = F.zip_with(shift, literal_array(stds), lambda d, s: d / s)
+    long = unpivot_array(rows.withColumn("shift", scaled), "shift", FEATURES, ["id", "rep"], "shift")
+    return _by_copy(long, "shift")
 
 
 @query
@@ -851,7 +869,7 @@ def relative_noise(spark, sf_dir):
 @query
 def explain_noisy_copies(spark, sf_dir):
     rows = unpivot_array(Linear(spark, sf_dir).pairs(), "phi", FEATURES, ["id", "rep"], "phi")
-    return rounded(rows.select("id", "rep", "feature_pos", "phi"))
+    return _by_copy(rows, "phi")
 
 
 @query
@@ -908,7 +926,7 @@ def explanation_matrix(spark, sf_dir):
 def train_on_explanations(spark, sf_dir):
     _, explained = Boosted(spark, sf_dir).shap()
     matrix = discriminate.explanation_matrix(explained, FEATURES)
-    return rounded(discriminate.train_and_evaluate(matrix, FEATURES)[0])
+    return rounded(discriminate.train_and_evaluate(discriminate.split_matrix(matrix), FEATURES)[0])
 
 
 @query

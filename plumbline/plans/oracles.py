@@ -393,7 +393,7 @@ def build() -> dict[str, str]:
     sql["join_labels"] = _with([LINEAR], f"SELECT id, Class, {wide} FROM phi GROUP BY id, Class")
     sql["explanation_matrix"] = _with([LINEAR], f"SELECT id, {wide} FROM phi GROUP BY id")
     sql["join_feature_stats"] = _with(
-        [LINEAR], f"SELECT id, feature, {rounded_columns(['value', 'mean', 'median'], 4)} FROM phi"
+        [LINEAR], f"SELECT id, feature, {rounded_columns(['value', 'mean', 'median'])} FROM phi"
     )
     sql["align_explanations"] = _with(
         [LINEAR, PAIRS],
@@ -583,15 +583,18 @@ def build() -> dict[str, str]:
         [LINEAR, RANKED, CURVE], f"SELECT k, {r('avg(loss)', 'loss')}, count(*) AS n FROM curve GROUP BY k"
     )
 
-    noisy = "SELECT id, rep, feature_pos, {} FROM {} JOIN phi USING (id, feature_pos)"
-    sql["gaussian_noise"] = _with([LINEAR, NOISE], noisy.format(r("value + 0.01 * std * g", "value"), "noise"))
-    sql["uniform_noise"] = _with(
-        [LINEAR, NOISE, FLAT], noisy.format(r("value + 0.01 * std * (u - 0.5) * sqrt(12)", "value"), "flat")
-    )
+    def by_copy(value: str, source: str) -> str:
+        return (
+            f"SELECT id, rep, {r('sum(v)', 'total')}, {r('sum(v * feature_pos)', 'weighted')}, "
+            f"{r('min(v)', 'least')}, {r('max(v)', 'most')} FROM (SELECT *, {value} AS v FROM {source}) GROUP BY id, rep"
+        )
+
+    sql["gaussian_noise"] = _with([LINEAR, NOISE], by_copy("0.01 * g", "noise"))
+    sql["uniform_noise"] = _with([LINEAR, NOISE, FLAT], by_copy("0.01 * (u - 0.5) * sqrt(12)", "flat"))
     sql["relative_noise"] = _with(
-        [LINEAR, NOISE], noisy.format(r("value + 0.01 * abs(value) * g", "value"), "noise")
+        [LINEAR, NOISE], by_copy("0.01 * abs(value) * g / std", "noise JOIN phi USING (id, feature_pos)")
     )
-    sql["explain_noisy_copies"] = _with([LINEAR, PAIRS], f"SELECT id, rep, feature_pos, {r('phi_copy', 'phi')} FROM pairs")
+    sql["explain_noisy_copies"] = _with([LINEAR, PAIRS], by_copy("phi_copy", "pairs"))
     jaccards = rounded_columns(["jaccard_5", "jaccard_10", "jaccard_20"])
     similar = [LINEAR, PAIRS, SIMILAR]
     sql["cosine_similarity"] = _with(similar, f"SELECT id, rep, {r('cosine', 'cosine')} FROM similar_pairs")
