@@ -191,7 +191,7 @@ def replacement_values(strategy: str, stats: dict[str, list[float]]) -> Column |
     if strategy == "random":
         return None
     if strategy == "zero":
-        return literal_array([0.0] * len(stats["mean"]))
+        return literal_array([0.0] * max(len(v) for v in stats.values()))
     return literal_array(stats[strategy])
 
 

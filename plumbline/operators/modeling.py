@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from plumbline.functions.arrays import KEY, LABEL
 from plumbline.functions.guards import sigmoid
-from plumbline.operators.profiling import describe, feature_stats
+from plumbline.operators.profiling import describe, quartiles
 from plumbline.operators.sampling import with_fold
 from plumbline.operators.trees import Ensemble, ensemble_margins
 from plumbline.sources.shared import shared_dir
@@ -124,10 +124,18 @@ class GBTScorer(TreeScorer):
         )
 
 
-def stat_vectors(df: DataFrame, features: list[str]) -> dict[str, list[float]]:
+def stat_vectors(
+    df: DataFrame, features: list[str], names: tuple[str, ...] = ("mean", "median", "std")
+) -> dict[str, list[float]]:
     """Means, medians and deviations in feature order: one row per feature on the driver."""
-    rows = {r["feature"]: r for r in feature_stats(df, features).collect()}
-    return {k: [rows[f][k] for f in features] for k in ("mean", "median", "std")}
+    out = {}
+    if "mean" in names or "std" in names:
+        rows = {r["column"]: r for r in describe(df, features).collect()}
+        out = {"mean": [rows[f]["mean"] for f in features], "std": [rows[f]["stddev"] for f in features]}
+    if "median" in names:
+        medians = {r["column"]: r["quantile"] for r in quartiles(df, features, (0.5,)).collect()}
+        out["median"] = [medians[f] for f in features]
+    return {n: out[n] for n in names}
 
 
 def booster_pipeline(features: list[str], label: str = LABEL, **params) -> Pipeline:

@@ -9,7 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import DoubleType, FloatType, StructType
+from pyspark.sql.types import DoubleType, FloatType, IntegralType, StructType
 
 from plumbline.functions.arrays import (
     KEY,
@@ -107,16 +107,37 @@ def _text_rows(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(F.inline(entries))
 
 
+def _typed_cells(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``(column, f, i, s)``: each cell in the slot of its kind, so no number is printed as text."""
+
+    def cell(c: str) -> Column:
+        kind, value = df.schema[c].dataType, F.col(f"`{c}`")
+        floating = isinstance(kind, (DoubleType, FloatType))
+        whole = isinstance(kind, IntegralType)
+        slot = [
+            value.cast("double") if floating else F.lit(None).cast("double"),
+            value.cast("bigint") if whole else F.lit(None).cast("bigint"),
+            F.lit(None).cast("string") if floating or whole else value.cast("string"),
+        ]
+        return F.struct(F.lit(c).alias("column"), *[v.alias(n) for v, n in zip(slot, "fis")])
+
+    return df.select(F.inline(F.array(*[cell(c) for c in columns])))
+
+
 def distinct_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """``(column, n_distinct)``, exact; null is no value, NaN is one.
 
-    Pairs are grouped before they are counted: every value is shuffled once per
+    Cells are grouped before they are counted: every value is shuffled once per
     map task however often it occurs, and no row is expanded into a separate
     aggregate for each column.
     """
-    columns = columns or df.columns
-    pairs = _text_rows(df, columns).groupBy("column", "value").agg(F.lit(1).alias("one"))
-    return pairs.groupBy("column").agg(F.count("value").alias("n_distinct"))
+    cells = _typed_cells(df, columns or df.columns).groupBy("column", "f", "i", "s")
+    known = F.col("f").isNotNull() | F.col("i").isNotNull() | F.col("s").isNotNull()
+    return (
+        cells.agg(F.lit(1).alias("one"))
+        .groupBy("column")
+        .agg(F.count_if(known).alias("n_distinct"))
+    )
 
 
 def approx_distinct_counts(
@@ -127,7 +148,7 @@ def approx_distinct_counts(
     wide = df.agg(
         *[
             F.hll_sketch_estimate(
-                F.hll_sketch_agg(F.col(f"`{c}`").cast("string"), log_buckets)
+                F.hll_sketch_agg(F.when(F.col(f"`{c}`").isNotNull(), F.xxhash64(f"`{c}`")), log_buckets)
             ).alias(f"n{i}")
             for i, c in enumerate(columns)
         ]

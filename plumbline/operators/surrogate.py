@@ -7,7 +7,7 @@ weights come out. Draws are a hash of (seed, row key, sample, feature).
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -102,12 +102,12 @@ class Sampler:
         bits = _mix(start[:, None, None] + (counter + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
         u = (bits >> np.uint64(32)).astype(np.float64) / 2.0**32
         v = (bits & np.uint64(0xFFFFFFFF)).astype(np.float64) / 2.0**32 * (GRID - 1)
-        chosen = (u[..., None] >= self.shares).sum(axis=-1)
-        feature = np.arange(width)
+        chosen = sum((u >= self.shares[:, k]).astype(np.int64) for k in range(3))
         cell = v.astype(np.int64)
-        lower = self.values[feature, chosen, cell]
-        upper = self.values[feature, chosen, cell + 1]
-        return chosen, lower + (upper - lower) * (v - cell)
+        at = (np.arange(width) * 4 + chosen) * GRID + cell
+        table = self.values.ravel()
+        lower = table.take(at)
+        return chosen, lower + (table.take(at + 1) - lower) * (v - cell)
 
 
 def fit_sampler(df: DataFrame, features: list[str]) -> Sampler:
@@ -162,7 +162,7 @@ class Lime:
     kernel_width: float | None = None
     select_alpha: float = 0.01
     fit_alpha: float = 1.0
-    rows_at_once: int = field(default=8192)
+    rows_at_once: int = 2048
 
     @classmethod
     def fit(cls, df: DataFrame, features: list[str], scorer, **settings) -> Lime:

@@ -56,40 +56,41 @@ class Ensemble:
         return total
 
     def margin_arrays(self):
-        """Flat node arrays ``(feature, threshold, left, right, value, roots, depth)``.
+        """Flat node arrays ``(feature, threshold, children, value, roots, depth)``.
 
-        Leaves point at themselves, so every row takes the same number of steps.
+        ``children`` holds the left and the right child of node ``i`` at ``2 i``
+        and ``2 i + 1``. Leaves point at themselves, so every row takes the same
+        number of steps.
         """
         position = {f: i for i, f in enumerate(self.features)}
         trees = self.by_tree()
         index = {(t, n): i for i, (t, n) in enumerate((t, n) for t in trees for n in trees[t])}
         size = len(index)
-        feature, threshold = np.zeros(size, np.int64), np.full(size, np.inf)
-        left, right, value = np.arange(size), np.arange(size), np.zeros(size)
+        feature, threshold, value = np.zeros(size, np.int64), np.full(size, np.inf), np.zeros(size)
+        children = np.repeat(np.arange(size), 2)
         for (t, n), i in index.items():
             _, weight, _, name, cut, lo, hi, _, leaf = trees[t][n]
             if lo < 0:
                 value[i] = self.scale * weight * leaf
             else:
                 feature[i], threshold[i] = position[name], cut
-                left[i], right[i] = index[t, lo], index[t, hi]
+                children[2 * i], children[2 * i + 1] = index[t, lo], index[t, hi]
 
         def depth(tree, n):
             lo, hi = tree[n][5], tree[n][6]
             return 0 if lo < 0 else 1 + max(depth(tree, lo), depth(tree, hi))
 
         roots = np.array([index[t, 0] for t in trees])
-        return feature, threshold, left, right, value, roots, max(
-            depth(tree, 0) for tree in trees.values()
-        )
+        deepest = max(depth(tree, 0) for tree in trees.values())
+        return feature, threshold, children, value, roots, deepest
 
 
 def ensemble_margins(arrays, x: np.ndarray) -> np.ndarray:
     """Margins of the rows of ``x``; all trees step down together."""
-    feature, threshold, left, right, value, roots, depth = arrays
-    at = np.broadcast_to(roots, (x.shape[0], roots.size))
-    rows = np.arange(x.shape[0])[:, None]
+    feature, threshold, children, value, roots, depth = arrays
+    flat, start = x.ravel(), (np.arange(x.shape[0]) * x.shape[1])[:, None]
+    at = np.repeat(roots[None, :], x.shape[0], axis=0)
     for _ in range(depth):
-        at = np.where(x[rows, feature[at]] <= threshold[at], left[at], right[at])
-    return value[at].sum(axis=1)
-
+        right = flat.take(start + feature.take(at)) > threshold.take(at)
+        at = children.take(2 * at + right)
+    return value.take(at).sum(axis=1)

@@ -47,7 +47,7 @@ from plumbline.plans.standin import (
     transactions_dirty,
 )
 from plumbline.sources import models, tables
-from plumbline.sources.shared import fresh_path
+from plumbline.sources.shared import fresh_path, materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -72,15 +72,18 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     )
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """A joined table written once for queries that read it several times."""
+    return materialize(spread(df), "stand-in")
+
+
 class Linear:
     """The stand-in rows with the fixed logistic scorer and its closed-form explanations."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.table = transactions(spark, sf_dir)
-        self.stats = modeling.stat_vectors(self.table, FEATURES)
-        self.scorer = LogisticScorer(
-            LOGISTIC_BIAS, LOGISTIC_WEIGHTS, self.stats["mean"], self.stats["std"]
-        )
+        self.table = stored(transactions(spark, sf_dir))
+        self.scorer = LogisticScorer.fit(self.table, FEATURES, LOGISTIC_BIAS, LOGISTIC_WEIGHTS)
+        self.stats = {"mean": self.scorer.means, "std": self.scorer.stds}
         self.explainer = LinearShap(self.scorer, FEATURES)
         self.rows = spread(vectorize(self.table, FEATURES))
 
@@ -95,6 +98,8 @@ class Linear:
         )
 
     def values(self, strategy: str):
+        if strategy == "median":
+            self.stats |= modeling.stat_vectors(self.table, FEATURES, ("median",))
         return fidelity.replacement_values(strategy, self.stats)
 
     def pairs(self, strategy: str = "gaussian") -> DataFrame:
@@ -110,7 +115,8 @@ def trained_path(spark: SparkSession, sf_dir: str) -> str:
     """The saved model of this session and data; trained by the first query that needs it."""
     slot = (spark.sparkContext.applicationId, sf_dir)
     if slot not in _MODELS:
-        _MODELS[slot] = report.trained_model_path(transactions(spark, sf_dir), FEATURES, **BOOSTER)
+        table = stored(transactions(spark, sf_dir))
+        _MODELS[slot] = report.trained_model_path(table, FEATURES, **BOOSTER)
     return _MODELS[slot]
 
 
@@ -120,9 +126,12 @@ class Boosted:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.path = trained_path(spark, sf_dir)
         self.scorer = report.load_scorer(spark, self.path)
-        self.table = transactions(spark, sf_dir)
+        self.table = stored(transactions(spark, sf_dir))
         self.rows = spread(vectorize(self.table, FEATURES))
 
+    def stats(self) -> dict[str, list[float]]:
+        return modeling.stat_vectors(self.table, FEATURES, ("mean", "std"))
+
     def shap(self) -> tuple[TreeShap, DataFrame]:
         explainer = TreeShap(self.scorer.ensemble)
         return explainer, self.scorer.score(explainer.explain(self.rows))
@@ -171,10 +180,10 @@ def persisted(spark, sf_dir):
 
 @query
 def model_round_trip(spark, sf_dir):
-    train = sampling.hash_split(transactions(spark, sf_dir))[0]
+    table = stored(transactions(spark, sf_dir))
+    train = sampling.hash_split(table)[0]
     model = modeling.fit_booster(train, FEATURES, maxIter=5, maxDepth=4)
     path = models.save_model(model, fresh_path(spark, "model"))
-    table = transactions(spark, sf_dir)
     before = modeling.score_model(model, table).withColumnRenamed("p", "p_before")
     both = modeling.score_model(
         models.load_model(path),
@@ -248,7 +257,7 @@ def duplicate_report(spark, sf_dir):
 
 @query
 def drop_constant_columns(spark, sf_dir):
-    return rounded(cleaning.drop_constant(transactions_dirty(spark, sf_dir)).drop("D"))
+    return rounded(cleaning.drop_constant(stored(transactions_dirty(spark, sf_dir))).drop("D"))
 
 
 @query
@@ -259,7 +268,7 @@ def cast_text_to_float(spark, sf_dir):
 
 @query
 def clean_table(spark, sf_dir):
-    table = cleaning.clean(transactions_dirty(spark, sf_dir)).drop("D")
+    table = cleaning.clean(stored(transactions_dirty(spark, sf_dir))).drop("D")
     text = [F.col(c).cast("double").alias(c) for c in ("T", "U", "S")]
     return rounded(table.select("id", *FEATURES, "Class", *text))
 
@@ -281,7 +290,7 @@ def prediction_label_pairs(spark, sf_dir):
 
 @query
 def column_profile(spark, sf_dir):
-    table = transactions_dirty(spark, sf_dir)
+    table = stored(transactions_dirty(spark, sf_dir))
     return profiling.column_profile(table).select("column", "pos", "type", "n_missing", "n_distinct")
 
 
@@ -297,7 +306,7 @@ def describe_columns(spark, sf_dir):
 
 @query
 def describe_with_quartiles(spark, sf_dir):
-    return rounded(profiling.describe_with_quartiles(transactions_dirty(spark, sf_dir)), 4)
+    return rounded(profiling.describe_with_quartiles(stored(transactions_dirty(spark, sf_dir))), 4)
 
 
 @query
@@ -317,7 +326,7 @@ def approx_distinct_counts(spark, sf_dir):
 
 @query
 def value_distribution(spark, sf_dir):
-    table = transactions_dirty(spark, sf_dir)
+    table = stored(transactions_dirty(spark, sf_dir))
     months = F.col("V23").cast("int").alias("V23")
     cents = F.round(F.col("V13") * 100).cast("int").alias("V13")
     return profiling.value_distribution(table.select("id", "Class", months, cents, "T", "U", "S"))
@@ -325,43 +334,43 @@ def value_distribution(spark, sf_dir):
 
 @query
 def correlation_matrix(spark, sf_dir):
-    return rounded(profiling.correlation_matrix(transactions(spark, sf_dir), FEATURES))
+    return rounded(profiling.correlation_matrix(stored(transactions(spark, sf_dir)), FEATURES))
 
 
 @query
 def pairwise_correlation(spark, sf_dir):
-    table = transactions_dirty(spark, sf_dir)
+    table = stored(transactions_dirty(spark, sf_dir))
     return rounded(profiling.pairwise_correlation(table, [*FEATURES, "K"]))
 
 
 @query
 def strong_correlations(spark, sf_dir):
-    return rounded(profiling.strong_correlations(transactions(spark, sf_dir), FEATURES, 0.5))
+    return rounded(profiling.strong_correlations(stored(transactions(spark, sf_dir)), FEATURES, 0.5))
 
 
 @query
 def histogram_by_class(spark, sf_dir):
-    return profiling.histogram_by_class(transactions(spark, sf_dir), FEATURES)
+    return profiling.histogram_by_class(stored(transactions(spark, sf_dir)), FEATURES)
 
 
 @query
 def box_by_class(spark, sf_dir):
-    return rounded(profiling.box_by_class(transactions(spark, sf_dir), FEATURES))
+    return rounded(profiling.box_by_class(stored(transactions(spark, sf_dir)), FEATURES))
 
 
 @query
 def outlier_counts(spark, sf_dir):
-    return profiling.outlier_counts(transactions(spark, sf_dir), FEATURES)
+    return profiling.outlier_counts(stored(transactions(spark, sf_dir)), FEATURES)
 
 
 @query
 def scatter_bins(spark, sf_dir):
-    return profiling.scatter_bins(transactions(spark, sf_dir), FEATURES)
+    return profiling.scatter_bins(stored(transactions(spark, sf_dir)), FEATURES)
 
 
 @query
 def feature_stats(spark, sf_dir):
-    return rounded(profiling.feature_stats(transactions(spark, sf_dir), FEATURES), 4)
+    return rounded(profiling.feature_stats(stored(transactions(spark, sf_dir)), FEATURES), 4)
 
 
 # --- joins ------------------------------------------------------------------------------
@@ -384,7 +393,7 @@ def join_labels(spark, sf_dir):
 
 @query
 def join_feature_stats(spark, sf_dir):
-    table = transactions(spark, sf_dir)
+    table = stored(transactions(spark, sf_dir))
     stats = F.broadcast(profiling.feature_stats(table, FEATURES))
     values = unpivot_columns(table, FEATURES, ["id"], "feature")
     return rounded(values.join(stats, "feature").select("id", "feature", "value", "mean", "median"))
@@ -487,7 +496,7 @@ def union_classes(spark, sf_dir):
 
 @query
 def stratified_split(spark, sf_dir):
-    table = transactions(spark, sf_dir).select("id", "Class")
+    table = stored(transactions(spark, sf_dir)).select("id", "Class")
     return sampling.with_stratified_split(table)
 
 
@@ -513,7 +522,7 @@ def booster_fit(spark, sf_dir):
 
 @query
 def cross_validation(spark, sf_dir):
-    train = sampling.hash_split(transactions(spark, sf_dir))[0]
+    train = sampling.hash_split(stored(transactions(spark, sf_dir)))[0]
     grid = {"max_depth": [2, 4], "learning_rate": [0.1]}
     model = modeling.tune_booster(train, FEATURES, grid, maxIter=3)
     settings = [
@@ -526,7 +535,7 @@ def cross_validation(spark, sf_dir):
 
 @query
 def early_stopping(spark, sf_dir):
-    marked = sampling.with_split(transactions(spark, sf_dir), 0.8, to="keep")
+    marked = sampling.with_split(stored(transactions(spark, sf_dir)), 0.8, to="keep")
     rows = marked.withColumn("is_validation", ~F.col("keep")).drop("keep")
     model = modeling.fit_with_early_stopping(rows, FEATURES, maxIter=20, maxDepth=3)
     scored = modeling.score_model(model, rows.where("is_validation"))
@@ -635,7 +644,7 @@ def shallow_tree(spark, sf_dir):
 
 @query
 def coefficient_importance(spark, sf_dir):
-    table = transactions(spark, sf_dir)
+    table = stored(transactions(spark, sf_dir))
     return rounded(modeling.coefficient_importance(modeling.fit_simple_model(table, FEATURES), table))
 
 
@@ -648,7 +657,7 @@ def _fixed_trees() -> Ensemble:
 
 @query
 def tree_shap_fixed(spark, sf_dir):
-    explained = TreeShap(_fixed_trees()).explain(spread(vectorize(transactions(spark, sf_dir), FEATURES)))
+    explained = TreeShap(_fixed_trees()).explain(vectorize(stored(transactions(spark, sf_dir)), FEATURES))
     phi = {f: F.col("phi")[FEATURES.index(f)].alias(f"phi_{f}") for f in ("V2", "V3", "V13")}
     others = [F.abs(F.col("phi")[j]) for j, f in enumerate(FEATURES) if f not in phi]
     return rounded(explained.select("id", *phi.values(), F.greatest(*others).alias("largest_other")))
@@ -692,7 +701,7 @@ def shap_summary(spark, sf_dir):
 
 @query
 def surrogate_bins(spark, sf_dir):
-    return rounded(surrogate.surrogate_bins(transactions(spark, sf_dir), FEATURES), 4)
+    return rounded(surrogate.surrogate_bins(stored(transactions(spark, sf_dir)), FEATURES), 4)
 
 
 @query
@@ -812,14 +821,14 @@ def mean_fidelity_curve(spark, sf_dir):
 @query
 def boosted_fidelity(spark, sf_dir):
     boosted = Boosted(spark, sf_dir)
-    stats = modeling.stat_vectors(boosted.table, FEATURES)
+    stats = boosted.stats()
     return rounded(fidelity.analyze_fidelity(boosted.shap()[1], boosted.scorer, stats))
 
 
 @query
 def lime_fidelity(spark, sf_dir):
     boosted = Boosted(spark, sf_dir)
-    stats = modeling.stat_vectors(boosted.table, FEATURES)
+    stats = boosted.stats()
     return rounded(fidelity.analyze_fidelity(boosted.lime()[1], boosted.scorer, stats))
 
 
@@ -901,7 +910,7 @@ def row_stability(spark, sf_dir):
 def boosted_stability(spark, sf_dir):
     boosted = Boosted(spark, sf_dir)
     explainer, explained = boosted.shap()
-    stds = modeling.stat_vectors(boosted.table, FEATURES)["std"]
+    stds = boosted.stats()["std"]
     return rounded(stability.analyze_stability(explained, explainer, stds))
 
 
@@ -909,7 +918,7 @@ def boosted_stability(spark, sf_dir):
 def lime_stability(spark, sf_dir):
     boosted = Boosted(spark, sf_dir)
     explainer, explained = boosted.lime()
-    stds = modeling.stat_vectors(boosted.table, FEATURES)["std"]
+    stds = boosted.stats()["std"]
     return rounded(stability.analyze_stability(explained, explainer, stds))
 
 
