@@ -56,7 +56,7 @@ class LogisticScorer:
         self.bias = float(bias)
         self.weights = [float(w) for w in weights]
         self.means = [float(m) for m in means]
-        self.stds = [float(s) for s in stds]
+        self.stds = [float(s) or 1.0 for s in stds]
 
     @classmethod
     def fit(cls, df: DataFrame, features: list[str], bias, weights) -> LogisticScorer:

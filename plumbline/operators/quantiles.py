@@ -1,9 +1,10 @@
 """Exact quantiles that never sort a whole column in one task.
 
 A sketch brackets each wanted rank; a second scan counts the rows below the
-bracket and groups the few values inside it; the rank is then read off the
-running counts. Values are grouped before the shuffle, so a value that fills a
-third of the table travels as one row per map task.
+bracket and groups the few values inside it. Those are cut into slices of about
+equally many distinct values, and only the slice that holds the rank is sorted.
+Values are grouped before the shuffle, so a value that fills a third of the
+table travels as one row per map task.
 """
 
 from __future__ import annotations
@@ -18,12 +19,13 @@ def exact_quantiles(
     probs: list[float],
     discrete: bool = False,
     accuracy: int = 10_000,
+    slices: int = 64,
 ) -> DataFrame:
     """Rows ``(by…, prob, n, quantile)``, one for each group and entry of ``probs``.
 
     Linear interpolation by default. ``discrete`` takes the value at rank
-    ``floor(prob * n)`` from 1 instead, or null where that rank is 0. Null and
-    NaN values are skipped. ``by`` must have few groups (columns, classes).
+    ``floor(prob * n)`` from 1 instead, with no row where that rank is 0. Null
+    and NaN values are skipped. ``by`` must have few groups (columns, classes).
 
     The sketch is within ``n / accuracy`` ranks, so brackets three times that
     wide hold the wanted ranks and at most ``8 n / accuracy`` rows each; up to
@@ -72,31 +74,50 @@ def exact_quantiles(
             )
         ),
     )
-    counts = placed.where("inside").groupBy(*by, "n", "k", "value").agg(F.count("*").alias("c"))
+    # The filter keeps ``c`` in every use below, so that they share one shuffle.
+    counts = (
+        placed.where("inside")
+        .groupBy(*by, "n", "k", "value")
+        .agg(F.count("*").alias("c"))
+        .where("c > 0")
+    )
 
-    running = Window.partitionBy(*by, "k").orderBy(F.col("value").asc_nulls_first())
-    prob = F.array(*[F.lit(float(p)) for p in probs])[F.col("k")]
-    target = (
-        F.floor(prob * F.col("n") + F.lit(1e-9)) - 1
-        if discrete
-        else (F.col("n") - 1) * prob
+    # Slice the bracketed values evenly; slice -1 stands for the rows below the bracket.
+    steps = [F.lit(i / slices) for i in range(1, slices)]
+    cuts = counts.groupBy(*by, "k").agg(
+        F.percentile_approx("value", F.array(*steps), 20 * slices).alias("cuts")
     )
-    ranked = (
-        counts.withColumn("upto", F.sum("c").over(running))
-        .withColumn("prob", prob)
-        .withColumn("target", target.cast("double"))
+    below = F.filter("cuts", lambda c: c < F.col("value"))
+    sliced = counts.join(F.broadcast(cuts), [*by, "k"]).withColumn(
+        "slice", F.when(F.col("value").isNull(), -1).otherwise(F.size(below))
     )
 
+    prob = F.array(*[F.lit(float(p)) for p in probs])[F.col("k")]
+    target = F.floor(prob * F.col("n") + F.lit(1e-9)) - 1 if discrete else (F.col("n") - 1) * prob
+    lower, upper = F.floor("target"), F.ceil("target")
+
     def holds(rank):
         return (F.col("upto") > rank) & (F.col("upto") - F.col("c") <= rank)
 
-    lower, upper = F.floor("target"), F.ceil("target")
+    totals = sliced.groupBy(*by, "n", "k", "slice").agg(F.sum("c").alias("c"))
+    running = F.sum("c").over(Window.partitionBy(*by, "k").orderBy("slice"))
+    wanted = (
+        totals.withColumn("upto", running)
+        .withColumn("prob", prob)
+        .withColumn("target", target.cast("double"))
+        .where(holds(lower) | holds(upper))
+        .select(*by, "k", "slice", "prob", "target", (F.col("upto") - F.col("c")).alias("before"))
+    )
+    inside = F.sum("c").over(Window.partitionBy(*by, "k", "slice").orderBy("value"))
+    ranked = sliced.join(F.broadcast(wanted), [*by, "k", "slice"]).withColumn(
+        "upto", inside + F.col("before")
+    )
     picked = ranked.groupBy(*by, "prob", "n", "target").agg(
         F.max(F.when(holds(lower), F.col("value"))).alias("v0"),
         F.max(F.when(holds(upper), F.col("value"))).alias("v1"),
     )
+    missed = F.col("v0").isNull() | F.col("v1").isNull()
     between = F.col("v0") + (F.col("v1") - F.col("v0")) * (F.col("target") - lower)
-    missed = (F.col("target") >= 0) & (F.col("v0").isNull() | F.col("v1").isNull())
     return picked.select(
         *by,
         "prob",

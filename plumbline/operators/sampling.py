@@ -48,11 +48,11 @@ def with_stratified_split(
     """
     hashed = df.withColumn("__h", hash_key(seed, F.col(key), "strata").cast("double"))
     cuts = exact_quantiles(hashed, [label], "__h", [ratio], discrete=True).select(
-        label, F.coalesce(F.col("quantile"), F.lit(-1.0)).alias("__cut")
+        label, F.col("quantile").alias("__cut")
     )
     return (
-        hashed.join(F.broadcast(cuts), label)
-        .withColumn(to, F.col("__h") <= F.col("__cut"))
+        hashed.join(F.broadcast(cuts), label, "left")
+        .withColumn(to, F.col("__h") <= F.coalesce("__cut", F.lit(-1.0)))
         .drop("__h", "__cut")
         .select(*df.columns, to)
     )

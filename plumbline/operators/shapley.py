@@ -93,8 +93,8 @@ def leaf_tables(ensemble: Ensemble) -> list[tuple]:
 
 
 def tree_values(tables: list[tuple], x: np.ndarray) -> np.ndarray:
-    """Shapley values of the rows of ``x``."""
-    columns = np.ascontiguousarray(x.T)
+    """Shapley values of the rows of ``x``; NaN goes right at every split, as when scoring."""
+    columns = np.ascontiguousarray(np.where(np.isnan(x), np.inf, x).T)
     phi = np.zeros(columns.shape)
     for value, features, lows, highs, kept, table in tables:
         if not len(features):

@@ -86,11 +86,11 @@ class Ensemble:
 
 
 def ensemble_margins(arrays, x: np.ndarray) -> np.ndarray:
-    """Margins of the rows of ``x``; all trees step down together."""
+    """Margins of the rows of ``x``; all trees step down together, NaN to the right."""
     feature, threshold, children, value, roots, depth = arrays
     flat, start = x.ravel(), (np.arange(x.shape[0]) * x.shape[1])[:, None]
     at = np.repeat(roots[None, :], x.shape[0], axis=0)
     for _ in range(depth):
-        right = flat.take(start + feature.take(at)) > threshold.take(at)
+        right = ~(flat.take(start + feature.take(at)) <= threshold.take(at))
         at = children.take(2 * at + right)
     return value.take(at).sum(axis=1)

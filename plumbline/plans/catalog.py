@@ -990,10 +990,19 @@ def metric_means(spark, sf_dir):
 
 @query
 def explanation_report(spark, sf_dir):
-    results = report.explain(transactions(spark, sf_dir), trained_path(spark, sf_dir), "shap")
+    table = stored(transactions(spark, sf_dir))
+    results = report.explain(table, trained_path(spark, sf_dir), "shap")
     return rounded(report.report_summary(results, "shap"))
 
 
+@query
+def lime_report(spark, sf_dir):
+    path = trained_path(spark, sf_dir)
+    table = stored(transactions(spark, sf_dir))
+    results = report.explain(table, path, "lime", n_samples=LIME_SAMPLES)
+    return rounded(report.report_summary(results, "lime"))
+
+
 @query
 def training_report(spark, sf_dir):
     results = report.train(transactions(spark, sf_dir), fresh_path(spark, "model"), maxIter=5, maxDepth=4)

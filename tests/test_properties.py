@@ -130,6 +130,19 @@ def test_fixed_trees_score_alike_as_columns_and_arrays(table):
     assert margins == pytest.approx(rows["margin"].to_numpy())
 
 
+def test_missing_values_take_the_same_branch_everywhere(spark):
+    ensemble = Ensemble(FIXED_TREES, FEATURES)
+    x = [[float("nan") if f in gone else 0.0 for f in FEATURES] for gone in ([], ["V13"], ["V2", "V13"], FEATURES)]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(x)], "id long, x array<double>")
+    scored = modeling.TreeScorer(ensemble).score(rows).orderBy("id").collect()
+    assert [r["margin"] for r in scored] == pytest.approx(
+        ensemble_margins(ensemble.margin_arrays(), np.array(x)).tolist()
+    )
+    explainer = TreeShap(ensemble)
+    phi = tree_values(explainer.tables, np.array(x))
+    assert (phi.sum(axis=1) + explainer.base).tolist() == pytest.approx([r["margin"] for r in scored])
+
+
 # --- surrogates -------------------------------------------------------------------------
 
 
