@@ -95,7 +95,8 @@ def get_explainer(method: str, df: DataFrame, features: list[str], scorer, **set
 
 
 def load_scorer(spark, path: str) -> modeling.GBTScorer:
-    return modeling.GBTScorer(load_model(path), load_ensemble(spark, path))
+    model = load_model(path)
+    return modeling.GBTScorer(model, load_ensemble(spark, path, model))
 
 
 def metric_means(rows: DataFrame, names: list[str]) -> DataFrame:

@@ -17,13 +17,13 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
-def model_nodes(spark: SparkSession, path: str) -> DataFrame:
+def model_nodes(spark: SparkSession, path: str, model: PipelineModel | None = None) -> DataFrame:
     """Tree nodes of a saved assembler + boosted-trees pipeline.
 
     ``(tree, weight, node, feature, threshold, left, right, cover, value)``;
     children are negative at a leaf, the cover is the training row count.
     """
-    model = load_model(path)
+    model = model or load_model(path)
     names = model.stages[0].getInputCols()
     stage = f"{path.rstrip('/')}/stages/1_{model.stages[1].uid}"
     weights = spark.read.parquet(f"{stage}/treesMetadata").select(
@@ -48,8 +48,8 @@ def model_nodes(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def load_ensemble(spark: SparkSession, path: str) -> Ensemble:
+def load_ensemble(spark: SparkSession, path: str, model: PipelineModel | None = None) -> Ensemble:
     """The node table on the driver; its size is set by the model, not by the data."""
-    features = list(load_model(path).stages[0].getInputCols())
-    nodes = [tuple(r) for r in model_nodes(spark, path).orderBy("tree", "node").collect()]
-    return Ensemble(nodes, features, scale=2.0)
+    model = model or load_model(path)
+    nodes = [tuple(r) for r in model_nodes(spark, path, model).collect()]
+    return Ensemble(sorted(nodes, key=lambda n: (n[0], n[2])), list(model.stages[0].getInputCols()), scale=2.0)
