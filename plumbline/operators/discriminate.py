@@ -65,7 +65,7 @@ def train_and_evaluate(
         return _zero_metrics(split), None
     model = fit_simple_model(split.where("is_train"), features, kind, label)
     scored = score_model(model, split.where("NOT is_train")).select(label, "p", "prediction")
-    importance = coefficient_importance(model, split) if kind == "logistic" else None
+    importance = coefficient_importance(model, split, features) if kind == "logistic" else None
     return positive_class_metrics(scored, label=label), importance
 
 

@@ -233,16 +233,24 @@ def fit_simple_model(
     """Balanced logistic regression, or a balanced tree of depth 3, on plain columns.
 
     ``regParam = 1 / n`` is an L2 penalty with unit strength on the summed loss.
+    Features with next to no variation (squared deviations summing to less than
+    1e-9) are left out of the regression: under that penalty they could move no
+    margin by more than about ``1e-9 sqrt(n)``, but the learner divides the penalty by
+    their variance and would stop at zero.
     """
-    assembler = VectorAssembler(inputCols=features, outputCol="features")
     if kind == "logistic":
+        rows = {r["column"]: r for r in describe(train, features).collect()}
+        total = {f: (rows[f]["n"] - 1) * (rows[f]["stddev"] or 0.0) ** 2 for f in rows}
+        features = [f for f in features if total.get(f, 0.0) > 1e-9] or features[:1]
+        penalty = 1.0 / max(r["n"] for r in rows.values())
         learner = LogisticRegression(
-            labelCol=label, weightCol="weight", standardization=False, regParam=1.0 / train.count()
+            labelCol=label, weightCol="weight", standardization=False, regParam=penalty
         )
     elif kind == "tree":
         learner = DecisionTreeClassifier(labelCol=label, weightCol="weight", maxDepth=3, seed=42)
     else:
         raise ValueError(f"unknown model: {kind}; use 'logistic' or 'tree'")
+    assembler = VectorAssembler(inputCols=features, outputCol="features")
     return Pipeline(stages=[assembler, learner]).fit(with_balanced_weight(train, label))
 
 
@@ -251,9 +259,11 @@ def score_model(model: PipelineModel, df: DataFrame) -> DataFrame:
     return model.transform(df).withColumn("p", vector_to_array("probability")[1])
 
 
-def coefficient_importance(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """``(feature, importance)``: absolute logistic coefficients, one row per feature."""
-    names = model.stages[0].getInputCols()
-    rows = [(f, abs(float(c))) for f, c in zip(names, model.stages[-1].coefficients)]
+def coefficient_importance(
+    model: PipelineModel, df: DataFrame, features: list[str]
+) -> DataFrame:
+    """``(feature, importance)``: absolute logistic coefficients, 0 for features left out."""
+    fitted = dict(zip(model.stages[0].getInputCols(), model.stages[-1].coefficients))
+    rows = [(f, abs(float(fitted.get(f, 0.0)))) for f in features]
     return df.sparkSession.createDataFrame(rows, "feature string, importance double")
 

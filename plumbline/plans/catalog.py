@@ -645,7 +645,7 @@ def shallow_tree(spark, sf_dir):
 @query
 def coefficient_importance(spark, sf_dir):
     table = stored(transactions(spark, sf_dir))
-    return rounded(modeling.coefficient_importance(modeling.fit_simple_model(table, FEATURES), table))
+    return rounded(modeling.coefficient_importance(modeling.fit_simple_model(table, FEATURES), table, FEATURES))
 
 
 # --- explanations -----------------------------------------------------------------------

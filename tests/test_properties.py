@@ -286,6 +286,16 @@ def test_explanations_beat_chance(table, scorer):
     assert found["recall"] > 0.8 and found["accuracy"] > 0.8
 
 
+def test_unused_features_do_not_spoil_the_regression(table, model_path, spark):
+    explained = TreeShap(load_ensemble(spark, model_path)).explain(vectorize(table, FEATURES))
+    matrix = discriminate.explanation_matrix(explained, FEATURES).withColumn("V7", F.lit(0.0))
+    rows, importance = discriminate.train_and_evaluate(discriminate.split_matrix(matrix), FEATURES)
+    found = {r["metric"]: r["value"] for r in rows.collect()}
+    assert found["f1_score"] > 0.9 and found["auc_pr"] > 0.9
+    weights = {r["feature"]: r["importance"] for r in importance.collect()}
+    assert len(weights) == 25 and weights["V7"] == 0 and min(weights["V2"], weights["V13"]) > 0.5
+
+
 def test_unknown_method_is_refused(table, scorer):
     with pytest.raises(ValueError):
         report.get_explainer("gradients", table, FEATURES, scorer)
