@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbline.llm import sharding, url_filter
+from plumbline.llm import packing, sharding, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 SHARDS = 40
+TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 RULES = [
     url_filter.Rule("allow", "com", "/"),
     url_filter.Rule("block", "example.com", "/en/"),
@@ -46,3 +48,10 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filter.judge(table(spark, sf_dir, "pages"), labels, RULES)
     bounds = [F.round(c, 6).alias(c) for c in ("good_share", "lower", "upper")]
     return judged.select("page_id", "host", "path", "rule", "verdict", *bounds)
+
+
+@query
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 2048 tokens; a checksum for the ids."""
+    pieces = packing.pack(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
