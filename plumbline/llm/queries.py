@@ -7,7 +7,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbline.llm import jaccard, packing, repeats, sharding, url_filter
+from plumbline.llm import (
+    embedding_dedup,
+    jaccard,
+    packing,
+    prefix_forest,
+    repeats,
+    sharding,
+    url_filter,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -70,3 +78,15 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents linked at a Jaccard of 0.9 on three-word shingles, as components."""
     return jaccard.jaccard_join(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+
+
+@query
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors, linked at a cosine of 0.95."""
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op8_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every twentieth vector among all others."""
+    return prefix_forest.nearest(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
