@@ -5,11 +5,12 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from plumbline.llm import (
     embedding_dedup,
     jaccard,
+    lm_scoring,
     packing,
     prefix_forest,
     repeats,
@@ -90,3 +91,16 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest of every twentieth vector among all others."""
     return prefix_forest.nearest(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
+
+
+def remainder(key: str, of: int) -> Column:
+    """crc32 of a key written as text, modulo ``of``; a null key counts as the empty text."""
+    return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % of
+
+
+@query
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a model of six sevenths of them."""
+    held_out = remainder("doc_id", 7) == 2
+    scored = lm_scoring.score(table(spark, sf_dir, "documents"), ~held_out)
+    return scored.withColumn("held_out", ~F.col("train")).drop("train")
