@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from plumbline.llm import (
     embedding_dedup,
     jaccard,
+    language_id,
     lm_scoring,
     packing,
     prefix_forest,
@@ -104,3 +105,13 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = remainder("doc_id", 7) == 2
     scored = lm_scoring.score(table(spark, sf_dir, "documents"), ~held_out)
     return scored.withColumn("held_out", ~F.col("train")).drop("train")
+
+
+@query
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by a network trained on two thirds of them."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = remainder("doc_id", 3) == 1
+    net = language_id.fit(docs, ~held_out)
+    labelled = language_id.label(docs.select("doc_id", "text"), net)
+    return labelled.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
