@@ -13,6 +13,7 @@ from plumbline.llm import (
     language_id,
     lm_scoring,
     packing,
+    piece_coding,
     prefix_forest,
     repeats,
     sharding,
@@ -115,3 +116,13 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     net = language_id.fit(docs, ~held_out)
     labelled = language_id.label(docs.select("doc_id", "text"), net)
     return labelled.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every document, and whether they decode to it (the space mark to a space)."""
+    model = f"{TOKENIZERS}/piece_bpe_32k.model"
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    coded = piece_coding.decode(piece_coding.encode(docs, model), model)
+    same = F.col("decoded") == F.replace("text", F.lit(piece_coding.MARK), F.lit(" "))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), same.alias("round_trip"))
