@@ -287,7 +287,7 @@ def fetch(length: int) -> Callable:
     return run
 
 
-def cut_out(length: int) -> Callable:
+def cut_out(length: int, whole_characters: bool) -> Callable:
     """Documents with their repeated strings to what is left of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,6 +301,9 @@ def cut_out(length: int) -> Callable:
                 stop = np.minimum(begin + n + length - 1, offsets[1:][owner])
                 depth = np.bincount(begin, minlength=len(flat) + 1) - np.bincount(stop, minlength=len(flat) + 1)
                 gone = np.cumsum(depth)[:-1] > 0
+                if whole_characters and len(flat):
+                    starts = np.flatnonzero((flat & 0xC0) != 0x80)
+                    gone = np.repeat(np.logical_and.reduceat(gone, starts), np.diff(np.append(starts, len(flat))))
                 before = np.concatenate([[0], np.cumsum(gone)])
                 opens, closes = gone.copy(), gone.copy()
                 opens[1:] &= ~gone[:-1]
@@ -357,14 +360,20 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, q: int = QGRAM) -> D
 
 
 def remove_repeats(
-    docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text", keep: list[str] | None = None
+    docs: DataFrame,
+    length: int = LENGTH,
+    key: str = "doc_id",
+    text: str = "text",
+    keep: list[str] | None = None,
+    whole_characters: bool = False,
 ) -> DataFrame:
     """Every document without the bytes of ``length``-byte strings that also start earlier.
 
     Earlier is in a document of smaller key, or before in the same one. Strings are
     judged on the input and may overlap. Columns: ``keep`` (the key by default),
     ``kept`` (binary), ``n_bytes``, ``n_removed`` and ``spans``, the maximal removed
-    runs. A null text counts as empty, a text shorter than ``length`` is left whole,
+    runs. With ``whole_characters`` a UTF-8 character stays unless all its bytes are
+    repeats, so that what is left is text. A null text counts as empty, a text shorter than ``length`` is left whole,
     a null key comes before all others. Rows that share a key are one document as
     far as order goes: none of them is earlier than the other, and what one loses is
     cut from the same places of the other. An empty table gives no rows. Only the
@@ -381,5 +390,5 @@ def remove_repeats(
     )
     kinds = ", ".join(f"_held{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
     spans = "array<struct<start:bigint,end:bigint>>"
-    out = joined.mapInArrow(cut_out(length), f"{kinds}, kept binary, n_bytes long, n_removed long, spans {spans}")
+    out = joined.mapInArrow(cut_out(length, whole_characters), f"{kinds}, kept binary, n_bytes long, n_removed long, spans {spans}")
     return out.withColumnsRenamed({f"_held{i}": c for i, c in enumerate(keep)})
