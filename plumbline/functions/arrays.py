@@ -69,10 +69,9 @@ def unpivot_columns(
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash the rows over ``spark.sql.shuffle.partitions`` tasks.
+    """Deal the rows evenly over tasks of a size that adaptive execution chooses.
 
-    For rows that are small to ship but costly to work on: adaptive execution
-    merges shuffle partitions by their size and would leave few tasks.
+    For rows read from few files but costly to work on. Large partitions are split
+    and small ones merged, down to the cluster's parallelism.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, *(keys or (KEY,)))
+    return df.hint("rebalance", *keys)

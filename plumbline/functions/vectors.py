@@ -77,46 +77,61 @@ def gaussian_matrix(first: np.ndarray, second: np.ndarray, width: int) -> np.nda
     return np.sqrt(-2.0 * np.log(u[:, 0::2])) * np.cos(2.0 * np.pi * u[:, 1::2])
 
 
+def moved(
+    values: np.ndarray, first: np.ndarray, second: np.ndarray, strategy: str, multiplier: float, stds: np.ndarray
+) -> np.ndarray:
+    """``values`` with seeded noise from two words a row."""
+    scale = multiplier * stds
+    if strategy == "uniform":
+        return values + scale * (uniform_matrix(first, second, len(scale)) - 0.5) * np.sqrt(12.0)
+    if strategy == "relative":
+        return values + multiplier * np.abs(values) * gaussian_matrix(first, second, len(scale))
+    return values + scale * gaussian_matrix(first, second, len(scale))
+
+
 def noise_function(strategy: str, multiplier: float, stds: list[float]):
     """Arrow function ``(x, word, word) -> x`` with seeded noise."""
-    scale = multiplier * np.asarray(stds, dtype=np.float64)
+    scale = np.asarray(stds, dtype=np.float64)
 
     @F.arrow_udf(ArrayType(DoubleType()))
-    def moved(x: pa.Array, first: pa.Array, second: pa.Array) -> pa.Array:
-        values, a, b = matrix_of(x), first.to_numpy(), second.to_numpy()
-        if strategy == "uniform":
-            noise = scale * (uniform_matrix(a, b, len(scale)) - 0.5) * np.sqrt(12.0)
-        elif strategy == "relative":
-            noise = multiplier * np.abs(values) * gaussian_matrix(a, b, len(scale))
-        else:
-            noise = scale * gaussian_matrix(a, b, len(scale))
-        return list_array(values + noise)
+    def noisy(x: pa.Array, first: pa.Array, second: pa.Array) -> pa.Array:
+        return list_array(moved(matrix_of(x), first.to_numpy(), second.to_numpy(), strategy, multiplier, scale))
 
-    return moved
+    return noisy
 
 
-def similarity_function(top_k: tuple[int, ...]):
-    """Arrow function ``(phi, phi) -> (cosine, jaccard_k…)``.
+def similarities(a: np.ndarray, b: np.ndarray, top_k: tuple[int, ...]) -> list[np.ndarray]:
+    """Cosine of the rows, and the Jaccard index of their top-k sets for each k.
 
     Absent features count as 0 in the cosine and as no member of a top-k set;
     0 where a vector has no length or both sets are empty.
     """
-    names = ["cosine", *[f"jaccard_{k}" for k in top_k]]
+    rank_a, rank_b = rank_matrix(a), rank_matrix(b)
+    a, b = np.nan_to_num(a), np.nan_to_num(b)
+    norms = np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1))
+    parts = [np.divide((a * b).sum(axis=1), norms, out=np.zeros(len(a)), where=norms > 0)]
+    for k in top_k:
+        in_a, in_b = (rank_a > 0) & (rank_a <= k), (rank_b > 0) & (rank_b <= k)
+        either = (in_a | in_b).sum(axis=1)
+        parts.append(np.divide((in_a & in_b).sum(axis=1), either, out=np.zeros(len(a)), where=either > 0))
+    return parts
+
+
+def similarity_names(top_k: tuple[int, ...]) -> list[str]:
+    return ["cosine", *[f"jaccard_{k}" for k in top_k]]
+
+
+def similarity_type(top_k: tuple[int, ...]) -> str:
+    return "struct<" + ",".join(f"{n}:double" for n in similarity_names(top_k)) + ">"
+
+
+def similarity_function(top_k: tuple[int, ...]):
+    """Arrow function ``(phi, phi) -> (cosine, jaccard_k…)``."""
 
-    @F.arrow_udf("struct<" + ",".join(f"{n}:double" for n in names) + ">")
+    @F.arrow_udf(similarity_type(top_k))
     def similarity(left: pa.Array, right: pa.Array) -> pa.Array:
-        a, b = matrix_of(left), matrix_of(right)
-        rank_a, rank_b = rank_matrix(a), rank_matrix(b)
-        a, b = np.nan_to_num(a), np.nan_to_num(b)
-        norms = np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1))
-        parts = [np.divide((a * b).sum(axis=1), norms, out=np.zeros(len(a)), where=norms > 0)]
-        for k in top_k:
-            in_a, in_b = (rank_a > 0) & (rank_a <= k), (rank_b > 0) & (rank_b <= k)
-            either = (in_a | in_b).sum(axis=1)
-            parts.append(
-                np.divide((in_a & in_b).sum(axis=1), either, out=np.zeros(len(a)), where=either > 0)
-            )
-        return pa.StructArray.from_arrays([pa.array(p) for p in parts], names)
+        parts = similarities(matrix_of(left), matrix_of(right), top_k)
+        return pa.StructArray.from_arrays([pa.array(p) for p in parts], similarity_names(top_k))
 
     return similarity
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, FloatType, IntegerType, LongType, StringType
 
+from plumbline.sources.shared import materialize
+
+# The types that are not cast.
 KEPT_NUMERIC = (IntegerType, LongType, FloatType, DoubleType)
 
 
@@ -69,9 +72,12 @@ def cast_text_to_float(df: DataFrame) -> DataFrame:
 def clean(df: DataFrame, subset: list[str] | None = None) -> DataFrame:
     """The four steps in order.
 
-    Removing duplicates cannot change which columns are constant, so that test
-    reads the rows before the shuffle and the duplicates are dropped once, from
-    the narrower table. Constant columns cannot tell two rows apart.
+    Removing whole-row duplicates cannot change which columns are constant, so that
+    test reads the rows before the shuffle and the duplicates are dropped once, from
+    the narrower table. Constant columns cannot tell two rows apart. With a
+    ``subset`` rows that differ elsewhere go too, so duplicates are dropped first.
     """
     complete = drop_missing(df)
+    if subset:
+        return cast_text_to_float(drop_constant(materialize(drop_duplicates(complete, subset), "distinct")))
     return cast_text_to_float(drop_duplicates(drop_constant(complete), subset))

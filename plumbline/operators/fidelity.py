@@ -1,27 +1,43 @@
 """Fidelity: how far the prediction moves when important features are replaced.
 
-Perturbed rows are made by exploding a row's ranks; a later ``groupBy(id)``
-finds all copies of a row in the task that made them, so each row shuffles as
-one partial aggregate whatever the number of features.
+``analyze_fidelity`` and ``fidelity_curve`` perturb, score and fold whole batches in
+the task that holds the rows. The long forms (``perturb_single``,
+``feature_impacts``, ``perturb_top_k``) show the perturbed rows themselves.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from plumbline.functions.arrays import KEY, literal_array, literal_names, replace_at
 from plumbline.functions.guards import drop_nan, pearson
 from plumbline.functions.hashing import hash_key
-from plumbline.functions.vectors import explode_positions, importance_ranks, rank_at
+from plumbline.functions.vectors import (
+    explode_positions,
+    importance_ranks,
+    matrix_of,
+    rank_at,
+    rank_matrix,
+)
+from plumbline.operators.numbering import number_rows
 
 STRATEGIES = ("mean", "median", "zero", "random")
 
 
-def donor_rows(df: DataFrame, n: int = 1024, seed: int = 42, key: str = KEY) -> DataFrame:
-    """``n`` rows in hash order as ``(slot, donor)``: a bounded pool for random replacement values."""
-    pool = df.select(hash_key(seed, F.col(key), "donor").alias("h"), key, "x").orderBy("h", key).limit(n)
-    slot = F.row_number().over(Window.orderBy("h", key)) - 1
-    return pool.select(slot.alias("slot"), F.col("x").alias("donor"))
+def with_donors(df: DataFrame, seed: int = 42, key: str = KEY) -> DataFrame:
+    """Each row with ``donor``, the features of another row drawn at random from the whole table.
+
+    Rows are numbered in two hash orders and the k-th of one gives to the k-th of the
+    other, so every row gives once and receives once, by one join on a number.
+    """
+    first = df.withColumn("__h", hash_key(seed, F.col(key), "donor"))
+    second = df.withColumn("__h", hash_key(seed, F.col(key), "draw"))
+    giving = number_rows(first, "__h", "__slot", key=key).select("__slot", F.col("x").alias("donor"))
+    taking = number_rows(second, "__h", "__slot", key=key)
+    return taking.join(giving, "__slot").select(*df.columns, "donor")
 
 
 def rank_features(explained: DataFrame, features: list[str], key: str = KEY) -> DataFrame:
@@ -51,16 +67,13 @@ def _ranked_count() -> Column:
 
 def perturb_single(
     explained: DataFrame,
-    values: Column | None,
-    donors: DataFrame | None = None,
-    seed: int = 42,
+    values: Column,
     key: str = KEY,
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """One row per explained feature with that feature replaced, and its rank.
 
-    ``values`` holds the replacement by position; with ``donors`` the value
-    comes from a pool row drawn by hash instead.
+    ``values`` holds the replacement by position: one array for all rows, or a column.
     """
     rows = (
         explained.withColumn("ranks", importance_ranks("phi"))
@@ -72,17 +85,12 @@ def perturb_single(
             "phi",
             "ranks",
             "n_ranked",
+            values.alias("values"),
             explode_positions("x").alias("pos", "value"),
         )
         .where(rank_at("pos") > 0)
     )
-    if donors is not None:
-        size = donors.count()
-        slot = (hash_key(seed, F.col(key), F.col("pos") + 1, "draw") % size).cast("int")
-        rows = rows.withColumn("slot", slot).join(F.broadcast(donors), "slot")
-        value = F.col("donor")[F.col("pos")]
-    else:
-        value = values[F.col("pos")]
+    value = F.col("values")[F.col("pos")]
     return rows.select(
         key,
         *keep,
@@ -97,10 +105,8 @@ def perturb_single(
 def feature_impacts(
     explained: DataFrame,
     scorer,
-    values: Column | None,
-    donors: DataFrame | None = None,
+    values: Column,
     space: str = "p",
-    seed: int = 42,
     key: str = KEY,
 ) -> DataFrame:
     """``(id, n_ranked, rank, feature_pos, importance, impact)``: |change of ``space``|.
@@ -109,7 +115,7 @@ def feature_impacts(
     (``p`` or ``margin``). All perturbed rows go through one scoring pass.
     """
     before = explained.withColumnRenamed(space, "before").drop("margin" if space == "p" else "p")
-    rows = perturb_single(before, values, donors, seed, key, keep=("before",))
+    rows = perturb_single(before, values, key, keep=("before",))
     return scorer.score(rows).select(
         key,
         "n_ranked",
@@ -156,27 +162,49 @@ def perturb_top_k(
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """One row for k = 1 … n with the k most important features replaced."""
-    rows = (
-        explained.withColumn("ranks", importance_ranks("phi"))
-        .withColumn("n_ranked", _ranked_count())
-        .select(
-            key, *keep, "x", "ranks", F.explode_outer(F.sequence(F.lit(1), "n_ranked")).alias("k")
-        )
-    )
-    mixed = F.transform(
-        "x", lambda v, i: F.when(F.col("ranks")[i].between(1, F.col("k")), values[i]).otherwise(v)
-    )
-    return rows.select(key, *keep, "k", mixed.alias("x"))
+
+    @F.arrow_udf(ArrayType(ArrayType(DoubleType())))
+    def steps(x: pa.Array, phi: pa.Array, values: pa.Array) -> pa.Array:
+        rows, new, ranks = matrix_of(x), matrix_of(values), rank_matrix(matrix_of(phi))
+        out = []
+        for i in range(len(rows)):
+            order = np.argsort(ranks[i], kind="stable")[int((ranks[i] == 0).sum()) :]
+            mixed = np.repeat(rows[i : i + 1], len(order), axis=0)
+            for k, j in enumerate(order):
+                mixed[k:, j] = new[i, j]
+            out.append(mixed.tolist())
+        return pa.array(out, pa.list_(pa.list_(pa.float64())))
+
+    rows = explained.select(key, *keep, F.posexplode(steps("x", "phi", values)).alias("k0", "x"))
+    return rows.select(key, *keep, (F.col("k0") + 1).alias("k"), "x")
 
 
 def fidelity_curve(
     explained: DataFrame, scorer, values: Column, space: str = "p", key: str = KEY
 ) -> DataFrame:
-    """``(id, k, loss)``: squared change after replacing the top k features."""
-    before = explained.withColumnRenamed(space, "before").drop("margin" if space == "p" else "p")
-    rows = perturb_top_k(before, values, key, keep=("before",))
-    change = F.col("before") - F.col(space)
-    return scorer.score(rows).select(key, "k", (change * change).alias("loss"))
+    """``(id, k, loss)``: squared change after replacing the top k features.
+
+    The features of a whole batch are replaced rank by rank and scored at once, in the
+    task that holds the rows.
+    """
+    score = explained.sparkSession.sparkContext.broadcast(scorer.batch_function(space))
+
+    @F.arrow_udf(ArrayType(DoubleType()))
+    def losses(x: pa.Array, phi: pa.Array, values: pa.Array) -> pa.Array:
+        rows, new, ranks = matrix_of(x).copy(), matrix_of(values), rank_matrix(matrix_of(phi))
+        start, count = score.value(rows), (ranks > 0).sum(axis=1)
+        out = np.zeros(rows.shape)
+        for k in range(1, rows.shape[1] + 1):
+            np.copyto(rows, new, where=ranks == k)
+            out[:, k - 1] = (start - score.value(rows)) ** 2 if len(rows) else 0.0
+        used = np.arange(rows.shape[1]) < count[:, None]
+        offsets = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(out[used]))
+
+    folded = explained.select(key, losses("x", "phi", values).alias("losses"))
+    return folded.select(key, F.posexplode("losses").alias("k0", "loss")).select(
+        key, (F.col("k0") + 1).alias("k"), "loss"
+    )
 
 
 def mean_curve(curve: DataFrame) -> DataFrame:
@@ -184,17 +212,38 @@ def mean_curve(curve: DataFrame) -> DataFrame:
     return curve.groupBy("k").agg(F.avg("loss").alias("loss"), F.count("*").alias("n"))
 
 
-def replacement_values(strategy: str, stats: dict[str, list[float]]) -> Column | None:
-    """Replacement by position for a strategy; None for ``random``, which draws from donors."""
+def replacement_values(strategy: str, stats: dict[str, list[float]]) -> Column:
+    """Replacement by position for a strategy; ``random`` reads the ``donor`` of each row."""
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy: {strategy}; use one of {', '.join(STRATEGIES)}")
     if strategy == "random":
-        return None
+        return F.col("donor")
     if strategy == "zero":
         return literal_array([0.0] * max(len(v) for v in stats.values()))
     return literal_array(stats[strategy])
 
 
+def fold_impacts(ranks: np.ndarray, importance: np.ndarray, impact: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(aufc, correlation)`` of each row from its features' impacts, as ``row_fidelity`` defines them."""
+    known, count = ranks > 0, (ranks > 0).sum(axis=1)
+    held = np.where(known, impact, 0.0)
+    ends = np.where(ranks == 1, held, 0.0) + np.where(known & (ranks == count[:, None]), held, 0.0)
+    aufc = np.where(count > 1, held.sum(axis=1) - ends.sum(axis=1) / 2, 0.0)
+    both = known & ~np.isnan(importance) & ~np.isnan(impact)
+    n = both.sum(axis=1)
+
+    def centred(v: np.ndarray) -> np.ndarray:
+        v = np.where(both, v, 0.0)
+        return np.where(both, v - v.sum(axis=1, keepdims=True) / np.maximum(n, 1)[:, None], 0.0)
+
+    a, b = centred(importance), centred(impact)
+    size = np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1))
+    r = np.divide((a * b).sum(axis=1), size, out=np.full(len(a), np.nan), where=size > 0)
+    top = lambda v: np.max(np.where(known, v, 0.0), axis=1, initial=0.0)
+    flat = (top(importance) == 0) | (top(impact) == 0) | (n < 2)
+    return aufc, np.where(flat, 0.0, r)
+
+
 def analyze_fidelity(
     explained: DataFrame,
     scorer,
@@ -203,8 +252,29 @@ def analyze_fidelity(
     space: str = "p",
     key: str = KEY,
 ) -> DataFrame:
-    """``(id, aufc, correlation)`` of every explained row."""
-    donors = donor_rows(explained, key=key) if strategy == "random" else None
-    values = replacement_values(strategy, stats)
-    impacts = feature_impacts(explained, scorer, values, donors, space, key=key)
-    return row_fidelity(impacts, key)
+    """``(id, aufc, correlation)`` of every explained row.
+
+    The same numbers as ``row_fidelity`` of ``feature_impacts``, folded in the task
+    that holds the row: features are replaced one after the other for a whole batch,
+    scored, and only the row's two numbers leave. Only ``random`` needs a join.
+    """
+    rows = with_donors(explained, key=key) if strategy == "random" else explained
+    score = explained.sparkSession.sparkContext.broadcast(scorer.batch_function(space))
+
+    @F.arrow_udf("struct<n:int,aufc:double,correlation:double>")
+    def folded(x: pa.Array, phi: pa.Array, values: pa.Array) -> pa.Array:
+        rows, new, importance = matrix_of(x).copy(), matrix_of(values), np.abs(matrix_of(phi))
+        ranks, start = rank_matrix(importance), score.value(rows)
+        impact = np.zeros(rows.shape)
+        for j in range(rows.shape[1]):
+            kept = rows[:, j].copy()
+            rows[:, j] = new[:, j]
+            impact[:, j] = np.abs(start - score.value(rows))
+            rows[:, j] = kept
+        aufc, r = fold_impacts(ranks, importance, impact)
+        count = (ranks > 0).sum(axis=1).astype(np.int32)
+        columns = [pa.array(count), pa.array(aufc), pa.array(r, mask=np.isnan(r))]
+        return pa.StructArray.from_arrays(columns, ["n", "aufc", "correlation"])
+
+    found = rows.select(key, folded("x", "phi", replacement_values(strategy, stats)).alias("f"))
+    return found.where("f.n > 0").select(key, "f.aufc", "f.correlation")

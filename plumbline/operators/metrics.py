@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from plumbline.functions.arrays import LABEL
 from plumbline.functions.guards import ratio
-
-MAX_SCORE_DIGITS = 6
+from plumbline.sources.shared import materialize
 
 
 def prediction_label_pairs(
@@ -72,28 +71,25 @@ def class_metrics(confusion: DataFrame) -> DataFrame:
     )
 
 
-def score_curve(
-    scored: DataFrame, score: str = "p", label: str = LABEL, digits: int = MAX_SCORE_DIGITS
-) -> DataFrame:
+def score_curve(scored: DataFrame, score: str = "p", label: str = LABEL) -> DataFrame:
     """``(score, pos, neg, tp, fp)``: counts at and running counts down to each distinct score.
 
-    Scores lie in [0, 1] and are tied when equal to ``digits`` digits, so there
-    are at most ``10^digits + 1`` distinct ones whatever the table's size. They
-    are counted first; running counts are then taken inside 1,001 score
-    intervals of at most 1,000 distinct scores and shifted by the totals of the
-    intervals above.
+    Scores are any numbers and tie only when equal; null and NaN scores are left out.
+    They are counted first, then dealt into ranges of about equally many distinct
+    scores; running counts are taken inside a range and shifted by the totals of the
+    ranges above. The ranges are written once, so that both steps see the same ones.
     """
-    if digits > MAX_SCORE_DIGITS:
-        raise ValueError(f"at most {MAX_SCORE_DIGITS} digits keep the curve bounded")
     counts = (
-        scored.groupBy(F.round(score, digits).alias("score"))
+        scored.where(F.col(score).isNotNull() & ~F.isnan(score))
+        .groupBy(F.col(score).alias("score"))
         .agg(
             F.count_if(F.col(label) == 1).alias("pos"),
             F.count_if(F.col(label) != 1).alias("neg"),
         )
-        .withColumn("interval", F.floor(F.col("score") * 1000).cast("int"))
     )
-    above = Window.orderBy(F.desc("interval")).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = counts.repartitionByRange(F.desc("score")).withColumn("interval", F.spark_partition_id())
+    counts = materialize(ranges, "score-ranges")
+    above = Window.orderBy("interval").rowsBetween(Window.unboundedPreceding, -1)
     shifts = (
         counts.groupBy("interval")
         .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
@@ -113,16 +109,14 @@ def score_curve(
     )
 
 
-def curve_areas(
-    scored: DataFrame, score: str = "p", label: str = LABEL, digits: int = MAX_SCORE_DIGITS
-) -> DataFrame:
+def curve_areas(scored: DataFrame, score: str = "p", label: str = LABEL) -> DataFrame:
     """One row ``(auc_roc, auc_pr, average_precision)``.
 
     ``auc_pr`` joins the points by straight lines and starts flat at the first
     point's precision; ``average_precision`` is the step sum. Null if a class
     is absent.
     """
-    curve = score_curve(scored, score, label, digits)
+    curve = score_curve(scored, score, label)
     tp, fp, pos, neg = (F.col(c).cast("double") for c in ("tp", "fp", "pos", "neg"))
     before_tp, before_fp = tp - pos, fp - neg
     precision = tp / (tp + fp)

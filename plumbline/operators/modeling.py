@@ -41,12 +41,14 @@ GRID_NAMES = {
 }
 
 
-def linear_probabilities(bias, weights, means, stds, x: np.ndarray) -> np.ndarray:
-    return 1.0 / (1.0 + np.exp(-(bias + ((x - means) / stds) @ weights)))
+def linear_margins(bias, weights, means, stds, x: np.ndarray) -> np.ndarray:
+    return bias + ((x - means) / stds) @ weights
 
 
-def tree_probabilities(arrays, x: np.ndarray) -> np.ndarray:
-    return 1.0 / (1.0 + np.exp(-ensemble_margins(arrays, x)))
+def in_space(space: str, margins, x: np.ndarray) -> np.ndarray:
+    """Scores of a batch in ``margin`` or ``p``."""
+    found = margins(x)
+    return found if space == "margin" else 1.0 / (1.0 + np.exp(-found))
 
 
 class LogisticScorer:
@@ -84,9 +86,9 @@ class LogisticScorer:
             margin = margin + F.lit(w) * (F.col(x)[j] - F.lit(m)) / F.lit(s)
         return df.withColumn("margin", margin).withColumn("p", sigmoid(F.col("margin")))
 
-    def batch_function(self):
+    def batch_function(self, space: str = "p"):
         arrays = (np.array(v) for v in (self.weights, self.means, self.stds))
-        return partial(linear_probabilities, self.bias, *arrays)
+        return partial(in_space, space, partial(linear_margins, self.bias, *arrays))
 
 
 class TreeScorer:
@@ -100,8 +102,8 @@ class TreeScorer:
             "p", sigmoid(F.col("margin"))
         )
 
-    def batch_function(self):
-        return partial(tree_probabilities, self.ensemble.margin_arrays())
+    def batch_function(self, space: str = "p"):
+        return partial(in_space, space, partial(ensemble_margins, self.ensemble.margin_arrays()))
 
 
 class GBTScorer(TreeScorer):

@@ -253,10 +253,17 @@ def strong_correlations(
     return pairwise_correlation(df, columns).where(F.abs("r") >= threshold)
 
 
+SHARE_DIGITS = 9
+
+
 def bucket(value: Column, low: Column, high: Column, bins: int) -> Column:
-    """Equal-width bucket from 0; the last one is closed, a constant falls into bucket 0."""
-    step = F.coalesce(F.try_divide(value - low, high - low), F.lit(0.0))
-    return F.least(F.floor(step * bins), F.lit(bins - 1)).cast("int")
+    """Equal-width bucket from 0; the last one is closed, a constant falls into bucket 0.
+
+    The share of the width is rounded to ``SHARE_DIGITS`` digits first, so that a value
+    on an edge falls into the bucket above it whatever its last bits are.
+    """
+    share = F.round(F.coalesce(F.try_divide(value - low, high - low), F.lit(0.0)), SHARE_DIGITS)
+    return F.least(F.floor(F.round(share * bins, SHARE_DIGITS - 3)), F.lit(bins - 1)).cast("int")
 
 
 def histograms(
@@ -336,7 +343,8 @@ def scatter_bins(
             with np.errstate(invalid="ignore", divide="ignore"):
                 step = np.where(high > low, (x - low) / (high - low), np.where(np.isnan(x), x, 0.0))
             known = ~np.isnan(step)
-            place = np.minimum(np.floor(np.where(known, step, 0.0) * bins), bins - 1).astype(np.int64)
+            share = np.round(np.round(np.where(known, step, 0.0), SHARE_DIGITS) * bins, SHARE_DIGITS - 3)
+            place = np.minimum(np.floor(share), bins - 1).astype(np.int64)
             for group in np.unique(groups):
                 rows = groups == group
                 grid = grids.setdefault(group, np.zeros((len(first), cells), np.int64))

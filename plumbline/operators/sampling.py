@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from plumbline.functions.arrays import KEY, LABEL
 from plumbline.functions.hashing import hash_key, uniform
+from plumbline.operators.numbering import number_rows
 from plumbline.operators.quantiles import exact_quantiles
 
-# Up to this many rows per class the optimizer keeps only each task's best rows
-# before the shuffle (the window group limit's default threshold).
-GROUP_LIMIT = 1000
-
 
 def with_split(
     df: DataFrame, ratio: float = 0.8, seed: int = 42, key: str = KEY, to: str = "is_train"
@@ -61,20 +58,12 @@ def with_stratified_split(
 def balanced_sample(
     df: DataFrame, n: int = 50, seed: int = 42, key: str = KEY, label: str = LABEL
 ) -> DataFrame:
-    """``n`` rows of each class (all rows of a smaller class), in hash order.
+    """``n`` rows of each class (all rows of a smaller class), in hash order, for any ``n``.
 
-    Each task passes on at most ``n`` rows of a class, so no class travels
-    whole; ``n`` is held to the size at which the optimizer does that.
+    Rows are numbered in slices of the hash, so no class is sorted in one task.
     """
-    if n > GROUP_LIMIT:
-        raise ValueError(f"n must be at most {GROUP_LIMIT}; use with_stratified_split beyond it")
-    order = Window.partitionBy(label).orderBy("__h", key)
-    return (
-        df.withColumn("__h", hash_key(seed, F.col(key), "balance"))
-        .withColumn("__r", F.row_number().over(order))
-        .where(F.col("__r") <= n)
-        .drop("__h", "__r")
-    )
+    hashed = df.withColumn("__h", hash_key(seed, F.col(key), "balance"))
+    return number_rows(hashed, "__h", "__r", [label], key).where(F.col("__r") <= n).select(*df.columns)
 
 
 def union_rows(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -2,13 +2,13 @@
 
 Path-dependent tree values (Lundberg et al.): for a leaf reached over the
 distinct path features P, a row matters only through which of the |P| intervals
-hold its values. All those patterns are valued beforehand; a row is then one
-look-up per leaf.
+hold its values. Leaves are valued one after the other, over all rows of a batch;
+workers hold the paths alone, leaves x depth numbers.
 """
 
 from __future__ import annotations
 
-from math import factorial
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +22,6 @@ from plumbline.operators.profiling import bucket
 from plumbline.operators.quantiles import exact_quantiles
 from plumbline.operators.trees import Ensemble
 
-# Leaves over more features than this are valued row by row instead of by table.
-TABLE_FEATURES = 12
-
 
 def leaf_paths(ensemble: Ensemble) -> list[tuple]:
     """Per leaf ``(value, positions, lows, highs, cover ratios)``; one entry per distinct feature."""
@@ -59,71 +56,54 @@ def leaf_paths(ensemble: Ensemble) -> list[tuple]:
 
 
 def leaf_contributions(inside: np.ndarray, kept: np.ndarray, value: float) -> np.ndarray:
-    """Shapley values of one leaf for 0/1 rows ``inside`` (rows x path features).
+    """Shapley values of one leaf for 0/1 columns ``inside`` (path features x rows).
 
-    The sum over subsets of the other features is grouped by subset size: its
-    terms are the coefficients of the product of ``kept_j + inside_j t``.
+    The mean over subsets of the other features is the integral over t in [0, 1] of
+    the product of their ``kept_j + (inside_j - kept_j) t``, a polynomial that Gauss
+    points integrate exactly. Each feature's own factor is divided out of the whole
+    product; it is positive inside the interval because covers are.
     """
-    rows, m = inside.shape
-    by_size = np.array([factorial(s) * factorial(m - 1 - s) / factorial(m) for s in range(m)])
-    out = np.empty((rows, m))
-    for i in range(m):
-        poly = np.zeros((rows, m))
-        poly[:, 0] = 1.0
-        for j in range(m):
-            if j != i:
-                shifted = np.zeros_like(poly)
-                shifted[:, 1:] = poly[:, :-1] * inside[:, j : j + 1]
-                poly = poly * kept[j] + shifted
-        out[:, i] = value * (inside[:, i] - kept[i]) * (poly @ by_size)
-    return out
-
-
-def leaf_tables(ensemble: Ensemble) -> list[tuple]:
-    """``leaf_paths`` with the contributions of every pattern; None for leaves too wide."""
-    tables = []
-    for value, features, lows, highs, kept in leaf_paths(ensemble):
-        m = len(features)
-        table = None
-        if 0 < m <= TABLE_FEATURES:
-            patterns = (np.arange(2**m)[:, None] >> np.arange(m)) & 1
-            table = leaf_contributions(patterns.astype(float), kept, value)
-        tables.append((value, features, lows, highs, kept, table))
-    return tables
-
-
-def tree_values(tables: list[tuple], x: np.ndarray) -> np.ndarray:
+    m = len(kept)
+    points, weights = np.polynomial.legendre.leggauss((m + 1) // 2)
+    gain = inside - kept[:, None]
+    total = np.zeros(inside.shape)
+    for t, w in zip((points + 1) / 2, weights / 2, strict=True):
+        factors = kept[:, None] + gain * t
+        total += w * factors.prod(axis=0) / factors
+    return value * gain * total
+
+
+def tree_values(leaves: list[tuple], x: np.ndarray) -> np.ndarray:
     """Shapley values of the rows of ``x``; NaN goes right at every split, as when scoring."""
     columns = np.ascontiguousarray(np.where(np.isnan(x), np.inf, x).T)
     phi = np.zeros(columns.shape)
-    for value, features, lows, highs, kept, table in tables:
+    for value, features, lows, highs, kept in leaves:
         if not len(features):
             continue
-        inside = [
-            (columns[f] > lo) & (columns[f] <= hi) for f, lo, hi in zip(features, lows, highs)
-        ]
-        if table is None:
-            parts = leaf_contributions(np.stack(inside, axis=1).astype(float), kept, value)
-        else:
-            code = inside[0].astype(np.int64)
-            for i in range(1, len(inside)):
-                code |= inside[i].astype(np.int64) << i
-            parts = table[code]
-        for i, f in enumerate(features):
-            phi[f] += parts[:, i]
+        path = columns[features]
+        inside = ((path > lows[:, None]) & (path <= highs[:, None])).astype(np.float64)
+        phi[features] += leaf_contributions(inside, kept, value)
     return np.ascontiguousarray(phi.T)
 
 
+def linear_values(weights, means, stds, x: np.ndarray) -> np.ndarray:
+    return weights * (x - means) / stds
+
+
+def _without_class(values, x: np.ndarray, classes) -> np.ndarray:
+    return values(x)
+
+
 class TreeShap:
     """Exact tree values in margin units; ``explain`` adds ``phi`` row by row, without a shuffle."""
 
     def __init__(self, ensemble: Ensemble):
         self.features = ensemble.features
-        self.tables = leaf_tables(ensemble)
-        self.base = float(sum(t[0] * np.prod(t[4]) for t in self.tables))
+        self.leaves = leaf_paths(ensemble)
+        self.base = float(sum(t[0] * np.prod(t[4]) for t in self.leaves))
 
     def explain(self, df: DataFrame) -> DataFrame:
-        shipped = df.sparkSession.sparkContext.broadcast(self.tables)
+        shipped = df.sparkSession.sparkContext.broadcast(self.leaves)
 
         @F.arrow_udf(ArrayType(DoubleType()))
         def values(x: pa.Array) -> pa.Array:
@@ -131,6 +111,10 @@ class TreeShap:
 
         return df.withColumn("phi", values("x"))
 
+    def batch_function(self):
+        """``(x, classes) -> phi`` for a batch; the class plays no part."""
+        return partial(_without_class, partial(tree_values, self.leaves))
+
 
 class LinearShap:
     """Shapley values of a linear margin with independent features: ``w (x - mean) / std``."""
@@ -143,6 +127,11 @@ class LinearShap:
     def explain(self, df: DataFrame) -> DataFrame:
         return df.withColumn("phi", self.scorer.contributions("x"))
 
+    def batch_function(self):
+        """``(x, classes) -> phi`` for a batch; the class plays no part."""
+        weights, means, stds = (np.array(v) for v in (self.scorer.weights, self.scorer.means, self.scorer.stds))
+        return partial(_without_class, partial(linear_values, weights, means, stds))
+
 
 def long_values(explained: DataFrame, features: list[str], key: str = KEY) -> DataFrame:
     """``(id, feature, feature_pos, phi)``."""

@@ -1,13 +1,15 @@
 """Local linear surrogates (Ribeiro et al. 2016) for every row of a table.
 
-Each row is perturbed, scored and fitted inside the task that holds it. The
-perturbed copies never leave the task, so nothing is shuffled: only the ranked
-weights come out. Draws are a hash of (seed, row key, sample, feature).
+Perturbed samples are drawn from the training bins, whatever the row: a row decides
+only which samples fall into its own bins. So one seeded set of samples serves all
+rows of a job. It is drawn and scored once; a row then compares bins, weights the
+samples by its distance and solves, inside the task that holds it, without a shuffle.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,7 @@ from plumbline.functions.vectors import (
 from plumbline.operators.profiling import quartiles
 
 GRID = 129
+# The names of the two classes.
 CLASS_NAMES = ("Not Fraud", "Fraud")
 
 
@@ -132,25 +135,13 @@ def fit_sampler(df: DataFrame, features: list[str]) -> Sampler:
     return Sampler(np.array(cuts), np.array(shares), np.array(values))
 
 
-def weighted_ridge(z: np.ndarray, y: np.ndarray, w: np.ndarray, alpha: float) -> np.ndarray:
-    """Ridge weights with a free intercept; a stack of problems (problems x samples x features)."""
-    share = w / w.sum(axis=1, keepdims=True)
-    z = z - np.einsum("bs,bsf->bf", share, z)[:, None, :]
-    y = y - (share * y).sum(axis=1, keepdims=True)
-    left = np.matmul((z * w[..., None]).transpose(0, 2, 1), z)
-    right = np.einsum("bsf,bs->bf", z, w * y)
-    left[:, np.arange(z.shape[2]), np.arange(z.shape[2])] += alpha
-    return np.linalg.solve(left, right[..., None])[..., 0]
-
-
 @dataclass
 class Lime:
     """Surrogate explainer; ``explain`` adds ``phi`` (null outside the top), ``explained_class``, ``p``.
 
     The class explained is the predicted one, or ``explained_class`` where the
     table already has that column. The sample count, the kernel width and the
-    penalties default to the method's published settings; fewer samples are
-    proportionally cheaper.
+    penalties default to the method's published settings.
     """
 
     features: list[str]
@@ -162,69 +153,83 @@ class Lime:
     kernel_width: float | None = None
     select_alpha: float = 0.01
     fit_alpha: float = 1.0
-    rows_at_once: int = 2048
 
     @classmethod
     def fit(cls, df: DataFrame, features: list[str], scorer, **settings) -> Lime:
         return cls(features, fit_sampler(df, features), scorer, **settings)
 
-    def solve(self, keys, x, classes, predict):
-        """Weights (NaN outside the top), classes and class-1 probabilities of a few rows."""
-        rows, width = x.shape
-        bins, values = self.sampler.draw(keys, self.n_samples, self.seed)
-        bins[:, 0], values[:, 0] = self.sampler.bins(x), x
-        p = predict(values.reshape(-1, width)).reshape(rows, self.n_samples)
-        explained = (p[:, 0] > 0.5).astype(np.int64) if classes is None else classes
-        y = np.where(explained[:, None] == 1, p, 1.0 - p)
-        z = (bins == bins[:, :1]).astype(np.float64)
+    def samples(self, predict) -> tuple[np.ndarray, np.ndarray]:
+        """Bins and class-1 probabilities of the shared samples; the row itself is one more."""
+        bins, values = self.sampler.draw(np.zeros(1, np.int64), self.n_samples - 1, self.seed)
+        return bins[0].astype(np.int8), predict(values[0])
+
+    def solve(self, bins: np.ndarray, scores: np.ndarray, x: np.ndarray, p: np.ndarray, classes: np.ndarray | None):
+        """Weights (NaN outside the top) and classes of some rows.
+
+        The ridge with a free intercept needs only weighted sums of products. Those of
+        the selected features are part of those of all, so they are summed once.
+        """
+        width, own = x.shape[1], self.sampler.bins(x).astype(np.int8)
+        explained = (p > 0.5).astype(np.int64) if classes is None else classes
         span = self.kernel_width or 0.75 * np.sqrt(width)
-        w = np.sqrt(np.exp(-(width - z.sum(axis=2)) / span**2))
-        first = weighted_ridge(z, y, w, self.select_alpha)
+        by_matches = np.sqrt(np.exp(-(width - np.arange(width + 1)) / span**2))
         k = min(self.n_features, width)
-        top = np.sort(np.argsort(-np.abs(first), axis=1, kind="stable")[:, :k], axis=1)
-        weights = weighted_ridge(np.take_along_axis(z, top[:, None, :], axis=2), y, w, self.fit_alpha)
-        phi = np.full((rows, width), np.nan)
-        np.put_along_axis(phi, top, weights, axis=1)
-        return phi, explained, p[:, 0]
+        phi = np.full(x.shape, np.nan)
+        for i in range(len(x)):
+            z = np.empty((len(bins) + 1, width))
+            z[0] = 1.0
+            np.equal(bins, own[i], out=z[1:], casting="unsafe")
+            w = by_matches[z.sum(axis=1).astype(np.int64)]
+            y = np.append(p[i], scores)
+            y = y if explained[i] == 1 else 1.0 - y
+            wz, total = z * w[:, None], w.sum()
+            sums = wz.sum(axis=0)
+            left = z.T @ wz - np.outer(sums, sums) / total
+            right = wz.T @ y - sums * ((w @ y) / total)
+            first = np.linalg.solve(left + self.select_alpha * np.eye(width), right)
+            top = np.sort(np.argsort(-np.abs(first), kind="stable")[:k])
+            phi[i, top] = np.linalg.solve(left[np.ix_(top, top)] + self.fit_alpha * np.eye(k), right[top])
+        return phi, explained
 
     def explain(self, df: DataFrame, key: str = KEY) -> DataFrame:
+        """Rows are told apart by their features alone; ``key`` may be of any type."""
         given = "explained_class" in df.columns
-        step = max(1, self.rows_at_once // self.n_samples)
+        predict = self.scorer.batch_function()
         shipped = df.sparkSession.sparkContext.broadcast(
-            (replace(self, scorer=None), self.scorer.batch_function())
+            (replace(self, scorer=None), predict, *self.samples(predict))
         )
 
         @F.arrow_udf("struct<phi:array<double>,explained_class:int,p:double>")
-        def surrogates(key: pa.Array, x: pa.Array, wanted: pa.Array) -> pa.Array:
-            lime, predict = shipped.value
-            keys, rows = key.to_numpy(), matrix_of(x)
+        def surrogates(x: pa.Array, wanted: pa.Array) -> pa.Array:
+            lime, predict, bins, scores = shipped.value
+            rows = matrix_of(x)
+            p = predict(rows) if len(rows) else np.zeros(0)
             classes = wanted.to_numpy(zero_copy_only=False) if given else None
-            parts = [
-                lime.solve(
-                    keys[i : i + step],
-                    rows[i : i + step],
-                    classes[i : i + step] if given else None,
-                    predict,
-                )
-                for i in range(0, len(keys), step)
-            ]
-            phi, explained, p = (np.concatenate(c) for c in zip(*parts))
+            phi, explained = lime.solve(bins, scores, rows, p, classes)
             columns = [list_array(phi, np.isnan(phi)), pa.array(explained.astype(np.int32)), pa.array(p)]
             return pa.StructArray.from_arrays(columns, ["phi", "explained_class", "p"])
 
         wanted = F.col("explained_class") if given else F.lit(0)
         kept = [c for c in df.columns if c not in ("phi", "explained_class", "p")]
-        return df.withColumn("__s", surrogates(F.col(key), F.col("x"), wanted)).select(*kept, "__s.*")
+        return df.withColumn("__s", surrogates(F.col("x"), wanted)).select(*kept, "__s.*")
+
+    def batch_function(self):
+        """``(x, classes) -> phi`` for a batch, absent weights as NaN."""
+        predict = self.scorer.batch_function()
+        return partial(_weights, replace(self, scorer=None), predict, *self.samples(predict))
 
     def conditions(self, x: str = "x"):
-        """The text of each feature's bin for this row, such as ``0.50 < V1 <= 1.25``."""
+        """The text of each feature's bin for this row, such as ``0.50 < V1 <= 1.25``.
+
+        A missing value falls into the first bin, as it does in the fit.
+        """
         texts = []
         for j, f in enumerate(self.features):
             a, b, c = (float(v) for v in self.sampler.cuts[j])
             names = [f"{f} <= {a:.2f}", f"{a:.2f} < {f} <= {b:.2f}", f"{b:.2f} < {f} <= {c:.2f}", f"{f} > {c:.2f}"]
             value = F.col(x)[j]
             texts.append(
-                F.when(value <= a, names[0])
+                F.when(value.isNull() | F.isnan(value) | (value <= a), names[0])
                 .when(value <= b, names[1])
                 .when(value <= c, names[2])
                 .otherwise(names[3])
@@ -250,6 +255,10 @@ class Lime:
         ).where(F.col("rank") > 0)
 
 
+def _weights(lime: Lime, predict, bins: np.ndarray, scores: np.ndarray, x: np.ndarray, classes) -> np.ndarray:
+    return lime.solve(bins, scores, x, predict(x), classes)[0]
+
+
 def prediction_summary(scored: DataFrame, key: str = KEY, names: tuple[str, str] = CLASS_NAMES) -> DataFrame:
     """``(id, class, probability)``: the likelier class and its probability."""
     fraud = F.col("p") > 0.5

@@ -52,8 +52,10 @@ from plumbline.sources.shared import fresh_path, materialize
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-BOOSTER = {"maxIter": 20, "maxDepth": 5}
-LIME_SAMPLES = 500
+BOOSTER = {"maxIter": 100, "maxDepth": 6}
+# Sizes of the fits of the catalogue; the booster that most queries read has the first.
+GRID = {"max_depth": [2, 4], "learning_rate": [0.1, 0.3], "min_child_weight": [1, 5]}
+GRID_TREES = 5
 
 
 def query(fn: Query) -> Query:
@@ -72,20 +74,31 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     )
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """A joined table written once for queries that read it several times."""
-    return materialize(spread(df), "stand-in")
+def tied(scored: DataFrame, digits: int = 6) -> DataFrame:
+    """Scores rounded on both sides of a comparison, as their last bits differ between engines."""
+    return scored.withColumn("p", F.round("p", digits))
+
+
+_STORED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def stored(make: Query, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stand-in table, written once for each session and data folder."""
+    slot = (spark.sparkContext.applicationId, make.__name__, sf_dir)
+    if slot not in _STORED:
+        _STORED[slot] = materialize(spread(make(spark, sf_dir)), "stand-in")
+    return _STORED[slot]
 
 
 class Linear:
     """The stand-in rows with the fixed logistic scorer and its closed-form explanations."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.table = stored(transactions(spark, sf_dir))
+        self.table = stored(transactions, spark, sf_dir)
         self.scorer = LogisticScorer.fit(self.table, FEATURES, LOGISTIC_BIAS, LOGISTIC_WEIGHTS)
         self.stats = {"mean": self.scorer.means, "std": self.scorer.stds}
         self.explainer = LinearShap(self.scorer, FEATURES)
-        self.rows = spread(vectorize(self.table, FEATURES))
+        self.rows = vectorize(self.table, FEATURES)
 
     @property
     def scored(self) -> DataFrame:
@@ -115,7 +128,7 @@ def trained_path(spark: SparkSession, sf_dir: str) -> str:
     """The saved model of this session and data; trained by the first query that needs it."""
     slot = (spark.sparkContext.applicationId, sf_dir)
     if slot not in _MODELS:
-        table = stored(transactions(spark, sf_dir))
+        table = stored(transactions, spark, sf_dir)
         _MODELS[slot] = report.trained_model_path(table, FEATURES, **BOOSTER)
     return _MODELS[slot]
 
@@ -126,8 +139,8 @@ class Boosted:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.path = trained_path(spark, sf_dir)
         self.scorer = report.load_scorer(spark, self.path)
-        self.table = stored(transactions(spark, sf_dir))
-        self.rows = spread(vectorize(self.table, FEATURES))
+        self.table = stored(transactions, spark, sf_dir)
+        self.rows = vectorize(self.table, FEATURES)
 
     def stats(self) -> dict[str, list[float]]:
         return modeling.stat_vectors(self.table, FEATURES, ("mean", "std"))
@@ -138,7 +151,7 @@ class Boosted:
 
     def lime(self) -> tuple[surrogate.Lime, DataFrame]:
         explainer = surrogate.Lime.fit(
-            self.table, FEATURES, self.scorer, n_samples=LIME_SAMPLES
+            self.table, FEATURES, self.scorer
         )
         return explainer, explainer.explain(self.rows)
 
@@ -180,7 +193,7 @@ def persisted(spark, sf_dir):
 
 @query
 def model_round_trip(spark, sf_dir):
-    table = stored(transactions(spark, sf_dir))
+    table = stored(transactions, spark, sf_dir)
     train = sampling.hash_split(table)[0]
     model = modeling.fit_booster(train, FEATURES, maxIter=5, maxDepth=4)
     path = models.save_model(model, fresh_path(spark, "model"))
@@ -257,7 +270,7 @@ def duplicate_report(spark, sf_dir):
 
 @query
 def drop_constant_columns(spark, sf_dir):
-    return rounded(cleaning.drop_constant(stored(transactions_dirty(spark, sf_dir))).drop("D"))
+    return rounded(cleaning.drop_constant(stored(transactions_dirty, spark, sf_dir)).drop("D"))
 
 
 @query
@@ -268,7 +281,7 @@ def cast_text_to_float(spark, sf_dir):
 
 @query
 def clean_table(spark, sf_dir):
-    table = cleaning.clean(stored(transactions_dirty(spark, sf_dir))).drop("D")
+    table = cleaning.clean(stored(transactions_dirty, spark, sf_dir)).drop("D")
     text = [F.col(c).cast("double").alias(c) for c in ("T", "U", "S")]
     return rounded(table.select("id", *FEATURES, "Class", *text))
 
@@ -290,7 +303,7 @@ def prediction_label_pairs(spark, sf_dir):
 
 @query
 def column_profile(spark, sf_dir):
-    table = stored(transactions_dirty(spark, sf_dir))
+    table = stored(transactions_dirty, spark, sf_dir)
     return profiling.column_profile(table).select("column", "pos", "type", "n_missing", "n_distinct")
 
 
@@ -306,7 +319,7 @@ def describe_columns(spark, sf_dir):
 
 @query
 def describe_with_quartiles(spark, sf_dir):
-    return rounded(profiling.describe_with_quartiles(stored(transactions_dirty(spark, sf_dir))), 4)
+    return rounded(profiling.describe_with_quartiles(stored(transactions_dirty, spark, sf_dir)), 4)
 
 
 @query
@@ -326,7 +339,7 @@ def approx_distinct_counts(spark, sf_dir):
 
 @query
 def value_distribution(spark, sf_dir):
-    table = stored(transactions_dirty(spark, sf_dir))
+    table = stored(transactions_dirty, spark, sf_dir)
     months = F.col("V23").cast("int").alias("V23")
     cents = F.round(F.col("V13") * 100).cast("int").alias("V13")
     return profiling.value_distribution(table.select("id", "Class", months, cents, "T", "U", "S"))
@@ -334,43 +347,43 @@ def value_distribution(spark, sf_dir):
 
 @query
 def correlation_matrix(spark, sf_dir):
-    return rounded(profiling.correlation_matrix(stored(transactions(spark, sf_dir)), FEATURES))
+    return rounded(profiling.correlation_matrix(stored(transactions, spark, sf_dir), FEATURES))
 
 
 @query
 def pairwise_correlation(spark, sf_dir):
-    table = stored(transactions_dirty(spark, sf_dir))
+    table = stored(transactions_dirty, spark, sf_dir)
     return rounded(profiling.pairwise_correlation(table, [*FEATURES, "K"]))
 
 
 @query
 def strong_correlations(spark, sf_dir):
-    return rounded(profiling.strong_correlations(stored(transactions(spark, sf_dir)), FEATURES, 0.5))
+    return rounded(profiling.strong_correlations(stored(transactions, spark, sf_dir), FEATURES, 0.5))
 
 
 @query
 def histogram_by_class(spark, sf_dir):
-    return profiling.histogram_by_class(stored(transactions(spark, sf_dir)), FEATURES)
+    return profiling.histogram_by_class(stored(transactions, spark, sf_dir), FEATURES)
 
 
 @query
 def box_by_class(spark, sf_dir):
-    return rounded(profiling.box_by_class(stored(transactions(spark, sf_dir)), FEATURES))
+    return rounded(profiling.box_by_class(stored(transactions, spark, sf_dir), FEATURES))
 
 
 @query
 def outlier_counts(spark, sf_dir):
-    return profiling.outlier_counts(stored(transactions(spark, sf_dir)), FEATURES)
+    return profiling.outlier_counts(stored(transactions, spark, sf_dir), FEATURES)
 
 
 @query
 def scatter_bins(spark, sf_dir):
-    return profiling.scatter_bins(stored(transactions(spark, sf_dir)), FEATURES)
+    return profiling.scatter_bins(stored(transactions, spark, sf_dir), FEATURES)
 
 
 @query
 def feature_stats(spark, sf_dir):
-    return rounded(profiling.feature_stats(stored(transactions(spark, sf_dir)), FEATURES), 4)
+    return rounded(profiling.feature_stats(stored(transactions, spark, sf_dir), FEATURES), 4)
 
 
 # --- joins ------------------------------------------------------------------------------
@@ -393,7 +406,7 @@ def join_labels(spark, sf_dir):
 
 @query
 def join_feature_stats(spark, sf_dir):
-    table = stored(transactions(spark, sf_dir))
+    table = stored(transactions, spark, sf_dir)
     stats = F.broadcast(profiling.feature_stats(table, FEATURES))
     values = unpivot_columns(table, FEATURES, ["id"], "feature")
     return rounded(values.join(stats, "feature").select("id", "feature", "value", "mean", "median"))
@@ -496,7 +509,7 @@ def union_classes(spark, sf_dir):
 
 @query
 def stratified_split(spark, sf_dir):
-    table = stored(transactions(spark, sf_dir)).select("id", "Class")
+    table = stored(transactions, spark, sf_dir).select("id", "Class")
     return sampling.with_stratified_split(table)
 
 
@@ -522,9 +535,8 @@ def booster_fit(spark, sf_dir):
 
 @query
 def cross_validation(spark, sf_dir):
-    train = sampling.hash_split(stored(transactions(spark, sf_dir)))[0]
-    grid = {"max_depth": [2, 4], "learning_rate": [0.1]}
-    model = modeling.tune_booster(train, FEATURES, grid, maxIter=3)
+    train = sampling.hash_split(stored(transactions, spark, sf_dir))[0]
+    model = modeling.tune_booster(train, FEATURES, GRID, maxIter=GRID_TREES)
     settings = [
         ", ".join(f"{p.name}={v}" for p, v in sorted(m.items(), key=lambda e: e[0].name))
         for m in model.getEstimatorParamMaps()
@@ -535,7 +547,7 @@ def cross_validation(spark, sf_dir):
 
 @query
 def early_stopping(spark, sf_dir):
-    marked = sampling.with_split(stored(transactions(spark, sf_dir)), 0.8, to="keep")
+    marked = sampling.with_split(stored(transactions, spark, sf_dir), 0.8, to="keep")
     rows = marked.withColumn("is_validation", ~F.col("keep")).drop("keep")
     model = modeling.fit_with_early_stopping(rows, FEATURES, maxIter=20, maxDepth=3)
     scored = modeling.score_model(model, rows.where("is_validation"))
@@ -555,7 +567,8 @@ def batch_score(spark, sf_dir):
 def booster_evaluation(spark, sf_dir):
     model = models.load_model(trained_path(spark, sf_dir))
     test = sampling.hash_split(transactions(spark, sf_dir))[1]
-    scored = modeling.score_model(model, test).select("id", "Class", "p", "prediction").persist()
+    scored = modeling.score_model(model, test).select("id", "Class", "p", "prediction")
+    scored = materialize(scored, "scored-rows")
     confusion = metrics.class_metrics(metrics.confusion_counts(scored))
     areas = metrics.curve_areas(scored)
     return rounded(
@@ -572,22 +585,22 @@ def class_probabilities(spark, sf_dir):
 
 @query
 def area_under_roc(spark, sf_dir):
-    return rounded(metrics.curve_areas(Linear(spark, sf_dir).scored).select("auc_roc"))
+    return rounded(metrics.curve_areas(tied(Linear(spark, sf_dir).scored)).select("auc_roc"))
 
 
 @query
 def area_under_pr(spark, sf_dir):
-    return rounded(metrics.curve_areas(Linear(spark, sf_dir).scored).select("auc_pr"))
+    return rounded(metrics.curve_areas(tied(Linear(spark, sf_dir).scored)).select("auc_pr"))
 
 
 @query
 def average_precision(spark, sf_dir):
-    return rounded(metrics.curve_areas(Linear(spark, sf_dir).scored).select("average_precision"))
+    return rounded(metrics.curve_areas(tied(Linear(spark, sf_dir).scored)).select("average_precision"))
 
 
 @query
 def score_curve(spark, sf_dir):
-    return rounded(metrics.score_curve(Linear(spark, sf_dir).scored))
+    return rounded(metrics.score_curve(tied(Linear(spark, sf_dir).scored)))
 
 
 @query
@@ -615,7 +628,7 @@ def confusion_matrix(spark, sf_dir):
 
 @query
 def positive_class_metrics(spark, sf_dir):
-    return rounded(metrics.positive_class_metrics(Linear(spark, sf_dir).scored))
+    return rounded(metrics.positive_class_metrics(tied(Linear(spark, sf_dir).scored)))
 
 
 @query
@@ -644,7 +657,7 @@ def shallow_tree(spark, sf_dir):
 
 @query
 def coefficient_importance(spark, sf_dir):
-    table = stored(transactions(spark, sf_dir))
+    table = stored(transactions, spark, sf_dir)
     return rounded(modeling.coefficient_importance(modeling.fit_simple_model(table, FEATURES), table, FEATURES))
 
 
@@ -657,7 +670,7 @@ def _fixed_trees() -> Ensemble:
 
 @query
 def tree_shap_fixed(spark, sf_dir):
-    explained = TreeShap(_fixed_trees()).explain(vectorize(stored(transactions(spark, sf_dir)), FEATURES))
+    explained = TreeShap(_fixed_trees()).explain(vectorize(stored(transactions, spark, sf_dir), FEATURES))
     phi = {f: F.col("phi")[FEATURES.index(f)].alias(f"phi_{f}") for f in ("V2", "V3", "V13")}
     others = [F.abs(F.col("phi")[j]) for j, f in enumerate(FEATURES) if f not in phi]
     return rounded(explained.select("id", *phi.values(), F.greatest(*others).alias("largest_other")))
@@ -696,12 +709,12 @@ def boosted_importance(spark, sf_dir):
 
 @query
 def shap_summary(spark, sf_dir):
-    return shapley.summary_bins(Linear(spark, sf_dir).explained, FEATURES, phi_bins=19)
+    return shapley.summary_bins(Linear(spark, sf_dir).explained, FEATURES)
 
 
 @query
 def surrogate_bins(spark, sf_dir):
-    return rounded(surrogate.surrogate_bins(stored(transactions(spark, sf_dir)), FEATURES), 4)
+    return rounded(surrogate.surrogate_bins(stored(transactions, spark, sf_dir), FEATURES), 4)
 
 
 @query
@@ -730,8 +743,7 @@ def explain_by_method(spark, sf_dir):
     parts = []
     for method in ("SHAP", "lime"):
         explainer = report.get_explainer(
-            method, boosted.table, FEATURES, boosted.scorer,
-            **({"n_samples": LIME_SAMPLES} if method == "lime" else {}),
+            method, boosted.table, FEATURES, boosted.scorer
         )
         rows = shapley.long_values(explainer.explain(boosted.rows), FEATURES)
         parts.append(rows.withColumn("method", F.lit(method.lower())))
@@ -990,7 +1002,7 @@ def metric_means(spark, sf_dir):
 
 @query
 def explanation_report(spark, sf_dir):
-    table = stored(transactions(spark, sf_dir))
+    table = stored(transactions, spark, sf_dir)
     results = report.explain(table, trained_path(spark, sf_dir), "shap")
     return rounded(report.report_summary(results, "shap"))
 
@@ -998,8 +1010,8 @@ def explanation_report(spark, sf_dir):
 @query
 def lime_report(spark, sf_dir):
     path = trained_path(spark, sf_dir)
-    table = stored(transactions(spark, sf_dir))
-    results = report.explain(table, path, "lime", n_samples=LIME_SAMPLES)
+    table = stored(transactions, spark, sf_dir)
+    results = report.explain(table, path, "lime")
     return rounded(report.report_summary(results, "lime"))
 
 

@@ -214,7 +214,7 @@ def _correlations(source: str, columns, pairs) -> str:
     )
 
 
-BUCKET = "CAST(least(floor(coalesce((value - low) / nullif(high - low, 0), 0.0) * {b}), {b} - 1) AS INTEGER)"
+BUCKET = "CAST(least(floor(round(round(coalesce((value - low) / nullif(high - low, 0), 0.0), 9) * {b}, 6)), {b} - 1) AS INTEGER)"
 BOXES = """boxes AS (SELECT feature AS "column", Class, quantile_cont(value, 0.25) AS q25,
  quantile_cont(value, 0.5) AS q50, quantile_cont(value, 0.75) AS q75 FROM long GROUP BY feature, Class),
 boxed AS (SELECT "column", long.Class, q25, q50, q75, value,
@@ -506,7 +506,7 @@ def build() -> dict[str, str]:
             "quantile_cont(value, 0.5) AS b, quantile_cont(value, 0.75) AS c FROM phi GROUP BY feature)",
         ],
         "SELECT feature, CAST((value > a)::INTEGER + (value > b)::INTEGER + (value > c)::INTEGER AS INTEGER) AS value_bin, "
-        "CAST(least(floor((phi - low) / (high - low) * 19), 18) AS INTEGER) AS phi_bin, count(*) AS n "
+        f"{BUCKET.format(b=20).replace('value', 'phi')} AS phi_bin, count(*) AS n "
         "FROM phi JOIN cuts USING (feature) JOIN top USING (feature) GROUP BY ALL",
     )
     sql["surrogate_bins"] = _with(
@@ -555,10 +555,9 @@ def build() -> dict[str, str]:
         [LINEAR, RANKED, impacts_by("(w * value / std)"), row_fidelity()], f"SELECT id, {both} FROM fid"
     )
     donors = [
-        f"pool AS (SELECT id AS donor_id, row_number() OVER (ORDER BY {hash_key('42', 'id', chr(39) + 'donor' + chr(39))}, id) - 1 AS slot FROM tx "
-        "QUALIFY slot < 1024)",
-        "donated AS (SELECT slot, feature_pos, value AS donor FROM pool JOIN long ON long.id = donor_id)",
-        f"drawn AS (SELECT *, {hash_key('42', 'id', 'feature_pos', chr(39) + 'draw' + chr(39))} % (SELECT count(*) FROM pool) AS slot FROM ranked)",
+        f"giving AS (SELECT id AS donor_id, row_number() OVER (ORDER BY {hash_key('42', 'id', chr(39) + 'donor' + chr(39))}, id) AS slot FROM tx)",
+        f"taking AS (SELECT id, row_number() OVER (ORDER BY {hash_key('42', 'id', chr(39) + 'draw' + chr(39))}, id) AS slot FROM tx)",
+        "donated AS (SELECT taking.id, feature_pos, value AS donor FROM taking JOIN giving USING (slot) JOIN long ON long.id = donor_id)",
     ]
     sql["row_fidelity_random"] = _with(
         [
@@ -566,7 +565,7 @@ def build() -> dict[str, str]:
             RANKED,
             *donors,
             impacts_by(
-                "(w * (value - donor) / std)", "p", "drawn JOIN donated USING (slot, feature_pos) JOIN scored USING (id)"
+                "(w * (value - donor) / std)", "p", "ranked JOIN donated USING (id, feature_pos) JOIN scored USING (id)"
             ),
             row_fidelity(),
         ],

@@ -12,7 +12,6 @@ from plumbline.functions.arrays import (
     LABEL,
     feature_columns,
     numeric_columns,
-    spread,
     unpivot_columns,
     vectorize,
 )
@@ -91,7 +90,7 @@ def get_explainer(method: str, df: DataFrame, features: list[str], scorer, **set
         return TreeShap(scorer.ensemble)
     if name == "lime":
         return Lime.fit(df, features, scorer, **settings)
-    raise ValueError(f"Unsupported explanation method: {method}. Supported methods are: shap, lime")
+    raise ValueError(f"no explainer is called {method!r}; choose shap or lime")
 
 
 def load_scorer(spark, path: str) -> modeling.GBTScorer:
@@ -143,7 +142,7 @@ def explain(
     stats = modeling.stat_vectors(df, features)
     explainer = get_explainer(method, df, features, scorer, **settings)
     chosen = df if n is None else first_rows(df, n, key)
-    rows = spread(vectorize(chosen, features, (key, label)), key)
+    rows = vectorize(chosen, features, (key, label))
     explained = materialize(scorer.score(explainer.explain(rows)).drop("margin"), "explanations")
     row_fidelity = fidelity.analyze_fidelity(explained, scorer, stats, key=key)
     curve = fidelity.mean_curve(

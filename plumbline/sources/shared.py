@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -9,13 +12,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only in local mode."""
+    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where one process does all.
+
+    That folder goes when the process ends.
+    """
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if path is None:
-        if not sc.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         path = tempfile.mkdtemp(prefix="plumbline-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)
     return path

@@ -2,6 +2,8 @@
 
 import math
 
+from functools import partial
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -45,6 +47,9 @@ class Shares:
         total = F.aggregate(x, F.lit(0.0), lambda acc, v: acc + v)
         return df.withColumn("margin", total).withColumn("p", total)
 
+    def batch_function(self, space="p"):
+        return partial(np.sum, axis=1)
+
 
 def test_curve_is_the_squared_change_after_each_replacement(spark):
     row = spark.createDataFrame([(1, [0.3, 0.6], [1.0, 5.0], 0.9)], "id long, x array<double>, phi array<double>, p double")

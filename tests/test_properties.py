@@ -8,10 +8,22 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions.arrays import spread, vectorize
+from plumbline.functions.hashing import hash_key
 from plumbline.functions.vectors import gaussian_matrix
-from plumbline.operators import cleaning, discriminate, metrics, modeling, profiling, sampling, shapley, stability
+from plumbline.operators import (
+    cleaning,
+    discriminate,
+    fidelity,
+    metrics,
+    modeling,
+    numbering,
+    profiling,
+    sampling,
+    shapley,
+    stability,
+)
 from plumbline.operators.quantiles import exact_quantiles
-from plumbline.operators.shapley import LinearShap, TreeShap, leaf_tables, tree_values
+from plumbline.operators.shapley import LinearShap, TreeShap, leaf_paths, tree_values
 from plumbline.operators.surrogate import GRID, Lime, Sampler
 from plumbline.operators.trees import Ensemble, ensemble_margins
 from plumbline.plans import report
@@ -85,18 +97,16 @@ def brute_force(rows, features, x):
     return phi
 
 
-@pytest.mark.parametrize("table_features", [12, 0])
-def test_tree_values_equal_subset_enumeration(monkeypatch, table_features):
-    monkeypatch.setattr(shapley, "TABLE_FEATURES", table_features)
+def test_tree_values_equal_subset_enumeration():
     rng = np.random.default_rng(3)
     features = ["a", "b", "c", "d", "e"]
     rows = random_tree(rng, features, 4) + random_tree(rng, features, 3, tree=1)
     ensemble = Ensemble(rows, features)
     x = rng.normal(size=(12, 5))
-    phi = tree_values(leaf_tables(ensemble), x)
+    phi = tree_values(leaf_paths(ensemble), x)
     for i in range(len(x)):
         assert phi[i] == pytest.approx(brute_force(rows, features, dict(zip(features, x[i]))), abs=1e-12)
-    base = sum(t[0] * np.prod(t[4]) for t in leaf_tables(ensemble))
+    base = sum(t[0] * np.prod(t[4]) for t in leaf_paths(ensemble))
     assert phi.sum(axis=1) + base == pytest.approx(ensemble_margins(ensemble.margin_arrays(), x))
 
 
@@ -139,7 +149,7 @@ def test_missing_values_take_the_same_branch_everywhere(spark):
         ensemble_margins(ensemble.margin_arrays(), np.array(x)).tolist()
     )
     explainer = TreeShap(ensemble)
-    phi = tree_values(explainer.tables, np.array(x))
+    phi = tree_values(explainer.leaves, np.array(x))
     assert (phi.sum(axis=1) + explainer.base).tolist() == pytest.approx([r["margin"] for r in scored])
 
 
@@ -162,11 +172,13 @@ def test_surrogate_weights_equal_a_row_by_row_fit():
     slope = rng.normal(size=width)
     predict = lambda m: 1 / (1 + np.exp(-(m @ slope)))
     lime = Lime([f"f{i}" for i in range(width)], sampler, None, n_samples=samples, n_features=3)
-    x, keys = rng.normal(size=(4, width)), np.array([3, 9, 2**40, -7])
-    phi, classes, p = lime.solve(keys, x, None, predict)
+    x = rng.normal(size=(4, width))
+    p = predict(x)
+    phi, classes = lime.solve(*lime.samples(predict), x, p, None)
+    shared = sampler.draw(np.zeros(1, np.int64), samples - 1, lime.seed)
     for i in range(len(x)):
-        bins, drawn = (v[0] for v in sampler.draw(keys[i : i + 1], samples, lime.seed))
-        drawn[0], bins[0] = x[i], sampler.bins(x[i : i + 1])[0]
+        drawn = np.vstack([x[i], shared[1][0]])
+        bins = np.vstack([sampler.bins(x[i : i + 1]), shared[0][0]])
         z = (bins == bins[0]).astype(float)
         y = predict(drawn)
         assert p[i] == pytest.approx(y[0]) and classes[i] == (y[0] > 0.5)
@@ -251,11 +263,50 @@ def test_splits_do_not_depend_on_partitions(table):
     )
 
 
-def test_balanced_sample_keeps_the_window_small(table):
-    plan = sampling.balanced_sample(table)._jdf.queryExecution().toString()
-    assert "WindowGroupLimit" in plan
-    with pytest.raises(ValueError):
-        sampling.balanced_sample(table, 5000)
+def test_balanced_sample_takes_any_number(table, monkeypatch):
+    monkeypatch.setattr(numbering, "ROWS_A_SLICE", 100)
+    for n in (0, 1, 700, 10**6):
+        found = {r["Class"]: r["count"] for r in sampling.balanced_sample(table, n).groupBy("Class").count().collect()}
+        have = {r["Class"]: r["count"] for r in table.groupBy("Class").count().collect()}
+        assert found == {c: min(n, m) for c, m in have.items() if n}
+
+
+def test_numbers_are_gapless_in_hash_order(spark, monkeypatch):
+    monkeypatch.setattr(numbering, "ROWS_A_SLICE", 50)
+    hashed = spark.range(1000).withColumn("h", hash_key(1, F.col("id")))
+    rows = numbering.number_rows(hashed, "h", "n").orderBy("h", "id").collect()
+    assert [r["n"] for r in rows] == list(range(1, 1001))
+
+
+def test_every_row_gives_and_takes_once(table):
+    rows = fidelity.with_donors(vectorize(table, FEATURES)).select("id", "x", "donor").collect()
+    assert len(rows) == table.count()
+    assert sorted(map(tuple, (r["donor"] for r in rows))) == sorted(map(tuple, (r["x"] for r in rows)))
+
+
+def test_areas_do_not_tie_small_scores(spark):
+    scored = spark.createDataFrame([(4e-7, 1), (3e-7, 0), (2e-7, 0), (1e-7, 0)], "p double, Class int")
+    assert metrics.curve_areas(scored).first().asDict() == {"auc_roc": 1.0, "auc_pr": 1.0, "average_precision": 1.0}
+
+
+def test_clean_by_subset_drops_duplicates_before_constants(spark):
+    rows = spark.createDataFrame([(1, 5, 2.0), (1, 6, 2.0), (1, 7, 2.0)], "k int, a int, c double")
+    assert cleaning.clean(rows, ["k"]).columns == []
+    assert cleaning.clean(rows, ["a"]).columns == ["a"]
+
+
+def test_missing_values_get_the_text_of_their_bin(spark):
+    sampler = Sampler(np.tile([-1.0, 0.0, 1.0], (1, 1)), np.tile([0.25, 0.5, 0.75], (1, 1)), np.zeros((1, 4, GRID)))
+    rows = spark.createDataFrame([(1, [float("nan")]), (2, [5.0])], "id long, x array<double>")
+    texts = [r[0][0] for r in rows.orderBy("id").select(Lime(["a"], sampler, None).conditions()).collect()]
+    assert texts == ["a <= -1.00", "a > 1.00"] and sampler.bins(np.array([[np.nan]])).tolist() == [[0]]
+
+
+def test_edges_fall_into_the_bucket_above(spark):
+    rows = spark.createDataFrame([(k / 10,) for k in range(11)], "v double")
+    got = [r[0] for r in rows.orderBy("v").select(profiling.bucket(F.col("v"), F.lit(0.0), F.lit(1.0), 10)).collect()]
+    assert got == [*range(10), 9]
+
 
 
 def test_confusion_counts_sum_to_the_rows_and_areas_ignore_monotone_maps(table, scorer):
