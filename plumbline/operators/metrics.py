@@ -135,6 +135,22 @@ def curve_areas(scored: DataFrame, score: str = "p", label: str = LABEL) -> Data
     )
 
 
+def rank_sum_area(scored: DataFrame, score: str = "p", label: str = LABEL) -> DataFrame:
+    """``by_ranks``: the area under the ROC curve as a share of ordered pairs, for checks.
+
+    Each positive counts the negatives below it, and half of those level with it.
+    """
+    curve = score_curve(scored, score, label)
+    totals = curve.agg(
+        F.sum("pos").alias("p"),
+        F.sum("neg").alias("n"),
+        F.sum(F.col("pos") * F.col("fp")).alias("above"),
+        F.sum(F.col("pos") * F.col("neg")).alias("level"),
+    )
+    pairs = (F.col("p") * F.col("n")).cast("double")
+    return totals.select(F.try_divide(pairs - F.col("above") + F.col("level") / 2, pairs).alias("by_ranks"))
+
+
 def positive_class_metrics(
     scored: DataFrame, prediction: str = "prediction", score: str = "p", label: str = LABEL
 ) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from functools import partial
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from plumbline.functions.arrays import KEY, LABEL
 from plumbline.functions.guards import sigmoid
+from plumbline.functions.vectors import matrix_of
 from plumbline.operators.profiling import describe, quartiles
 from plumbline.operators.sampling import with_fold
 from plumbline.operators.trees import Ensemble, ensemble_margins
@@ -51,6 +53,16 @@ def in_space(space: str, margins, x: np.ndarray) -> np.ndarray:
     return found if space == "margin" else 1.0 / (1.0 + np.exp(-found))
 
 
+def batch_scores(arrays):
+    """Arrow function ``x -> p`` by a node table's arrays."""
+
+    @F.arrow_udf("double")
+    def scores(x: pa.Array) -> pa.Array:
+        return pa.array(in_space("p", partial(ensemble_margins, arrays), matrix_of(x)))
+
+    return scores
+
+
 class LogisticScorer:
     """Fixed weights on standardised features."""
 

@@ -140,6 +140,11 @@ def distinct_counts(df: DataFrame, columns: list[str] | None = None) -> DataFram
     )
 
 
+def order_by_count(df: DataFrame, column: str) -> DataFrame:
+    """``(column, count)`` by falling count, equal counts by value."""
+    return df.groupBy(column).count().orderBy(F.desc("count"), column)
+
+
 def approx_distinct_counts(
     df: DataFrame, columns: list[str] | None = None, log_buckets: int = 12
 ) -> DataFrame:
@@ -163,17 +168,14 @@ def approx_distinct_counts(
 def value_distribution(df: DataFrame, max_values: int = 20) -> DataFrame:
     """``(column, value, count)`` of columns with at most ``max_values`` values, null included.
 
-    A sketch first rules out columns with clearly more values (twice the limit),
-    so key-like columns are never shuffled; the limit itself is applied to exact
-    counts.
+    A sketch first rules out columns with clearly more values, so that key-like columns
+    are never printed or shuffled; the limit itself is applied to exact counts. The
+    sketch lists up to hundreds of values one by one before it estimates, so no column
+    within the limit can reach twice of it. One row for each column is collected.
     """
     sketch = approx_distinct_counts(df).where(F.col("n_distinct") <= 2 * max_values + 8)
-    counts = (
-        _text_rows(df, df.columns)
-        .join(F.broadcast(sketch.select("column")), "column", "left_semi")
-        .groupBy("column", "value")
-        .count()
-    )
+    names = {r["column"] for r in sketch.select("column").collect()}
+    counts = _text_rows(df, [c for c in df.columns if c in names]).groupBy("column", "value").count()
     few = counts.groupBy("column").agg(F.count("*").alias("k")).where(F.col("k") <= max_values)
     return counts.join(F.broadcast(few.select("column")), "column", "left_semi").orderBy(
         "column", F.desc("count"), "value"

@@ -213,6 +213,35 @@ class Lime:
         kept = [c for c in df.columns if c not in ("phi", "explained_class", "p")]
         return df.withColumn("__s", surrogates(F.col("x"), wanted)).select(*kept, "__s.*")
 
+    def refit_gap(self, explained: DataFrame):
+        """Largest gap between a row's weights and those of a plain least-squares fit, for checks.
+
+        The penalty is written as extra samples and the intercept as a column.
+        """
+        predict = self.scorer.batch_function()
+        shipped = explained.sparkSession.sparkContext.broadcast((replace(self, scorer=None), *self.samples(predict)))
+
+        @F.arrow_udf("double")
+        def gaps(phi: pa.Array, x: pa.Array, p: pa.Array, wanted: pa.Array) -> pa.Array:
+            lime, bins, scores = shipped.value
+            weights, rows, own = matrix_of(phi), matrix_of(x), p.to_numpy()
+            classes, width = wanted.to_numpy(), rows.shape[1]
+            span = lime.kernel_width or 0.75 * np.sqrt(width)
+            out = np.zeros(len(rows))
+            for i in range(len(rows)):
+                z = np.vstack([np.ones(width), bins == lime.sampler.bins(rows[i : i + 1])[0]])
+                y = np.append(own[i], scores)
+                y = y if classes[i] == 1 else 1 - y
+                root = np.sqrt(np.sqrt(np.exp(-(width - z.sum(axis=1)) / span**2)))
+                top = np.flatnonzero(~np.isnan(weights[i]))
+                left = np.vstack([np.column_stack([z[:, top], np.ones(len(z))]) * root[:, None], np.zeros((len(top), len(top) + 1))])
+                left[len(z) :, : len(top)] = np.sqrt(lime.fit_alpha) * np.eye(len(top))
+                found = np.linalg.lstsq(left, np.append(y * root, np.zeros(len(top))), rcond=None)[0][:-1]
+                out[i] = np.abs(found - weights[i, top]).max(initial=0.0)
+            return pa.array(out)
+
+        return gaps(F.col("phi"), F.col("x"), F.col("p"), F.col("explained_class"))
+
     def batch_function(self):
         """``(x, classes) -> phi`` for a batch, absent weights as NaN."""
         predict = self.scorer.batch_function()

@@ -56,6 +56,7 @@ BOOSTER = {"maxIter": 100, "maxDepth": 6}
 # Sizes of the fits of the catalogue; the booster that most queries read has the first.
 GRID = {"max_depth": [2, 4], "learning_rate": [0.1, 0.3], "min_child_weight": [1, 5]}
 GRID_TREES = 5
+AS_TEXT = "yyyy-MM-dd HH:mm:ss"
 
 
 def query(fn: Query) -> Query:
@@ -74,6 +75,10 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     )
 
 
+def vectorize_columns():
+    return F.array(*[F.col(c).cast("double") for c in FEATURES]).alias("x")
+
+
 def tied(scored: DataFrame, digits: int = 6) -> DataFrame:
     """Scores rounded on both sides of a comparison, as their last bits differ between engines."""
     return scored.withColumn("p", F.round("p", digits))
@@ -175,9 +180,8 @@ def csv_scan_inferred(spark, sf_dir):
 
 @query
 def parquet_scan(spark, sf_dir):
-    return tables.read_table(spark, f"{sf_dir}/orders.parquet").select(
-        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"
-    )
+    table = tables.read_table(spark, f"{sf_dir}/orders.parquet")
+    return table.withColumn("o_orderdate", F.date_format("o_orderdate", AS_TEXT))
 
 
 @query
@@ -187,8 +191,13 @@ def repartitioned(spark, sf_dir):
 
 @query
 def persisted(spark, sf_dir):
-    table = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_totalprice")
-    return table.persist()
+    """One cached table read by two jobs, and released."""
+    table = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    cached = table.withColumn("o_orderdate", F.date_format("o_orderdate", AS_TEXT)).persist()
+    n_rows = cached.count()
+    result = materialize(cached.withColumn("n_rows", F.lit(n_rows).cast("bigint")), "persisted")
+    cached.unpersist()
+    return result
 
 
 @query
@@ -213,6 +222,16 @@ def model_nodes(spark, sf_dir):
     return models.model_nodes(spark, trained_path(spark, sf_dir))
 
 
+@query
+def model_nodes_check(spark, sf_dir):
+    """Split nodes whose children's training rows do not add up to their own."""
+    nodes = models.model_nodes(spark, trained_path(spark, sf_dir))
+    child = nodes.select("tree", F.col("node").alias("child"), F.col("cover").alias("part"))
+    splits = nodes.where("left >= 0").select("tree", "node", "cover", F.explode(F.array("left", "right")).alias("child"))
+    sums = splits.join(child, ["tree", "child"]).groupBy("tree", "node", "cover").agg(F.sum("part").alias("parts"))
+    return sums.agg(F.count_if(F.abs(F.col("parts") - F.col("cover")) > 1e-6).alias("n_off"))
+
+
 @query
 def scored_output(spark, sf_dir):
     rows = modeling.with_decision(Linear(spark, sf_dir).scored).select("id", "p", "flagged")
@@ -249,8 +268,8 @@ def class_filter(spark, sf_dir):
 
 
 def _dirty_columns(df: DataFrame) -> DataFrame:
-    """The columns that cleaning is about; the rest only repeat ``transactions``."""
-    return rounded(df.select("id", "V1", "V5", "V7", "Amount", "Class", "T", "U", "S"))
+    """All columns; the timestamp as text."""
+    return rounded(df.withColumn("D", F.date_format("D", AS_TEXT)))
 
 
 @query
@@ -270,7 +289,7 @@ def duplicate_report(spark, sf_dir):
 
 @query
 def drop_constant_columns(spark, sf_dir):
-    return rounded(cleaning.drop_constant(stored(transactions_dirty, spark, sf_dir)).drop("D"))
+    return _dirty_columns(cleaning.drop_constant(stored(transactions_dirty, spark, sf_dir)))
 
 
 @query
@@ -281,9 +300,9 @@ def cast_text_to_float(spark, sf_dir):
 
 @query
 def clean_table(spark, sf_dir):
-    table = cleaning.clean(stored(transactions_dirty, spark, sf_dir)).drop("D")
+    table = cleaning.clean(stored(transactions_dirty, spark, sf_dir))
     text = [F.col(c).cast("double").alias(c) for c in ("T", "U", "S")]
-    return rounded(table.select("id", *FEATURES, "Class", *text))
+    return _dirty_columns(table.select("id", *FEATURES, "Class", *text, "D"))
 
 
 @query
@@ -304,7 +323,9 @@ def prediction_label_pairs(spark, sf_dir):
 @query
 def column_profile(spark, sf_dir):
     table = stored(transactions_dirty, spark, sf_dir)
-    return profiling.column_profile(table).select("column", "pos", "type", "n_missing", "n_distinct")
+    return profiling.column_profile(table).select(
+        "column", "pos", "type", "nullable", "n_missing", "n_distinct"
+    )
 
 
 @query
@@ -339,10 +360,7 @@ def approx_distinct_counts(spark, sf_dir):
 
 @query
 def value_distribution(spark, sf_dir):
-    table = stored(transactions_dirty, spark, sf_dir)
-    months = F.col("V23").cast("int").alias("V23")
-    cents = F.round(F.col("V13") * 100).cast("int").alias("V13")
-    return profiling.value_distribution(table.select("id", "Class", months, cents, "T", "U", "S"))
+    return profiling.value_distribution(stored(transactions_dirty, spark, sf_dir))
 
 
 @query
@@ -409,7 +427,7 @@ def join_feature_stats(spark, sf_dir):
     table = stored(transactions, spark, sf_dir)
     stats = F.broadcast(profiling.feature_stats(table, FEATURES))
     values = unpivot_columns(table, FEATURES, ["id"], "feature")
-    return rounded(values.join(stats, "feature").select("id", "feature", "value", "mean", "median"))
+    return rounded(values.join(stats, "feature").select("id", "feature", "value", "mean", "median", "std"))
 
 
 @query
@@ -432,15 +450,13 @@ def align_explanations(spark, sf_dir):
 @query
 def expand_instances(spark, sf_dir):
     """Rows x features, rows x k and rows x repetitions, counted by kind and number."""
-    ids = transactions(spark, sf_dir).select("id")
-    entries = [F.struct(F.lit("feature").alias("kind"), F.lit(i).alias("i")) for i in range(1, 26)]
-    entries += [F.struct(F.lit("k").alias("kind"), F.lit(i).alias("i")) for i in range(1, 26)]
-    entries += [F.struct(F.lit("rep").alias("kind"), F.lit(i).alias("i")) for i in range(1, 6)]
-    return (
-        ids.select("id", F.inline(F.array(*entries)))
-        .groupBy("kind", "i")
-        .agg(F.count("*").alias("n"), F.sum("id").alias("id_sum"))
-    )
+    linear = Linear(spark, sf_dir)
+    singles = fidelity.perturb_single(linear.explained, linear.values("mean"))
+    tops = fidelity.perturb_top_k(linear.explained, linear.values("mean"))
+    kinds = [("feature", singles, "feature_pos"), ("k", tops, "k"), ("rep", linear.pairs(), "rep")]
+    parts = [df.select(F.lit(kind).alias("kind"), F.col(i).cast("int").alias("i"), "id") for kind, df, i in kinds]
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return rows.groupBy("kind", "i").agg(F.count("*").alias("n"), F.sum("id").alias("id_sum"))
 
 
 # --- sort, top-k ------------------------------------------------------------------------
@@ -448,9 +464,7 @@ def expand_instances(spark, sf_dir):
 
 @query
 def order_by_count(spark, sf_dir):
-    table = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    counts = table.groupBy("o_orderpriority").count()
-    return counts.orderBy(F.desc("count"), "o_orderpriority")
+    return profiling.order_by_count(spark.read.parquet(f"{sf_dir}/orders.parquet"), "o_orderpriority")
 
 
 @query
@@ -563,6 +577,29 @@ def batch_score(spark, sf_dir):
     return rounded(scored.select("id", "p", "prediction", "Class"))
 
 
+@query
+def batch_score_check(spark, sf_dir):
+    """Rows whose probability by the model and by its node table differ."""
+    boosted = Boosted(spark, sf_dir)
+    other = boosted.scorer.ensemble.margin_arrays()
+    table = stored(transactions, spark, sf_dir)
+    scored = modeling.score_model(models.load_model(boosted.path), table).select("p", vectorize_columns())
+    by_nodes = modeling.batch_scores(other)(F.col("x"))
+    off = F.abs(F.col("p") - by_nodes) > 1e-9
+    return scored.agg(F.count("*").alias("n_rows"), F.count_if(off).alias("n_off"))
+
+
+@query
+def booster_evaluation_check(spark, sf_dir):
+    """Areas of the booster's held-out scores against rank sums and plain running counts."""
+    model = models.load_model(trained_path(spark, sf_dir))
+    test = sampling.hash_split(transactions(spark, sf_dir))[1]
+    scored = materialize(modeling.score_model(model, test).select("id", "Class", "p"), "scored-rows")
+    by_ranks = metrics.rank_sum_area(scored).first()["by_ranks"]
+    off = F.abs(F.col("auc_roc") - F.lit(by_ranks)) > 1e-9
+    return metrics.curve_areas(scored).select(off.cast("int").alias("n_off"))
+
+
 @query
 def booster_evaluation(spark, sf_dir):
     model = models.load_model(trained_path(spark, sf_dir))
@@ -671,9 +708,7 @@ def _fixed_trees() -> Ensemble:
 @query
 def tree_shap_fixed(spark, sf_dir):
     explained = TreeShap(_fixed_trees()).explain(vectorize(stored(transactions, spark, sf_dir), FEATURES))
-    phi = {f: F.col("phi")[FEATURES.index(f)].alias(f"phi_{f}") for f in ("V2", "V3", "V13")}
-    others = [F.abs(F.col("phi")[j]) for j, f in enumerate(FEATURES) if f not in phi]
-    return rounded(explained.select("id", *phi.values(), F.greatest(*others).alias("largest_other")))
+    return rounded(explained.select("id", *[F.col("phi")[j].alias(f"phi_{f}") for j, f in enumerate(FEATURES)]))
 
 
 @query
@@ -723,6 +758,17 @@ def lime(spark, sf_dir):
     return rounded(explainer.long_values(explained))
 
 
+@query
+def lime_check(spark, sf_dir):
+    """Rows without ten weights, and rows whose weights another solver does not find."""
+    explainer, explained = Boosted(spark, sf_dir).lime()
+    off = explainer.refit_gap(explained) > 1e-6
+    ten = F.size(F.filter("phi", lambda v: v.isNotNull())) != 10
+    return explained.select("phi", "x", "p", "explained_class").agg(
+        F.count("*").alias("n_rows"), F.count_if(ten).alias("n_not_ten"), F.count_if(off).alias("n_off")
+    )
+
+
 @query
 def lime_importance(spark, sf_dir):
     _, explained = Boosted(spark, sf_dir).lime()

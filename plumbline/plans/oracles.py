@@ -253,6 +253,12 @@ TREE_MARGIN = (
 )
 
 
+ORDERS = (
+    "o_orderkey, o_custkey, o_orderstatus, o_totalprice, "
+    "strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate, o_orderpriority"
+)
+
+
 def _with(parts, select: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n" + select
 
@@ -263,10 +269,15 @@ def build() -> dict[str, str]:
     for name in ("csv_scan", "csv_scan_inferred", "repartitioned"):
         sql[name] = _with([TX], tx_all)
     sql["parquet_scan"] = (
-        "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders"
+        f"SELECT {ORDERS} FROM orders"
     )
-    sql["persisted"] = "SELECT o_orderkey, o_totalprice FROM orders"
+    sql["persisted"] = f"SELECT {ORDERS}, count(*) OVER () AS n_rows FROM orders"
     sql["model_round_trip"] = _with([TX], "SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_changed FROM tx")
+    none_off = "CAST(0 AS BIGINT) AS n_off"
+    sql["model_nodes_check"] = f"SELECT {none_off}"
+    sql["batch_score_check"] = _with([TX], f"SELECT count(*) AS n_rows, {none_off} FROM tx")
+    sql["booster_evaluation_check"] = "SELECT 0 AS n_off"
+    sql["lime_check"] = _with([TX], f"SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_not_ten, {none_off} FROM tx")
     sql["tree_shap_additivity"] = _with([TX], "SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_off FROM tx")
     sql["scored_output"] = _with([LINEAR], f"SELECT id, {r('p', 'p')}, p >= 0.8 AS flagged FROM scored")
     sql["statistics_output"] = _with([TX], _describe("tx", FEATURES, False))
@@ -276,7 +287,8 @@ def build() -> dict[str, str]:
         [TX], f"SELECT id, {rounded_columns([f for f in FEATURES if f not in ('V1', 'V24')])} FROM tx"
     )
     sql["class_filter"] = _with([TX], tx_all + " WHERE Class = 1")
-    shown = f"id, {rounded_columns(['V1', 'V5', 'V7', 'Amount'])}, Class, T, U, S"
+    day = "strftime(D, '%Y-%m-%d %H:%M:%S') AS D"
+    shown = f"id, {rounded_columns([*FEATURES, 'K'])}, Class, T, U, {day}, S"
     sql["drop_missing_rows"] = _with([DIRTY], f"SELECT {shown} FROM dirty WHERE {COMPLETE}")
     sql["drop_duplicate_rows"] = _with([DIRTY], f"SELECT {shown} FROM (SELECT DISTINCT * FROM dirty)")
     sql["duplicate_report"] = _with(
@@ -285,14 +297,14 @@ def build() -> dict[str, str]:
         "(SELECT (SELECT count(*) FROM dirty) AS n_rows, (SELECT count(*) FROM (SELECT DISTINCT * FROM dirty)) AS n_distinct)",
     )
     sql["drop_constant_columns"] = _with(
-        [DIRTY], f"SELECT id, {rounded_columns(FEATURES)}, Class, T, U, S FROM dirty"
+        [DIRTY], f"SELECT id, {rounded_columns(FEATURES)}, Class, T, U, {day}, S FROM dirty"
     )
     text = "TRY_CAST({0} AS FLOAT)::DOUBLE AS {0}"
     casts = ", ".join(text.format(c) for c in ("T", "U", "S"))
     sql["cast_text_to_float"] = _with([DIRTY], f"SELECT id, {casts} FROM dirty")
     sql["clean_table"] = _with(
         [DIRTY],
-        f"SELECT id, {rounded_columns(FEATURES)}, Class, {casts} "
+        f"SELECT id, {rounded_columns(FEATURES)}, Class, {casts}, {day} "
         f"FROM (SELECT DISTINCT * FROM dirty WHERE {COMPLETE})",
     )
     sql["vector_assembly"] = _with([TX], f"SELECT id, {rounded_columns(FEATURES)} FROM tx")
@@ -307,7 +319,7 @@ def build() -> dict[str, str]:
     sql["column_profile"] = _with(
         [DIRTY],
         " UNION ALL ".join(
-            f"SELECT '{c}' AS \"column\", {i} AS pos, '{t}' AS type, count(*) FILTER ({missing(c, t)}) AS n_missing, "
+            f"SELECT '{c}' AS \"column\", {i} AS pos, '{t}' AS type, true AS nullable, count(*) FILTER ({missing(c, t)}) AS n_missing, "
             f"count(DISTINCT {c}) AS n_distinct FROM dirty"
             for i, (c, t) in enumerate(DIRTY_TYPES, 1)
         ),
@@ -328,20 +340,17 @@ def build() -> dict[str, str]:
     sql["class_distribution"] = _with([TX], 'SELECT Class, count(*) AS "count" FROM tx GROUP BY Class')
     sql["describe_columns"] = _with([DIRTY], _describe("dirty", DIRTY_NUMERIC, False))
     sql["describe_with_quartiles"] = _with([DIRTY], _describe("dirty", DIRTY_NUMERIC, True))
-    values = {
-        "Class": "Class",
-        "V23": "CAST(V23 AS INTEGER)",
-        "V13": "CAST(round(V13 * 100) AS INTEGER)",
-        "T": "T",
-        "U": "U",
-        "S": "S",
-    }
     sql["value_distribution"] = _with(
-        [DIRTY],
-        " UNION ALL ".join(
-            f"SELECT '{c}' AS \"column\", CAST({e} AS VARCHAR) AS value, count(*) AS \"count\" FROM dirty GROUP BY {e}"
-            for c, e in values.items()
-        ),
+        [
+            DIRTY,
+            "counted AS ("
+            + " UNION ALL ".join(
+                f"SELECT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS value, count(*) AS \"count\" FROM dirty GROUP BY {c}"
+                for c, _ in DIRTY_TYPES
+            )
+            + ")",
+        ],
+        'SELECT "column", value, "count" FROM counted QUALIFY count(*) OVER (PARTITION BY "column") <= 20',
     )
     pairs = list(combinations(FEATURES, 2))
     sql["correlation_matrix"] = _with(
@@ -393,7 +402,7 @@ def build() -> dict[str, str]:
     sql["join_labels"] = _with([LINEAR], f"SELECT id, Class, {wide} FROM phi GROUP BY id, Class")
     sql["explanation_matrix"] = _with([LINEAR], f"SELECT id, {wide} FROM phi GROUP BY id")
     sql["join_feature_stats"] = _with(
-        [LINEAR], f"SELECT id, feature, {rounded_columns(['value', 'mean', 'median'])} FROM phi"
+        [LINEAR], f"SELECT id, feature, {rounded_columns(['value', 'mean', 'median', 'std'])} FROM phi"
     )
     sql["align_explanations"] = _with(
         [LINEAR, PAIRS],
@@ -491,8 +500,9 @@ def build() -> dict[str, str]:
 
     sql["tree_shap_fixed"] = _with(
         [TX],
-        "SELECT id, " + ", ".join(r(_tree_phi(f), f"phi_{f}") for f in ("V2", "V3", "V13"))
-        + ", 0.0::DOUBLE AS largest_other FROM tx",
+        "SELECT id, "
+        + ", ".join(r(_tree_phi(f) if f in ("V2", "V3", "V13") else "0.0::DOUBLE", f"phi_{f}") for f in FEATURES)
+        + " FROM tx",
     )
     sql["fixed_tree_scores"] = _with(
         [TX], f"SELECT id, {r(TREE_MARGIN, 'margin')}, {r(SIG.format(TREE_MARGIN), 'p')} FROM tx"
