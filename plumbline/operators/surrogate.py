@@ -167,7 +167,8 @@ class Lime:
         """Weights (NaN outside the top) and classes of some rows.
 
         The ridge with a free intercept needs only weighted sums of products. Those of
-        the selected features are part of those of all, so they are summed once.
+        the selected features are part of those of all, so they are summed once. The row
+        itself is one more sample, of weight 1 and equal to itself everywhere.
         """
         width, own = x.shape[1], self.sampler.bins(x).astype(np.int8)
         explained = (p > 0.5).astype(np.int64) if classes is None else classes
@@ -175,17 +176,16 @@ class Lime:
         by_matches = np.sqrt(np.exp(-(width - np.arange(width + 1)) / span**2))
         k = min(self.n_features, width)
         phi = np.full(x.shape, np.nan)
+        places, row = np.arange(4), 4 * np.arange(width)
+        hot = (bins.T[:, None, :] == places[None, :, None]).astype(np.float64).reshape(4 * width, -1)
         for i in range(len(x)):
-            z = np.empty((len(bins) + 1, width))
-            z[0] = 1.0
-            np.equal(bins, own[i], out=z[1:], casting="unsafe")
-            w = by_matches[z.sum(axis=1).astype(np.int64)]
-            y = np.append(p[i], scores)
-            y = y if explained[i] == 1 else 1.0 - y
-            wz, total = z * w[:, None], w.sum()
-            sums = wz.sum(axis=0)
-            left = z.T @ wz - np.outer(sums, sums) / total
-            right = wz.T @ y - sums * ((w @ y) / total)
+            z = hot[row + own[i]]
+            w = by_matches[z.sum(axis=0).astype(np.intp)]
+            y, mine = (scores, p[i]) if explained[i] == 1 else (1.0 - scores, 1.0 - p[i])
+            wz, total = z * w, w.sum() + 1.0
+            sums = wz.sum(axis=1) + 1.0
+            left = z @ wz.T + 1.0 - np.outer(sums, sums) / total
+            right = wz @ y + mine - sums * ((w @ y + mine) / total)
             first = np.linalg.solve(left + self.select_alpha * np.eye(width), right)
             top = np.sort(np.argsort(-np.abs(first), kind="stable")[:k])
             phi[i, top] = np.linalg.solve(left[np.ix_(top, top)] + self.fit_alpha * np.eye(k), right[top])
