@@ -24,6 +24,7 @@ LONGEST = 32
 SAMPLE_DOCS = 400
 SAMPLE_WORDS = 20_000
 MAX_LANGUAGES = 256
+HASH_STEPS = 1 << 31
 STEPS = 700
 BATCH = 512
 RATE = 0.01
@@ -164,13 +165,22 @@ def fit(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text",
     """Train on a bounded sample of the labelled rows where ``learn`` holds.
 
     The sample is at most ``SAMPLE_DOCS`` documents of each language, those of least
-    hash of their key, and of their words at most ``SAMPLE_WORDS`` a language. The
-    driver holds that sample alone. More than ``MAX_LANGUAGES`` languages are refused.
+    hash of their key, and of their words at most ``SAMPLE_WORDS`` a language. Rows far
+    above the wanted hash are left out before any text is shuffled. The driver holds
+    that sample alone. More than ``MAX_LANGUAGES`` languages are refused.
     """
     wanted = F.coalesce(learn, F.lit(False)) & F.col(text).isNotNull() & F.col(lang).isNotNull()
     labelled = docs.where(wanted).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("language"))
-    order = W.partitionBy("language").orderBy(F.xxhash64("k"), "k")
-    some = labelled.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= SAMPLE_DOCS)
+    sizes = labelled.groupBy("language").count()
+    if sizes.limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
+        raise ValueError(f"{lang} has more than {MAX_LANGUAGES} values")
+    hashed = labelled.withColumn("h", F.pmod(F.xxhash64("k"), F.lit(HASH_STEPS)))
+    near = F.col("h") * F.col("count") < F.lit(3 * SAMPLE_DOCS * HASH_STEPS)
+    order = W.partitionBy("language").orderBy("h", "k")
+    some = (
+        hashed.join(F.broadcast(sizes), "language").where(near)
+        .withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= SAMPLE_DOCS)
+    )
     counted = (
         some.select("language", F.explode(F.split("t", r"[ \t-\r]+")).alias("word"))
         .where("word != ''").groupBy("language", "word").count()
@@ -180,8 +190,6 @@ def fit(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text",
     table = store(counted, "words").toArrow()
     found = table.column("language").to_pylist()
     languages = sorted(set(found))
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"{lang} has more than {MAX_LANGUAGES} values")
     pieces: dict[tuple[bytes, int], int] = {}
     for word, name, count in zip(table.column("word").to_pylist(), found, table.column("count").to_pylist(), strict=True):
         raw = bytetext.lower(np.frombuffer(word.encode(), np.uint8)).tobytes()
@@ -242,7 +250,7 @@ class Reader:
                 self.clear()
             spot = np.minimum(np.searchsorted(self.keys, distinct), max(0, len(self.keys) - 1))
             new = np.flatnonzero(self.keys[spot] != distinct) if len(self.keys) else np.arange(len(distinct))
-            if len(new):
+            if len(new) and size:
                 self.learn(distinct[new], flat, starts[at[new]], (stops - starts)[at[new]])
             spot = np.searchsorted(self.keys, distinct)[unit]
             count = end - first
