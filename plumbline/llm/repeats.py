@@ -338,7 +338,8 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, q: int = QGRAM) -> D
     before the shuffle.
     """
     by_place = ["a", "c", "doc", "lo"]
-    runs = docs.mapInArrow(find_runs(length, q), RUN).repartition("a").sortWithinPartitions(*by_place)
+    meeting = F.when(F.col("kind") == KEPT, F.col("a")).otherwise(F.xxhash64("doc", "lo"))
+    runs = docs.mapInArrow(find_runs(length, q), RUN).repartition(meeting).sortWithinPartitions(*by_place)
     met = store(runs.mapInArrow(meet, RUN), "runs")
     open_runs = met.where(F.col("kind") == KEPT)
     hot = open_runs.groupBy("a").count().where(F.col("count") > HOT_CONTEXTS).select("a", F.lit(True).alias("hot"))
