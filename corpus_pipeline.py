@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from plumbline.llm import jaccard, language_id, packing, repeats
 from plumbline.llm.queries import TOKENIZERS, remainder, table
 from plumbline.llm.storing import store
+from plumbline.sources.shipping import ship
 
 LEAST_SCORE = 0.25
 SHINGLE_WORDS, SIMILAR, OF = 5, 80, 100
@@ -26,6 +27,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     The network learns from two thirds of the labelled documents it is given.
     """
+    ship(spark)
     net = language_id.fit(docs, remainder("doc_id", 3) != 1)
     labelled = language_id.label(docs, net)
     accepted = (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)
@@ -37,6 +39,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Documents without an id, and rows that share one, stay as they are.
     """
+    ship(spark)
     groups = jaccard.jaccard_join(docs, SHINGLE_WORDS, SIMILAR, OF)
     later = groups.where("doc_id != component_id").select("doc_id")
     return docs.join(later, "doc_id", "left_anti").select(docs.columns)
@@ -47,6 +50,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A document of which nothing is left goes; ``n_chars`` counts what is left.
     """
+    ship(spark)
     others = [c for c in docs.columns if c not in ("text", "n_chars")]
     cut = repeats.remove_repeats(docs, keep=others, whole_characters=True)
     left = cut.where("n_removed < n_bytes OR n_bytes = 0").withColumn("text", F.col("kept").cast("string"))
@@ -55,6 +59,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All tokens of the documents in sequences of at most 2048."""
+    ship(spark)
     return packing.pack(docs, f"{TOKENIZERS}/word_bpe_49k.json")
 
 
