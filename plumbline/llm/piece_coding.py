@@ -20,7 +20,8 @@ MARK = "▁"
 NEVER = -1e8
 UNKNOWN_PENALTY = 10.0
 CACHED_WORDS = 1_000_000
-CELLS = 2_000_000
+CELLS = 1_000_000
+DECODED_IDS = 300_000
 
 
 class Pieces:
@@ -114,6 +115,19 @@ class Pieces:
         return out[used], used.sum(axis=1)
 
 
+    def texts(self, column: pa.Array) -> pa.Array:
+        """The text of each list of ids."""
+        size = pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = column.flatten().cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False)
+        good = (flat >= 0) & (flat < len(self.raw_size))
+        flat = np.where(good, flat, 0)
+        width = np.where(good, self.raw_size[flat], 0)
+        whole = self.raw[bytetext.ranges(self.raw_at[flat], width)].tobytes()
+        ends = np.concatenate([[0], np.cumsum(width)])[np.concatenate([[0], np.cumsum(size)])]
+        found = [whole[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        return pa.array([t[1:] if t[:1] == " " else t for t in found], pa.string())
+
+
 class Encoder:
     """Ids of whole texts, with the ids of words already segmented, at most ``CACHED_WORDS``."""
 
@@ -184,13 +198,12 @@ def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(model)
         for batch in batches:
-            column = batch.column(at).cast(pa.string()).fill_null("")
-            values, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
-            for some, offsets in encoder.batch(column):
-                values.append(some)
-                counts.append(np.diff(offsets))
-            ends = np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values)))], [*own, ids])
+            done = 0
+            for some, offsets in encoder.batch(batch.column(at).cast(pa.string()).fill_null("")):
+                part = batch.slice(done, len(offsets) - 1)
+                done += len(offsets) - 1
+                found = pa.ListArray.from_arrays(pa.array((offsets - offsets[0]).astype(np.int32)), pa.array(some[offsets[0] : offsets[-1]]))
+                yield pa.RecordBatch.from_arrays([*part.columns, found], [*own, ids])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in own)
     return docs.select(*[F.col(f"`{c}`") for c in own]).mapInArrow(run, f"{kinds}, `{ids}` array<int>")
@@ -208,17 +221,14 @@ def decode(coded: DataFrame, model: str, ids: str = "ids", decoded: str = "decod
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(model)
         for batch in batches:
-            column = batch.column(at)
-            size = pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            flat = column.flatten().cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False)
-            good = (flat >= 0) & (flat < len(pieces.raw_size))
-            flat = np.where(good, flat, 0)
-            width = np.where(good, pieces.raw_size[flat], 0)
-            data = pieces.raw[bytetext.ranges(pieces.raw_at[flat], width)]
-            ends = np.concatenate([[0], np.cumsum(width)])[np.concatenate([[0], np.cumsum(size)])]
-            whole = data.tobytes()
-            texts = [whole[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([t[1:] if t[:1] == " " else t for t in texts], pa.string())], [*own, decoded])
+            ends = np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            lo = 0
+            while lo < batch.num_rows:
+                before = ends[lo - 1] if lo else 0
+                hi = max(lo + 1, int(np.searchsorted(ends, before + DECODED_IDS, "right")))
+                part = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([*part.columns, pieces.texts(part.column(at))], [*own, decoded])
+                lo = hi
 
     kinds = ", ".join(f"`{c}` {coded.schema[c].dataType.simpleString()}" for c in own)
     return coded.select(*[F.col(f"`{c}`") for c in own]).mapInArrow(run, f"{kinds}, `{decoded}` string")
