@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 2_000_000
 BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(BASE, -1, 2**64)
 _POWERS: dict[str, np.ndarray] = {}
