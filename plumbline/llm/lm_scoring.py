@@ -27,6 +27,7 @@ MIN_SEGMENTS, MAX_SEGMENTS = 64, 1 << 13
 MAX_HEAD = 1 << 20
 PRIOR = 200.0
 KEY_BYTES = 5
+SHIPPED_KEYS = 1_000_000
 END = np.uint64(0x5851F42D4C957F2D)
 WORD, PAIR = 21, 22
 
@@ -114,35 +115,42 @@ class Filter:
 
 
 def ship_ngrams(filt: Filter, head: Broadcast) -> Callable:
-    """Pairs, and words outside the head, of a batch by segment: keys of five bytes and counts."""
+    """Pairs, and words outside the head, by segment: keys of five bytes and counts.
+
+    Counts are summed over some chunks of text, as many as hold ``SHIPPED_KEYS`` keys.
+    """
+
+    def by_segment(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        keys, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        counts = np.bincount(at, np.concatenate([p[1] for p in parts])).astype(np.int64)
+        short = keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
+        cut = np.searchsorted(filt.segment(keys), np.arange(filt.segments + 1))
+        ones = counts == 1
+        columns: list[list] = [[], [], [], []]
+        for s in range(filt.segments):
+            own = slice(cut[s], cut[s + 1])
+            single = ones[own]
+            columns[0].append(s)
+            columns[1].append(short[own][single].tobytes())
+            columns[2].append(short[own][~single].tobytes())
+            columns[3].append(counts[own][~single].astype("<u4").tobytes())
+        kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["segment", "ones", "many", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
-            parts = []
             for _, _, flat, offsets in bytetext.chunks(batch.column(0)):
                 tokens, rows = with_ends(flat, offsets)
                 words, counts = np.unique(tokens, return_counts=True)
                 tail = head.value.find(words) < 0
                 parts.append((bytetext.mix(words[tail], WORD), counts[tail]))
                 parts.append(np.unique(pair_keys(histories(tokens, rows), tokens), return_counts=True))
-            if not parts:
-                continue
-            keys, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-            counts = np.bincount(at, np.concatenate([p[1] for p in parts])).astype(np.int64)
-            short = keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
-            cut = np.searchsorted(filt.segment(keys), np.arange(filt.segments + 1))
-            ones = counts == 1
-            columns: list[list] = [[], [], [], []]
-            for s in range(filt.segments):
-                own = slice(cut[s], cut[s + 1])
-                for column, value in zip(
-                    columns,
-                    (s, short[own][ones[own]].tobytes(), short[own][~ones[own]].tobytes(), counts[own][~ones[own]].astype("<u4").tobytes()),
-                    strict=True,
-                ):
-                    column.append(value)
-            kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["segment", "ones", "many", "counts"])
+                if sum(len(p[0]) for p in parts) >= SHIPPED_KEYS:
+                    yield by_segment(parts)
+                    parts = []
+        if parts:
+            yield by_segment(parts)
 
     return run
 
