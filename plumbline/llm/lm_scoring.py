@@ -312,6 +312,8 @@ def score(
         f"kind int, row long, n long, h long, base double, score double, key {kind}, train boolean",
     )
     keyed = store(texts, "scored")
+    bits.destroy()
+    head.destroy()
     rare = keyed.where("kind = 1").select("row", "n", "h").join(words, "h")
     added = rare.groupBy("row").agg(F.sum("n").alias("known"), F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("more"))
     return (
