@@ -389,30 +389,75 @@ def jaccard_join(
         .agg(F.sum(F.when(F.col("kind") == PAIR_BY_SUBSET, SHARED).otherwise(1)).alias("shared"))
         .where(F.col("shared") >= SHARED)
     )
-    long = met.where(F.col("kind") == LONG_LIST).select(F.col("x").alias("sig"), F.col("y").alias("uid"))
-    lists = long.groupBy("sig").agg(F.count("*").alias("m"), F.sum(F.xxhash64("uid").bitwiseAND(F.lit((1 << 40) - 1))).alias("members"))
-    distinct_lists = lists.groupBy("m", "members").agg(F.min("sig").alias("sig"))
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("uid", "sig"), F.col("blocks")).cast("int")
-    block_cells = (
-        long.join(distinct_lists.select("sig", blocks.alias("blocks")), "sig")
-        .withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(F.col("sig").alias("c1"), F.least("own", "other").alias("c2"), F.greatest("own", "other").alias("c3"), "uid")
-    )
     none = F.lit(-1)
     pair_cells = pairs.select(F.col("x").alias("c1"), F.explode(F.array("x", "y")).alias("uid")).distinct()
-    cells = store(block_cells.unionByName(pair_cells.select("c1", none.alias("c2"), none.alias("c3"), "uid")), "cells")
+    pair_cells = pair_cells.select("c1", none.alias("c2"), none.alias("c3"), "uid")
+    long = _distinct_lists(met.where(F.col("kind") == LONG_LIST).select(F.col("x").alias("sig"), F.col("y").alias("uid")))
+    cells = store(pair_cells.unionByName(_star_cells(long)), "cells")
 
     named = sets.where("n > 0").groupBy("uid").agg(F.min(F.struct("doc", "n")).alias("first"))
-    wanted = cells.select("uid").distinct().join(named, "uid").select("uid", F.col("first.doc").alias("doc"))
+    wanted = cells.select("uid").distinct().join(named, "uid").select("uid", F.col("first.doc").alias("_doc"))
     same = F.col("doc").eqNullSafe(F.col("_doc"))
-    with_text = store(rows.join(wanted.withColumnRenamed("doc", "_doc"), same).select("uid", "text").mapInArrow(own_texts(n), "uid long, text string"), "texts")
-    shipped = cells.join(with_text, "uid").repartition("c1", "c2", "c3").sortWithinPartitions("c1", "c2", "c3")
-    links = store(shipped.mapInArrow(verify(n, similar), "x long, y long"), "links")
+    with_text = store(rows.join(wanted, same).select("uid", "text").mapInArrow(own_texts(n), "uid long, text string"), "texts")
+
+    def verified(cells: DataFrame) -> DataFrame:
+        shipped = cells.join(with_text, "uid").repartition("c1", "c2", "c3").sortWithinPartitions("c1", "c2", "c3")
+        return store(shipped.mapInArrow(verify(n, similar), "x long, y long"), "links")
+
+    links = verified(cells)
+    if not long.isEmpty():
+        links = links.unionByName(verified(_rest_cells(long, connected_components(links, "x", "y"))))
     return _components(sets, classes, links, key)
 
 
+def _distinct_lists(long: DataFrame) -> DataFrame:
+    """One of the long lists with the same members."""
+    low = F.xxhash64("uid").bitwiseAND(F.lit((1 << 40) - 1))
+    lists = long.groupBy("sig").agg(F.count("*").alias("m"), F.sum(low).alias("members"))
+    return store(long.join(lists.groupBy("m", "members").agg(F.min("sig").alias("sig")).select("sig"), "sig"), "lists")
+
+
+def _star_cells(long: DataFrame) -> DataFrame:
+    """Each member of a long list with the list's leader, the member of most long lists.
+
+    A leader's members over all its lists are dealt into cells of about ``BLOCK``.
+    """
+    degree = long.groupBy("uid").agg(F.count("*").alias("degree"))
+    leaders = long.join(degree, "uid").groupBy("sig").agg(F.max(F.struct("degree", "uid"))["uid"].alias("c1"))
+    star = long.join(leaders, "sig").select("c1", "uid").distinct()
+    slices = star.groupBy("c1").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("slices"))
+    own = F.pmod(F.xxhash64("uid"), F.col("slices")).cast("int")
+    cells = star.join(slices, "c1").select("c1", own.alias("c2"), F.lit(-2).alias("c3"), "uid")
+    return cells.unionByName(cells.select("c1", "c2", "c3", F.col("c1").alias("uid"))).distinct()
+
+
+def _rest_cells(long: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs of a long list's members that are not in one component yet, as blocks against blocks.
+
+    The members outside the list's largest component meet all members, so every pair
+    across components is in a cell. Lists within one component have none.
+    """
+    tagged = long.join(nodes.withColumnRenamed("node", "uid"), "uid", "left").select("sig", "uid", F.coalesce("component", "uid").alias("comp"))
+    parts = tagged.groupBy("sig", "comp").count()
+    top = F.max(F.struct("count", "comp"))
+    lists = (
+        parts.groupBy("sig").agg(top.alias("top"), F.sum("count").alias("m"), F.count("*").alias("parts")).where("parts > 1")
+        .select(
+            "sig",
+            F.col("top.comp").alias("top"),
+            F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"),
+            F.ceil((F.col("m") - F.col("top.count")) / BLOCK).cast("int").alias("rest_blocks"),
+        )
+    )
+    rows = tagged.join(lists, "sig")
+    every = rows.withColumn("own", F.pmod(F.xxhash64("uid", "sig"), F.col("blocks")).cast("int"))
+    rest = rows.where("comp != top").withColumn("own", F.pmod(F.xxhash64("sig", "uid"), F.col("rest_blocks")).cast("int"))
+    count = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    one = every.select(F.col("sig").alias("c1"), count("rest_blocks").alias("c2"), F.col("own").alias("c3"), "uid")
+    two = rest.select(F.col("sig").alias("c1"), F.col("own").alias("c2"), count("blocks").alias("c3"), "uid")
+    return one.unionByName(two).distinct()
+
+
 def _components(sets: DataFrame, classes: DataFrame, links: DataFrame, key: str) -> DataFrame:
     """Every document's component from the links of sets. Equal sets are joined as one class."""
     nodes = connected_components(links, "x", "y")
