@@ -32,14 +32,14 @@ HOT_CONTEXTS = 20_000
 BATCH_ROWS = 20_000
 NO_KEY = -(2**63)
 
-RUN = "kind int, a long, c long, doc long, lo long, n int"
-_RUN_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
-_RUN_NAMES = ["kind", "a", "c", "doc", "lo", "n"]
+RUN = "kind int, a long, c long, doc long, row long, lo long, n int"
+_RUN_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+_RUN_NAMES = ["kind", "a", "c", "doc", "row", "lo", "n"]
 KEPT, REMOVED = 0, 1
 
 
-def _run_batch(kind: np.ndarray, a, c, doc, lo, n) -> pa.RecordBatch:
-    columns = [kind.astype(np.int32), a, c, doc, lo, n.astype(np.int32)]
+def _run_batch(kind: np.ndarray, a, c, doc, row, lo, n) -> pa.RecordBatch:
+    columns = [kind.astype(np.int32), a, c, doc, row, lo, n.astype(np.int32)]
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, _RUN_TYPES, strict=True)], _RUN_NAMES)
 
 
@@ -81,25 +81,29 @@ def runs_of(flat: np.ndarray, offsets: np.ndarray, length: int, q: int) -> tuple
     return owner, bytetext.signed(grams[anchor]), bytetext.signed(context), begin - offsets[owner], count
 
 
-def _fold(a: np.ndarray, c: np.ndarray, doc: np.ndarray, lo: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+def _fold(a: np.ndarray, c: np.ndarray, doc: np.ndarray, row: np.ndarray, lo: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     """Of runs with one anchor and context, the earliest is kept and the others are repeats."""
-    order = np.lexsort((lo, doc, c, a))
-    a, c, doc, lo, n = a[order], c[order], doc[order], lo[order], n[order]
+    order = np.lexsort((lo, row, doc, c, a))
+    a, c, doc, row, lo, n = a[order], c[order], doc[order], row[order], lo[order], n[order]
     fresh = np.ones(len(a), bool)
     fresh[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1])
     head = np.maximum.accumulate(np.where(fresh, np.arange(len(a)), 0))
-    same = (doc == doc[head]) & (lo == lo[head])
+    same = (row == row[head]) & (lo == lo[head])
     keep = fresh | ~same
     kind = np.where(fresh, KEPT, REMOVED)
-    return _run_batch(kind[keep], a[keep], c[keep], doc[keep], lo[keep], n[keep])
+    return _run_batch(kind[keep], a[keep], c[keep], doc[keep], row[keep], lo[keep], n[keep])
 
 
 def find_runs(length: int, q: int, segment: int = bytetext.CHUNK_BYTES) -> Callable:
-    """``doc, text`` to folded runs. A text longer than ``segment`` is read in overlapping parts."""
+    """``doc, text, row`` to folded runs. A text longer than ``segment`` is read in overlapping parts.
+
+    Without ``row`` every row has a ``doc`` of its own.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs = batch.column(0).to_numpy(zero_copy_only=False)
+            rows = batch.column(2).to_numpy(zero_copy_only=False) if batch.num_columns > 2 else docs
             for first, _, flat, offsets in bytetext.chunks(batch.column(1)):
                 parts = []
                 if len(offsets) == 2 and len(flat) > segment:
@@ -111,7 +115,7 @@ def find_runs(length: int, q: int, segment: int = bytetext.CHUNK_BYTES) -> Calla
                     parts.append(runs_of(flat, offsets, length, q))
                 owner, a, c, lo, n = (np.concatenate(x) for x in zip(*parts, strict=True))
                 if len(owner):
-                    yield _fold(a, c, docs[first + owner], lo, n)
+                    yield _fold(a, c, docs[first + owner], rows[first + owner], lo, n)
 
     return run
 
@@ -129,7 +133,7 @@ def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if pa.compute.any(known).as_py():
             yield batch.filter(known)
             batch = batch.filter(pa.compute.invert(known))
-        a, c, doc, lo, n = (batch.column(k).to_numpy() for k in _RUN_NAMES[1:])
+        a, c, doc, row, lo, n = (batch.column(k).to_numpy() for k in _RUN_NAMES[1:])
         if not len(a):
             continue
         new_a, new_c = np.ones(len(a), bool), np.ones(len(a), bool)
@@ -139,9 +143,9 @@ def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             new_a[0] = a[0] != seen[0]
             new_c[0] = new_a[0] or c[0] != seen[1]
         heads = np.maximum.accumulate(np.where(new_c, np.arange(len(a)), -1))
-        head_doc = np.where(heads >= 0, doc[heads], seen[2] if seen is not None else 0)
+        head_row = np.where(heads >= 0, row[heads], seen[2] if seen is not None else 0)
         head_lo = np.where(heads >= 0, lo[heads], seen[3] if seen is not None else 0)
-        repeat = ~new_c & ((doc != head_doc) | (lo != head_lo))
+        repeat = ~new_c & ((row != head_row) | (lo != head_lo))
         group = np.cumsum(new_a)
         contexts = np.bincount(group, weights=new_c, minlength=group[-1] + 1)
         refine = new_c & (contexts[group] + (group == 0) > 1)
@@ -151,12 +155,12 @@ def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = repeat | refine
         if keep.any():
             kind = np.where(repeat, REMOVED, KEPT)
-            yield _run_batch(kind[keep], a[keep], c[keep], doc[keep], lo[keep], n[keep])
+            yield _run_batch(kind[keep], a[keep], c[keep], doc[keep], row[keep], lo[keep], n[keep])
         if group[-1] > 0:
             i = int(np.flatnonzero(new_a)[-1])
-            back = (a[i], c[i], doc[i], lo[i], n[i]) if contexts[group[-1]] == 1 else None
+            back = (a[i], c[i], doc[i], row[i], lo[i], n[i]) if contexts[group[-1]] == 1 else None
         h = int(heads[-1])
-        seen = (a[-1], c[-1], head_doc[-1], head_lo[-1]) if h < 0 else (a[h], c[h], doc[h], lo[h])
+        seen = (a[-1], c[-1], head_row[-1], head_lo[-1]) if h < 0 else (a[h], c[h], row[h], lo[h])
 
 
 def refine_buckets(flat: np.ndarray, left: np.ndarray, length: int, first: int = FIRST) -> np.ndarray:
@@ -197,35 +201,35 @@ def refine_buckets(flat: np.ndarray, left: np.ndarray, length: int, first: int =
     return pointer
 
 
-def _spans(doc: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
+def _spans(row: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
     """Starts of repeated strings as runs of consecutive ones."""
-    order = np.lexsort((start, doc))
-    doc, start = doc[order], start[order]
-    fresh = np.ones(len(doc), bool)
-    fresh[1:] = (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)
+    order = np.lexsort((start, row))
+    row, start = row[order], start[order]
+    fresh = np.ones(len(row), bool)
+    fresh[1:] = (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)
     first = np.flatnonzero(fresh)
     return pa.RecordBatch.from_arrays(
-        [pa.array(doc[first]), pa.array(start[first]), pa.array(np.diff(np.append(first, len(doc))).astype(np.int32))],
-        ["doc", "lo", "n"],
+        [pa.array(row[first]), pa.array(start[first]), pa.array(np.diff(np.append(first, len(row))).astype(np.int32))],
+        ["row", "lo", "n"],
     )
 
 
 def refine(length: int, rows: int = BATCH_ROWS) -> Callable:
     """Contexts sorted by anchor to the repeated strings among them, some anchors at a time."""
 
-    def solve(a: np.ndarray, doc: np.ndarray, lo: np.ndarray, flat: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
+    def solve(doc: np.ndarray, row: np.ndarray, lo: np.ndarray, flat: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
         left = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(len(flat))
         pointer = refine_buckets(flat, left, length)
         at = np.flatnonzero(pointer >= 0)
         owner = np.searchsorted(offsets, at, "right") - 1
         start = lo[owner] + at - offsets[owner]
-        order = np.lexsort((start, doc[owner], pointer[at]))
+        order = np.lexsort((start, row[owner], doc[owner], pointer[at]))
         at, owner, start = at[order], owner[order], start[order]
         fresh = np.ones(len(at), bool)
         fresh[1:] = pointer[at][1:] != pointer[at][:-1]
         head = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
-        later = (doc[owner] != doc[owner][head]) | (start != start[head])
-        return _spans(doc[owner][later], start[later])
+        later = (row[owner] != row[owner][head]) | (start != start[head])
+        return _spans(row[owner][later], start[later])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -233,8 +237,8 @@ def refine(length: int, rows: int = BATCH_ROWS) -> Callable:
 
         def drain(table: pa.Table) -> pa.RecordBatch:
             flat, offsets = bytetext.buffers(table.column("context"))
-            a, doc, lo = (table.column(c).to_numpy() for c in ("a", "doc", "lo"))
-            return solve(a, doc, lo, flat, offsets)
+            doc, row, lo = (table.column(c).to_numpy() for c in ("doc", "row", "lo"))
+            return solve(doc, row, lo, flat, offsets)
 
         for batch in batches:
             held.append(batch)
@@ -265,6 +269,7 @@ def fetch(length: int) -> Callable:
                 runs = places.flatten()
                 a, lo, n, hot = (runs.field(k).to_numpy(zero_copy_only=False) for k in range(4))
                 docs = batch.column(0).slice(first, end - first).to_numpy()[owner]
+                rows = batch.column(3).slice(first, end - first).to_numpy()[owner]
                 begin = offsets[owner] + lo
                 size = np.maximum(np.minimum(n + length - 1, offsets[1:][owner] - begin), 0)
                 for want in (False, True):
@@ -276,13 +281,13 @@ def fetch(length: int) -> Callable:
                         count = np.maximum(size[pick] - length + 1, 0)
                         at = bytetext.ranges(begin[pick], count)
                         key = bytetext.signed(bytetext.span_hash(sums, down, at, at + length))
-                        of, start = np.repeat(docs[pick], count), at - np.repeat(offsets[owner[pick]], count)
+                        of, row, start = np.repeat(docs[pick], count), np.repeat(rows[pick], count), at - np.repeat(offsets[owner[pick]], count)
                         context = pa.nulls(len(at), pa.binary())
                     else:
-                        key, of, start = a[pick], docs[pick], lo[pick]
+                        key, of, row, start = a[pick], docs[pick], rows[pick], lo[pick]
                         data, bound = flat[bytetext.ranges(begin[pick], size[pick])], np.concatenate([[0], np.cumsum(size[pick])])
                         context = pa.Array.from_buffers(pa.large_binary(), len(pick), [None, pa.py_buffer(bound.astype(np.int64)), pa.py_buffer(data.tobytes())]).cast(pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(of), pa.array(start), context], ["a", "doc", "lo", "context"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(of), pa.array(row), pa.array(start), context], ["a", "doc", "row", "lo", "context"])
 
     return run
 
@@ -330,33 +335,34 @@ def cut_out(length: int, whole_characters: bool) -> Callable:
 
 
 def repeated_strings(docs: DataFrame, length: int = LENGTH, q: int = QGRAM) -> DataFrame:
-    """``doc, lo, n``: in ``doc``, the ``length``-byte strings that start at ``lo`` to ``lo + n - 1`` start earlier too.
+    """``row, lo, n``: in ``row``, the ``length``-byte strings that start at ``lo`` to ``lo + n - 1`` start earlier too.
 
-    ``docs`` has ``doc`` (long, not null) and ``text`` (string or binary). An anchor with
+    ``docs`` has ``doc`` (long, not null), ``text`` (string or binary) and ``row`` (long,
+    unique): earlier is by ``doc``, then ``row``, then place. An anchor with
     more than ``HOT_CONTEXTS`` contexts is not refined as one group: its strings are
     compared one by one by their hashes, which spreads them and folds equal ones
     before the shuffle.
     """
-    by_place = ["a", "c", "doc", "lo"]
-    meeting = F.when(F.col("kind") == KEPT, F.col("a")).otherwise(F.xxhash64("doc", "lo"))
-    runs = docs.mapInArrow(find_runs(length, q), RUN).repartition(meeting).sortWithinPartitions(*by_place)
+    by_place = ["a", "c", "doc", "row", "lo"]
+    meeting = F.when(F.col("kind") == KEPT, F.col("a")).otherwise(F.xxhash64("row", "lo"))
+    runs = docs.select("doc", "text", "row").mapInArrow(find_runs(length, q), RUN).repartition(meeting).sortWithinPartitions(*by_place)
     met = store(runs.mapInArrow(meet, RUN), "runs")
     open_runs = met.where(F.col("kind") == KEPT)
     hot = open_runs.groupBy("a").count().where(F.col("count") > HOT_CONTEXTS).select("a", F.lit(True).alias("hot"))
     place = F.struct("a", "lo", "n", F.coalesce("hot", F.lit(False)).alias("hot"))
-    wanted = open_runs.join(hot, "a", "left").groupBy("doc").agg(F.collect_list(place).alias("places"))
-    found = docs.join(wanted, "doc").select("doc", "text", "places")
-    contexts = store(found.mapInArrow(fetch(length), "a long, doc long, lo long, context binary"), "contexts")
+    wanted = open_runs.join(hot, "a", "left").groupBy("row").agg(F.collect_list(place).alias("places"))
+    found = docs.join(wanted, "row").select("doc", "text", "places", "row")
+    contexts = store(found.mapInArrow(fetch(length), "a long, doc long, row long, lo long, context binary"), "contexts")
     cold = contexts.where("context IS NOT NULL").repartition("a").sortWithinPartitions("a")
-    single = contexts.where("context IS NULL").select("a", "doc", "lo")
-    heads = single.groupBy("a").agg(F.min(F.struct("doc", "lo")).alias("head"))
-    later = single.join(heads, "a").where(F.struct("doc", "lo") != F.col("head"))
-    spans = "doc long, lo long, n int"
+    single = contexts.where("context IS NULL").select("a", "doc", "row", "lo")
+    heads = single.groupBy("a").agg(F.min(F.struct("doc", "row", "lo")).alias("head"))
+    later = single.join(heads, "a").where(F.struct("doc", "row", "lo") != F.col("head"))
+    spans = "row long, lo long, n int"
     return (
         met.where(F.col("kind") == REMOVED)
-        .select("doc", "lo", "n")
+        .select("row", "lo", "n")
         .unionByName(cold.mapInArrow(refine(length), spans))
-        .unionByName(later.select("doc", "lo", F.lit(1).alias("n")))
+        .unionByName(later.select("row", "lo", F.lit(1).alias("n")))
     )
 
 
@@ -370,23 +376,24 @@ def remove_repeats(
 ) -> DataFrame:
     """Every document without the bytes of ``length``-byte strings that also start earlier.
 
-    Earlier is in a document of smaller key, or before in the same one. Strings are
-    judged on the input and may overlap. Columns: ``keep`` (the key by default),
+    Earlier is in a document of smaller key, in an earlier row of the same key, or
+    before in the same row. Strings are judged on the input and may overlap. Columns: ``keep`` (the key by default),
     ``kept`` (binary), ``n_bytes``, ``n_removed`` and ``spans``, the maximal removed
     runs. With ``whole_characters`` a UTF-8 character stays unless all its bytes are
     repeats, so that what is left is text. A null text counts as empty, a text shorter than ``length`` is left whole,
-    a null key comes before all others. Rows that share a key are one document as
-    far as order goes: none of them is earlier than the other, and what one loses is
-    cut from the same places of the other. An empty table gives no rows. Only the
-    columns named are read, under names of this module.
+    a null key comes before all others. Rows that share a key, or have none, are
+    documents of their own, in the order in which they are stored: of copies all but
+    one go. An empty table gives no rows. Only the columns named are read, under
+    names of this module; they are stored with a number for each row.
     """
     keep = keep or [key]
     held = [F.col(c).alias(f"_held{i}") for i, c in enumerate(keep)]
     content: Column = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("doc"), content.alias("text"), *held)
-    strings = repeated_strings(rows.select("doc", "text"), length)
-    places = strings.groupBy("doc").agg(F.collect_list(F.struct("lo", "n")).alias("places"))
-    joined = rows.join(places, "doc", "left").select(
+    rows = store(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+    strings = repeated_strings(rows.select("doc", "text", "row"), length)
+    places = strings.groupBy("row").agg(F.collect_list(F.struct("lo", "n")).alias("places"))
+    joined = rows.join(places, "row", "left").select(
         "doc", "text", F.coalesce("places", F.array().cast("array<struct<lo:bigint,n:int>>")).alias("places"), *[f"_held{i}" for i in range(len(keep))]
     )
     kinds = ", ".join(f"_held{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))

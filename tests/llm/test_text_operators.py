@@ -166,6 +166,28 @@ def test_repeats_match_brute_force(spark, docs, monkeypatch, hot):
         assert (r["n_bytes"], r["n_removed"], r["s"], r["h"]) == expected[-1 if r["doc_id"] is None else r["doc_id"]]
 
 
+@pytest.mark.parametrize("hot", [20_000, 0])
+@pytest.mark.parametrize("key", [None, 4])
+def test_repeats_of_rows_that_share_a_key_are_cut_row_by_row(spark, monkeypatch, key, hot):
+    """A passage, clean text and copies under one key; the same rows with keys of their own lose the same bytes."""
+    monkeypatch.setattr(repeats, "HOT_CONTEXTS", hot)
+    text = lambda seed, n: " ".join(texts.words(texts.random.Random(seed), "en", n))
+    passage = text(1, 60)[:150]
+    bodies = [passage + text(2, 300), text(3, 120)[:500] + passage + text(4, 60), text(5, 200), text(5, 200), text(2, 300) + passage]
+    other = texts.rows()[0][2:]
+
+    def removed(keys: list) -> list[tuple]:
+        data = [(k, t, *other) for k, t in zip(keys, bodies, strict=True)]
+        frame = spark.createDataFrame(data, texts.SCHEMA).coalesce(1)
+        return [(bytes(r["kept"]), r["n_removed"], r["spans"]) for r in repeats.remove_repeats(frame, keep=["text"]).orderBy(F.col("n_bytes"), F.col("n_removed")).collect()]
+
+    shared, own = removed([key] * len(bodies)), removed(list(range(len(bodies))))
+    assert shared == own
+    kept = {k for k, _, _ in shared}
+    assert bodies[0].encode() in kept and bodies[2].encode() in kept and b"" in kept
+    assert sum(n for _, n, _ in shared) >= 150 + len(bodies[2].encode()) + len(bodies[4].encode()) - 150
+
+
 def test_repeats_of_a_long_text_are_found_in_parts():
     text = ("".join(chr(97 + (i * i + i // 7) % 26) for i in range(3000))) * 2
     column = pa.RecordBatch.from_arrays([pa.array([5]), pa.array([text])], ["doc", "text"])
