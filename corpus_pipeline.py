@@ -35,14 +35,16 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near duplicates.
+    """One row of each group of near duplicates: that of smallest id, and of equal ids the first stored.
 
-    Documents without an id, and rows that share one, stay as they are.
+    Rows without an id come after all others. Texts without words stay.
     """
     ship(spark)
-    groups = jaccard.jaccard_join(docs, SHINGLE_WORDS, SIMILAR, OF)
-    later = groups.where("doc_id != component_id").select("doc_id")
-    return docs.join(later, "doc_id", "left_anti").select(docs.columns)
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_row").alias("_place")
+    rows = store(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    groups = jaccard.jaccard_join(rows.select(place, "text"), SHINGLE_WORDS, SIMILAR, OF, key="_place")
+    later = groups.where("_place._row != component_id._row").select("_place._row")
+    return rows.join(later, "_row", "left_anti").select(docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -219,3 +219,13 @@ def test_pipeline_stages_keep_clean_documents_and_columns(spark, sf_dir):
     assert sum(r["n_chars"] for r in cut.collect()) < sum(len(r["text"] or "") for r in near.collect())
     packed = stages["packing"](spark, cut, sf_dir)
     assert {r["doc_id"] for r in packed.collect()} == {r["doc_id"] for r in cut.collect()}
+
+
+def test_one_row_of_each_near_duplicate_group_stays_whatever_the_ids(spark, sf_dir):
+    text = lambda seed: " ".join(texts.words(texts.random.Random(seed), "en", 80))
+    data = [(1, text(1)), (7, text(1)), (7, text(2)), (7, text(3)), (7, text(3)), (None, text(2)), (None, text(4)), (None, text(4)), (None, text(5)), (7, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in data], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    near = dict(corpus_pipeline.STAGES)["ngram_jaccard_join"](spark, docs, sf_dir)
+    assert near.columns == docs.columns
+    expected = [(1, text(1)), (7, text(2)), (7, text(3)), (None, text(4)), (None, text(5)), (7, ""), (None, None)]
+    assert Counter((r["doc_id"], r["text"]) for r in near.collect()) == Counter(expected)
