@@ -5,7 +5,8 @@ planes. A tree is a sorted array of strings, dealt over tasks by their first bit
 A query descends to the strings that share its longest prefix and ascends, in all
 trees at once, until enough candidates share the prefix: first the trees only count
 the strings at each length, then the length is chosen from the sums, and then the
-strings of that prefix are scored.
+strings of that prefix are scored. A prefix shorter than a cell's is counted from the
+sizes of the cells, and scored in all cells that begin with it.
 """
 
 from __future__ import annotations
@@ -27,8 +28,9 @@ LEVELS = 24
 CELL_ROWS = 16_384
 CELL_BYTES = 32_000_000
 SCORE_CELLS = 4_000_000
+VISITS = 16_384
 SEED = 7_654_321
-PLACE = ["tree", "cell", "part"]
+PLACE = ["tree", "cell", "part", "block"]
 
 
 @dataclass(frozen=True)
@@ -135,6 +137,43 @@ def score(top: int) -> Callable:
     return run
 
 
+def _sized_cells(index: DataFrame) -> DataFrame:
+    """``tree, cell, strings, parts`` of the cells that hold strings."""
+    sizes = index.groupBy("tree", "cell").agg(F.count("*").alias("strings"))
+    return sizes.withColumn("parts", F.ceil(F.col("strings") / CELL_ROWS).cast("int"))
+
+
+def _outside(query: DataFrame, cells: DataFrame, cell_bits: int) -> DataFrame:
+    """``uid, o1, o2, ...``: how many strings share the cell's prefix without its last 1, 2, ... bits, over all trees.
+
+    The cells of queries are few: they are counted once each, then joined to the queries.
+    """
+    ups = [F.struct(F.lit(t).alias("up"), F.shiftright("cell", t).alias("prefix")) for t in range(1, cell_bits + 1)]
+    above = F.explode(F.array(*ups)).alias("_up")
+    sums = cells.select("tree", "strings", above).groupBy("tree", "_up").agg(F.sum("strings").alias("strings"))
+    asked = query.select("tree", "cell").distinct().select("tree", "cell", above)
+    each = [F.coalesce(F.sum(F.when(F.col("_up.up") == t, F.col("strings"))), F.lit(0)).alias(f"o{t}") for t in range(1, cell_bits + 1)]
+    counted = asked.join(sums, ["tree", "_up"]).groupBy("tree", "cell").agg(*each)
+    return query.join(counted, ["tree", "cell"]).groupBy("uid").agg(*[F.sum(f"o{t}").alias(f"o{t}") for t in range(1, cell_bits + 1)])
+
+
+def _visits(query: DataFrame, cells: DataFrame, cell_bits: int) -> DataFrame:
+    """Queries with their ``level`` in the cells they visit, in all parts of each.
+
+    Below level 0 a query goes to all cells that share its shorter prefix, with a code
+    of that cell and level 0, so that it meets all of the cell's strings.
+    """
+    placed = query.where("level >= 0").join(cells, ["tree", "cell"])
+    if cell_bits:
+        up = F.explode(F.sequence(F.lit(1), F.lit(cell_bits))).alias("up")
+        reached = cells.select("tree", "cell", "parts", up).withColumn("prefix", F.expr("shiftright(cell, up)"))
+        away = query.where("level < 0").withColumn("up", -F.col("level")).withColumn("prefix", F.expr("shiftright(cell, up)")).drop("cell")
+        code, level = F.shiftleft("cell", LEVELS).alias("code"), F.lit(0).alias("level")
+        far = away.join(reached, ["tree", "up", "prefix"]).select("tree", "cell", code, "uid", level, "parts")
+        placed = placed.select(far.columns).unionByName(far)
+    return placed.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("tree", "cell", "part", "code", "uid", "level")
+
+
 def exact_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Inner product of each pair, its terms summed in one fixed way."""
     for batch in batches:
@@ -157,13 +196,14 @@ def nearest(
 
     ``is_query`` is an SQL condition on ``vec_id``. All usable rows are indexed, and
     all but the query's own row are candidates. A query ascends until its trees
-    together hold ``candidates * n ** power`` strings of ``n``, counted once a tree.
+    together hold ``candidates * n ** power`` strings of ``n``, counted once a tree, and
+    at least ``k + 1`` a tree, so that ``k`` rows are found wherever there are as many.
     The more alike the vectors, the fewer do; the defaults are for vectors without any
     structure, where neighbours are hardly nearer than the rest.
 
     Equal vectors are one node, which carries its ``k + 1`` smallest ids: of any more,
     none can be among the nearest. A cell of more than ``CELL_ROWS`` nodes is dealt in
-    parts, each of which the cell's queries visit. Ties go to the smaller id. With at
+    parts, each of which the cell's queries visit, ``VISITS`` of them in a task. Ties go to the smaller id. With at
     most ``k`` other rows all are returned. Vectors that are null, empty, zero, of
     another length than the first, or hold a null or non-finite component take no
     part. Repeated rows are candidates each. An empty table gives no rows. Only the
@@ -185,14 +225,14 @@ def nearest(
     asked = store(good.where(is_query).groupBy("vector").agg(F.min("vec_id").alias("first")).join(nodes.select("vector", "uid"), "vector").select("uid", "vector"), "queries")
     n = nodes.count()
     forest = Forest(dim, trees, max(0, int(math.log2(max(1, n / CELL_ROWS)))), float(largest) * (1 + 1e-12))
-    wanted = max(4 * (k + 1), min(n * trees, candidates * n**power))
+    wanted = min(n * trees, max(trees * (k + 1), candidates * n**power))
 
     rows = "tree int, cell long, code long, uid long"
     index = nodes.select("uid", "vector").mapInArrow(spread(forest, False), rows)
     query = asked.mapInArrow(spread(forest, True), rows)
     index, query = store(index, "index"), store(query, "asked")
-    sizes = index.groupBy("tree", "cell").count()
-    parts = sizes.select("tree", "cell", F.ceil(F.col("count") / CELL_ROWS).cast("int").alias("parts"))
+    cells = store(_sized_cells(index), "cells")
+    parts = cells.select("tree", "cell", "parts")
     placed_index = index.join(parts, ["tree", "cell"]).withColumn("part", F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int")).drop("parts")
     placed_query = query.join(parts, ["tree", "cell"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
 
@@ -200,14 +240,23 @@ def nearest(
         both = left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1)))
         return both.repartition(*PLACE).sortWithinPartitions(*PLACE, "side")
 
+    none = F.lit(0)
+
     named = ", ".join(f"c{s} long" for s in range(LEVELS + 1))
-    counts = together(placed_index, placed_query).mapInArrow(count_levels, f"uid long, {named}")
+    counts = together(placed_index.withColumn("block", none), placed_query.withColumn("block", none)).mapInArrow(count_levels, f"uid long, {named}")
     summed = counts.groupBy("uid").agg(*[F.sum(f"c{s}").alias(f"c{s}") for s in range(LEVELS + 1)])
-    deepest = F.greatest(F.lit(0), *[F.when(F.col(f"c{s}") >= wanted, F.lit(s)) for s in range(LEVELS + 1)])
-    levels = summed.select("uid", deepest.alias("level"))
-
-    full_index = placed_index.withColumn("level", F.lit(0)).join(nodes.select("uid", "vector"), "uid")
-    full_query = placed_query.join(levels.join(asked, "uid"), "uid")
+    if forest.cell_bits:
+        summed = _outside(query, cells, forest.cell_bits).join(summed, "uid", "left")
+    enough = [F.when(F.col(f"c{s}") >= wanted, F.lit(s)) for s in range(LEVELS + 1)]
+    enough += [F.when(F.col(f"o{t}") >= wanted, F.lit(-t)) for t in range(1, forest.cell_bits + 1)]
+    levels = summed.select("uid", F.greatest(F.lit(-forest.cell_bits), *enough).alias("level"))
+
+    visits = store(_visits(query.join(levels, "uid"), cells, forest.cell_bits), "visits")
+    blocks = visits.groupBy(*PLACE[:3]).agg(F.ceil(F.count("*") / VISITS).cast("int").alias("blocks"))
+    block = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    full_index = placed_index.join(blocks, PLACE[:3]).withColumn("block", block).drop("blocks").withColumn("level", F.lit(0)).join(nodes.select("uid", "vector"), "uid")
+    own = F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int")
+    full_query = visits.join(blocks, PLACE[:3]).withColumn("block", own).drop("blocks").join(asked, "uid")
     found = together(full_index, full_query.select(full_index.columns)).mapInArrow(score(k + 1), "query long, uid long, score double")
     best = W.partitionBy("query").orderBy(F.desc("score"), "uid")
     kept = found.groupBy("query", "uid").agg(F.max("score").alias("score")).withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k + 1)

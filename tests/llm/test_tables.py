@@ -106,6 +106,24 @@ def test_forest_returns_all_of_a_few(spark):
     }
 
 
+@pytest.mark.parametrize("visits", [16_384, 8])
+def test_forest_ascends_above_its_cells(spark, monkeypatch, visits):
+    """Small cells, random vectors and an outlying norm: all candidates asked for are scored, and k rows found."""
+    monkeypatch.setattr(prefix_forest, "CELL_ROWS", 16)
+    monkeypatch.setattr(prefix_forest, "VISITS", visits)
+    rng = np.random.default_rng(8)
+    data = [(i, [float(x) for x in v], 1, "c", 2, 3) for i, v in enumerate(rng.standard_normal((300, 16)))]
+    data += [(300 + i, [float(x) * 1e4 for x in v], 1, "c", 2, 3) for i, v in enumerate(rng.standard_normal((5, 16)))]
+    frame = spark.createDataFrame(data, VECTORS)
+    expected = nearest_by_force(data, 20, 25)
+    every = prefix_forest.nearest(frame, "vec_id % 25 = 0", candidates=1e9).collect()
+    assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in every} == {
+        (q, i + 1, v, s) for q, answers in expected.items() for i, (v, s) in enumerate(answers)
+    }
+    few = Counter(r["query_id"] for r in prefix_forest.nearest(frame, "vec_id % 25 = 0", trees=2, candidates=0.0).collect())
+    assert few == dict.fromkeys(expected, 20)
+
+
 def test_shards_hold_every_row_once_and_grow_only_into_the_new_one(spark, monkeypatch):
     monkeypatch.setattr(sharding, "ROWS_A_SLICE", 5)
     docs = texts.documents(spark)
