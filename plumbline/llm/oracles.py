@@ -8,6 +8,62 @@ FROM (SELECT *, (gg - good * good / n - (k - 1) * (good / n) * (1 - good / n)) /
   FROM (SELECT count(*) AS k, CAST(sum(n) AS DOUBLE) AS n, CAST(sum(good) AS DOUBLE) AS good,
     CAST(sum(n * n) AS DOUBLE) AS nn, sum(CAST(good AS DOUBLE) * good / n) AS gg FROM {} WHERE n > 0))"""
 
+DOC_LEVELS, SOURCE_LEVELS = 6, 4
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _climb(name: str, levels: int) -> str:
+    """CTEs ``name0 .. name<levels>`` (g, r, h, m) from ``name0``, and ``name_s<k>`` with each node's siblings."""
+    steps = []
+    for k in range(levels):
+        here = f"{name}{k}"
+        steps.append(f"""{name}_s{k} AS (SELECT g, r,
+  coalesce(string_agg(h, '') OVER (PARTITION BY g, r // 16 ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS b,
+  coalesce(string_agg(h, '') OVER (PARTITION BY g, r // 16 ORDER BY r ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS a
+  FROM {here} WHERE m > 1)""")
+        steps.append(f"""{name}{k + 1} AS (SELECT g, r // 16 AS r, CASE WHEN m = 1 THEN min(h) ELSE sha256(string_agg(h, '' ORDER BY r)) END AS h,
+  (m + 15) // 16 AS m FROM {here} GROUP BY g, r // 16, m)""")
+    return ",\n".join(steps)
+
+
+def _fold(tree: str, levels: int, source: str, place: str) -> str:
+    """CTEs that lead each row of ``source`` up a tree: ``f`` is folded, ``p`` gathers siblings."""
+    steps = []
+    for k in range(levels):
+        after = f"{tree}_f{k}"
+        steps.append(f"""{after} AS (SELECT x.* EXCLUDE (f, p), CASE WHEN s.r IS NULL THEN f ELSE sha256(s.b || f || s.a) END AS f,
+  p || coalesce(s.b || s.a, '') AS p FROM {source} x LEFT JOIN {tree}_s{k} s ON s.g = x.{'g' if tree == 'doc' else 'one'} AND s.r = x.{place} // {16**k})""")
+        source = after
+    return ",\n".join(steps)
+
+
+#: CRC-32 of the decimal key, bit by bit.
+_CRC = """xor(4294967295, list_reduce([CAST(4294967295 AS BIGINT)] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+    lambda crc, c: list_reduce([xor(crc, c), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: xor(a >> 1, 3988292384 * (a & 1)))))"""
+
+#: Levels are written out: 16^6 documents a source, 16^4 sources.
+_MERKLE = f"""
+WITH own AS (
+  SELECT doc_id, source, sha256(concat({', '.join(_field(c) for c in ('doc_id', 'source', 'lang', 'n_chars', 'text'))})) AS leaf,
+    sha256(concat({', '.join(_field(c) for c in ('doc_id', 'source', 'lang', 'n_chars'))},
+      {_field("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")})) AS lowered
+  FROM documents),
+keyed AS (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS g, 0 AS one FROM own),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS r, count(*) OVER (PARTITION BY g) AS m FROM keyed),
+doc0 AS (SELECT g, r, leaf AS h, m FROM ranked),
+{_climb('doc', DOC_LEVELS)},
+top0 AS (SELECT 0 AS g, g AS r, h, count(*) OVER () AS m FROM doc{DOC_LEVELS}),
+{_climb('top', SOURCE_LEVELS)},
+start AS (SELECT ranked.* EXCLUDE (m), '' AS p,
+  CASE WHEN {_CRC} % 5 = 0 THEN lowered ELSE leaf END AS f FROM ranked),
+{_fold('doc', DOC_LEVELS, 'start', 'r')},
+{_fold('top', SOURCE_LEVELS, f'doc_f{DOC_LEVELS - 1}', 'g')}
+SELECT doc_id, leaf, s.h AS subroot, t.h AS root, sha256(p) AS proof_sha256, f AS folded_root, f = t.h AS verified
+FROM top_f{SOURCE_LEVELS - 1} x JOIN doc{DOC_LEVELS} s ON s.g = x.g CROSS JOIN top{SOURCE_LEVELS} t"""
+
 ORACLES: dict[str, str] = {
     "op5_url_filter": f"""
 WITH own AS (
@@ -42,4 +98,5 @@ SELECT page_id, host, path, rule,
     WHEN hi < 0.5 THEN 'block' ELSE 'allow' END AS verdict,
   round(m, 6) AS good_share, round(lo, 6) AS lower, round(hi, 6) AS upper
 FROM ruled""",
+    "op13_merkle_manifest": _MERKLE,
 }

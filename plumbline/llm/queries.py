@@ -12,6 +12,7 @@ from plumbline.llm import (
     jaccard,
     language_id,
     lm_scoring,
+    merkle,
     packing,
     piece_coding,
     prefix_forest,
@@ -126,3 +127,23 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = piece_coding.decode(piece_coding.encode(docs, model), model)
     same = F.col("decoded") == F.replace("text", F.lit(piece_coding.MARK), F.lit(" "))
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), same.alias("round_trip"))
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document; a fifth is tampered with by lower-casing and must not verify."""
+    docs = table(spark, sf_dir, "documents")
+    capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    others = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    leaves = docs.select(
+        "doc_id",
+        "source",
+        merkle.leaf_hash([*others, F.col("text")]).alias("leaf"),
+        F.when(chosen, merkle.leaf_hash([*others, F.translate("text", capitals, capitals.lower())])).alias("tampered"),
+    )
+    proven = merkle.manifest(leaves, "source", "doc_id", "leaf", ["tampered"])
+    folded = merkle.fold(F.coalesce("tampered", "leaf"), F.col("steps"))
+    return proven.select(
+        "doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("steps")).alias("proof_sha256"), folded.alias("folded_root")
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
