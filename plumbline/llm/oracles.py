@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import permutations
+
 _K = """SELECT CASE WHEN k = 0 OR good = 0 OR good = n OR n - nn / n <= 0 THEN 1000.0
   WHEN share <= 1 / 1001.0 THEN 1000.0 ELSE greatest(1.0, least(1000.0, 1 / share - 1)) END AS k
 FROM (SELECT *, (gg - good * good / n - (k - 1) * (good / n) * (1 - good / n)) / (n - nn / n) / ((good / n) * (1 - good / n)) AS share
@@ -64,6 +66,39 @@ start AS (SELECT ranked.* EXCLUDE (m), '' AS p,
 SELECT doc_id, leaf, s.h AS subroot, t.h AS root, sha256(p) AS proof_sha256, f AS folded_root, f = t.h AS verified
 FROM top_f{SOURCE_LEVELS - 1} x JOIN doc{DOC_LEVELS} s ON s.g = x.g CROSS JOIN top{SOURCE_LEVELS} t"""
 
+_ORDERS = ", ".join(
+    f"('{''.join(order)}', {k + 1}, '{f}', {sum(1 << 'ABCDE'.index(g) for g in order[:k])}, {1 << 'ABCDE'.index(f)})"
+    for order in permutations("ABCDE")
+    for k, f in enumerate(order)
+)
+
+_AUDIT = f"""
+WITH own AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+cut AS (SELECT *, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM own),
+marked AS (SELECT part,
+  CASE WHEN len(w) < 100 THEN 1 ELSE 0 END
+  + CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 2 ELSE 0 END
+  + CASE WHEN 100 * (strlen(t) - strlen(regexp_replace(t, '[A-Z]', '', 'g'))) > 10 * length(t) THEN 4 ELSE 0 END
+  + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+  + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS fails,
+  CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL) THEN 1 ELSE 0 END AS good,
+  CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL) THEN 1 ELSE 0 END AS toxic
+  FROM cut),
+kinds AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM marked GROUP BY part, fails),
+steps(filter_order, step, filter, before, own) AS (VALUES {_ORDERS}),
+rows AS (SELECT part, filter_order, step, filter,
+  sum(CASE WHEN fails & (before | own) = 0 THEN n ELSE 0 END) AS kept,
+  sum(CASE WHEN fails & own <> 0 AND fails & before = 0 THEN n ELSE 0 END) AS removed,
+  sum(CASE WHEN fails & own <> 0 AND fails & before <> 0 THEN n ELSE 0 END) AS redundant,
+  sum(CASE WHEN fails = own THEN n ELSE 0 END) AS unique_fails,
+  sum(CASE WHEN fails & own <> 0 AND fails & before = 0 THEN good ELSE 0 END) AS good_lost,
+  sum(CASE WHEN fails & own <> 0 AND fails & before = 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM kinds CROSS JOIN steps GROUP BY part, filter_order, step, filter)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+  CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+  CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley
+FROM rows"""
+
 ORACLES: dict[str, str] = {
     "op5_url_filter": f"""
 WITH own AS (
@@ -99,4 +134,5 @@ SELECT page_id, host, path, rule,
   round(m, 6) AS good_share, round(lo, 6) AS lower, round(hi, 6) AS upper
 FROM ruled""",
     "op13_merkle_manifest": _MERKLE,
+    "op12_filter_audit": _AUDIT,
 }

@@ -5,10 +5,12 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from plumbline.llm import (
     embedding_dedup,
+    filter_audit,
     jaccard,
     language_id,
     lm_scoring,
@@ -18,6 +20,7 @@ from plumbline.llm import (
     prefix_forest,
     repeats,
     sharding,
+    token_files,
     url_filter,
 )
 
@@ -25,7 +28,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 SHARDS = 40
-TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
+TOKENIZERS = os.environ.get("TOKENIZERS_DIR") or os.path.dirname(public_tokenizers.path("word_bpe_49k.json"))
 RULES = [
     url_filter.Rule("allow", "com", "/"),
     url_filter.Rule("block", "example.com", "/en/"),
@@ -147,3 +150,30 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proven.select(
         "doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("steps")).alias("proof_sha256"), folded.alias("folded_root")
     ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters of documents in all 120 orders: what each step keeps, removes and costs in labels."""
+    labels = table(spark, sf_dir, "labels")
+    filters = {
+        "A": lambda m: m.where("n_words < 100"),
+        "B": lambda m: m.where("100 * n_distinct < 80 * n_words"),
+        "C": lambda m: m.where("100 * n_capitals > 10 * n_points"),
+        "D": lambda m: m.where("marked"),
+        "E": filter_audit.copies,
+    }
+    losses = {
+        "good_lost": labels.where("quality = 1").select("doc_id"),
+        "toxic_lost": labels.where("toxic = 1").select("doc_id"),
+    }
+    return filter_audit.audit_texts(table(spark, sf_dir, "documents"), filters, losses)
+
+
+@query
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written as files of token ids in order of doc_id, and read back."""
+    docs = table(spark, sf_dir, "documents")
+    corpus, index = token_files.write(docs, f"{TOKENIZERS}/word_bpe_49k.json", end_id=2)
+    back = token_files.read(spark, corpus, index)
+    return back.select(F.col("key").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
