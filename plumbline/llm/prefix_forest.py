@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from plumbline.llm.storing import store
-from plumbline.llm.streams import matrix, whole_groups
+from plumbline.llm.streams import by_length, matrix, whole_groups
 from plumbline.llm.vectors import doubles
 
 TREES = 40
@@ -63,16 +63,19 @@ class Forest:
         return out
 
 
-def spread(forest: Forest, query: bool) -> Callable:
-    """Vectors to one row for each tree: ``tree, cell, code, uid``."""
+def spread(forests: list[Forest], query: bool) -> Callable:
+    """Vectors to one row for each tree of their length's forest: ``tree, cell, code, uid``."""
+    known = {forest.dim: (i, forest) for i, forest in enumerate(forests)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes = forest.strings(matrix(batch.column(1)), query)
-            trees = np.broadcast_to(np.arange(forest.trees, dtype=np.int32), codes.shape).ravel()
-            uid = np.repeat(batch.column(0).to_numpy(), forest.trees)
-            codes = codes.ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(trees), pa.array(codes >> LEVELS), pa.array(codes), pa.array(uid)], ["tree", "cell", "code", "uid"])
+            for rows, vectors in by_length(batch.column(1)):
+                i, forest = known[vectors.shape[1]]
+                codes = forest.strings(vectors, query)
+                trees = np.broadcast_to(np.arange(forest.trees, dtype=np.int32) + i * forest.trees, codes.shape).ravel()
+                uid = np.repeat(batch.column(0).to_numpy()[rows], forest.trees)
+                codes = codes.ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(trees), pa.array(codes >> LEVELS), pa.array(codes), pa.array(uid)], ["tree", "cell", "code", "uid"])
 
     return run
 
@@ -177,8 +180,10 @@ def _visits(query: DataFrame, cells: DataFrame, cell_bits: int) -> DataFrame:
 def exact_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Inner product of each pair, its terms summed in one fixed way."""
     for batch in batches:
-        a, b = matrix(batch.column("a")), matrix(batch.column("b"))
-        s = np.array([math.fsum(x) for x in a * b]) if len(a) else np.zeros(0)
+        s = np.zeros(batch.num_rows)
+        for rows, a in by_length(batch.column("a")):
+            b = matrix(batch.column("b").take(pa.array(rows)))
+            s[rows] = [math.fsum(x) for x in a * b]
         yield pa.RecordBatch.from_arrays([batch.column("query"), batch.column("uid"), pa.array(s)], ["query", "uid", "score"])
 
 
@@ -204,18 +209,14 @@ def nearest(
     Equal vectors are one node, which carries its ``k + 1`` smallest ids: of any more,
     none can be among the nearest. A cell of more than ``CELL_ROWS`` nodes is dealt in
     parts, each of which the cell's queries visit, ``VISITS`` of them in a task. Ties go to the smaller id. With at
-    most ``k`` other rows all are returned. Vectors that are null, empty, zero, of
-    another length than the first, or hold a null or non-finite component take no
-    part. Repeated rows are candidates each. An empty table gives no rows. Only the
+    most ``k`` other rows all are returned. Vectors of different length have no inner
+    product: each length has trees and an ``n`` of its own, and a query's candidates are the rows of
+    its length. Vectors that are null, empty, zero, or hold a null or non-finite component
+    take no part. Repeated rows are candidates each. An empty table gives no rows. Only the
     two columns are read.
     """
     good = doubles(df, key, vector).where("vec_id IS NOT NULL")
-    shape = good.agg(F.min(F.size("vector")), F.max(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)))).first()
     empty = df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if shape[0] is None:
-        return empty
-    dim, largest = shape
-    good = good.where(F.size("vector") == dim)
     copies = W.partitionBy("vector").orderBy("vec_id")
     nodes = store(
         good.withColumn("nth", F.row_number().over(copies)).where(F.col("nth") <= k + 1)
@@ -223,13 +224,18 @@ def nearest(
         "nodes",
     )
     asked = store(good.where(is_query).groupBy("vector").agg(F.min("vec_id").alias("first")).join(nodes.select("vector", "uid"), "vector").select("uid", "vector"), "queries")
-    n = nodes.count()
-    forest = Forest(dim, trees, max(0, int(math.log2(max(1, n / CELL_ROWS)))), float(largest) * (1 + 1e-12))
-    wanted = min(n * trees, max(trees * (k + 1), candidates * n**power))
+    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))
+    lengths = nodes.groupBy(F.size("vector").alias("dim")).agg(F.count("*").alias("n"), F.max(norm).alias("largest")).orderBy("dim").collect()
+    if not lengths:
+        return empty
+    forests = [Forest(r["dim"], trees, max(0, int(math.log2(max(1, r["n"] / CELL_ROWS)))), r["largest"] * (1 + 1e-12)) for r in lengths]
+    cell_bits = max(forest.cell_bits for forest in forests)
+    most = [float(min(r["n"] * trees, max(trees * (k + 1), candidates * r["n"] ** power))) for r in lengths]
+    wanted = F.array(*[F.lit(x) for x in most])[F.col("length")]
 
     rows = "tree int, cell long, code long, uid long"
-    index = nodes.select("uid", "vector").mapInArrow(spread(forest, False), rows)
-    query = asked.mapInArrow(spread(forest, True), rows)
+    index = nodes.select("uid", "vector").mapInArrow(spread(forests, False), rows)
+    query = asked.mapInArrow(spread(forests, True), rows)
     index, query = store(index, "index"), store(query, "asked")
     cells = store(_sized_cells(index), "cells")
     parts = cells.select("tree", "cell", "parts")
@@ -245,13 +251,15 @@ def nearest(
     named = ", ".join(f"c{s} long" for s in range(LEVELS + 1))
     counts = together(placed_index.withColumn("block", none), placed_query.withColumn("block", none)).mapInArrow(count_levels, f"uid long, {named}")
     summed = counts.groupBy("uid").agg(*[F.sum(f"c{s}").alias(f"c{s}") for s in range(LEVELS + 1)])
-    if forest.cell_bits:
-        summed = _outside(query, cells, forest.cell_bits).join(summed, "uid", "left")
+    length = (F.col("tree") / trees).cast("int").alias("length")
+    summed = query.select("uid", length).distinct().join(summed, "uid", "left")
+    if cell_bits:
+        summed = summed.join(_outside(query, cells, cell_bits), "uid")
     enough = [F.when(F.col(f"c{s}") >= wanted, F.lit(s)) for s in range(LEVELS + 1)]
-    enough += [F.when(F.col(f"o{t}") >= wanted, F.lit(-t)) for t in range(1, forest.cell_bits + 1)]
-    levels = summed.select("uid", F.greatest(F.lit(-forest.cell_bits), *enough).alias("level"))
+    enough += [F.when(F.col(f"o{t}") >= wanted, F.lit(-t)) for t in range(1, cell_bits + 1)]
+    levels = summed.select("uid", F.greatest(F.lit(-cell_bits), *enough).alias("level"))
 
-    visits = store(_visits(query.join(levels, "uid"), cells, forest.cell_bits), "visits")
+    visits = store(_visits(query.join(levels, "uid"), cells, cell_bits), "visits")
     blocks = visits.groupBy(*PLACE[:3]).agg(F.ceil(F.count("*") / VISITS).cast("int").alias("blocks"))
     block = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     full_index = placed_index.join(blocks, PLACE[:3]).withColumn("block", block).drop("blocks").withColumn("level", F.lit(0)).join(nodes.select("uid", "vector"), "uid")

@@ -46,3 +46,13 @@ def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
         column = column.combine_chunks()
     flat = column.flatten().to_numpy(zero_copy_only=False)
     return flat.astype(np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+def by_length(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of each length of list that occurs, and those lists as rows of doubles."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    lengths = np.diff(column.offsets.to_numpy())
+    for n in np.unique(lengths):
+        rows = np.flatnonzero(lengths == n)
+        yield rows, matrix(column.take(pa.array(rows)))

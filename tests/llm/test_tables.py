@@ -124,6 +124,25 @@ def test_forest_ascends_above_its_cells(spark, monkeypatch, visits):
     assert few == dict.fromkeys(expected, 20)
 
 
+def test_forest_searches_each_length_by_itself(spark, monkeypatch):
+    """One vector of length 1, some of length 5 and many of length 16: each meets its own kind only."""
+    monkeypatch.setattr(prefix_forest, "CELL_ROWS", 16)
+    rng = np.random.default_rng(2)
+    shapes = [1] + [5] * 40 + [16] * 200 + [16] * 3
+    data = [(i, [float(x) for x in rng.standard_normal(n)], 1, "c", 2, 3) for i, n in enumerate(shapes)]
+    frame = spark.createDataFrame(data, VECTORS).repartition(3)
+    got = prefix_forest.nearest(frame, "vec_id % 4 = 0", k=6, candidates=1e9).collect()
+    expected = {}
+    for q, v, *_ in data:
+        if q % 4 == 0:
+            same = [(-math.fsum(np.array(v, np.float32).astype(float) * np.array(o, np.float32).astype(float)), i) for i, o, *_ in data if i != q and len(o) == len(v)]
+            expected[q] = [(i, -s) for s, i in sorted(same)[:6]]
+    assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got} == {
+        (q, n + 1, v, s) for q, answers in expected.items() for n, (v, s) in enumerate(answers)
+    }
+    assert expected[0] == [] and len(expected[4]) == 6
+
+
 def test_shards_hold_every_row_once_and_grow_only_into_the_new_one(spark, monkeypatch):
     monkeypatch.setattr(sharding, "ROWS_A_SLICE", 5)
     docs = texts.documents(spark)
@@ -213,7 +232,7 @@ def test_empty_tables(spark):
 
 
 def test_every_operator_has_a_query():
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "ngram_jaccard_join", "suffix_array_dedup", "packing"]
 
 
@@ -247,3 +266,23 @@ def test_one_row_of_each_near_duplicate_group_stays_whatever_the_ids(spark, sf_d
     assert near.columns == docs.columns
     expected = [(1, text(1)), (7, text(2)), (7, text(3)), (None, text(4)), (None, text(5)), (7, ""), (None, None)]
     assert Counter((r["doc_id"], r["text"]) for r in near.collect()) == Counter(expected)
+
+
+CLASHES = ["kept", "n_bytes", "n_removed", "spans", "_row", "_place", "score", "lang_pred", "_score", "row", "doc", "_c0", "a.b"]
+
+
+@pytest.mark.parametrize("stage", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_keep_columns_of_any_name_and_take_empty_tables(spark, sf_dir, stage):
+    own = ["doc_id", "text", "lang", "source", "n_chars"]
+    docs = texts.documents(spark).select(*own)
+    wide = docs.select("*", *[F.lit(f"own {c}").alias(c) for c in CLASHES])
+    run = dict(corpus_pipeline.STAGES)[stage]
+    out, plain = run(spark, wide, sf_dir), run(spark, docs, sf_dir)
+    if stage != "packing":
+        assert out.columns == [*own, *CLASHES] and out.schema == wide.schema
+        for r in out.collect():
+            assert all(r[c] == f"own {c}" for c in CLASHES)
+        assert out.count() == plain.count()
+    else:
+        assert out.columns == plain.columns
+    assert run(spark, wide.limit(0), sf_dir).count() == 0
