@@ -4,7 +4,8 @@ All sets share one order of shingles, frequent ones last. Sets that link have mo
 elements in common, so the first few of each in that order (its prefix) must agree:
 
 * a small set enumerates every pair of shingles of its prefix; two small sets that
-  link share a pair;
+  link share a pair, or one shingle where the threshold is low and both are tiny,
+  which is why tiny sets enumerate their shingles singly too;
 * a large set scans the inverted lists of its prefix; two sets that link meet in at
   least ``SHARED`` lists. Small sets within reach of a large one are listed too.
 
@@ -52,6 +53,14 @@ class Similarity:
         """Elements that a set shares with any set it links with, at least."""
         return -(-self.num * size // self.den)
 
+    def single(self) -> int:
+        """Largest size of a set that links with another over one common element."""
+        return self.den // self.num
+
+    def least_large(self) -> int:
+        """Least size of a small set beyond which all linked sets share ``SHARED`` elements."""
+        return max(LEAST_LARGE, (SHARED - 1) * self.den // self.num)
+
     def prefix(self, size: np.ndarray | int, shared: int) -> np.ndarray | int:
         """Length of prefix that has ``shared`` elements in common with a linked set's."""
         return size - self.overlap(size) + np.minimum(shared, self.overlap(size))
@@ -64,14 +73,15 @@ def set_keys(grams: np.ndarray, offsets: np.ndarray, salt: int) -> np.ndarray:
 
 
 def describe_sets(n: int) -> Callable:
-    """Document to its set's size and 128-bit key; the first half names the set."""
+    """Document to its set's size and 128-bit key; the first half names the set. The hash of its text is kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, grams, offsets in bytetext.shingle_sets(batch.column(1), n):
                 rows = len(offsets) - 1
-                columns = [batch.column(0).slice(first, rows), pa.array(np.diff(offsets)), pa.array(set_keys(grams, offsets, 1)), pa.array(set_keys(grams, offsets, 2))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc", "n", "uid", "check"])
+                own = [batch.column(c).slice(first, rows) for c in (0, 2)]
+                columns = [*own, pa.array(np.diff(offsets)), pa.array(set_keys(grams, offsets, 1)), pa.array(set_keys(grams, offsets, 2))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc", "words", "n", "uid", "check"])
 
     return run
 
@@ -105,16 +115,17 @@ def local_counts(n: int) -> Callable:
 
 def choose_boundary(sizes: np.ndarray, counts: np.ndarray, similar: Similarity, list_length: float) -> int:
     """Largest size of a small set: least rows enumerated plus rows scanned."""
+    least = similar.least_large()
     if not len(sizes):
-        return LEAST_LARGE
+        return least
     pairs = similar.prefix(sizes, SUBSET)
     small = np.cumsum(counts * np.maximum(pairs * (pairs - 1) / 2, 1))
     scanned = counts * similar.prefix(sizes, SHARED) * (1.0 + list_length)
     from_size = np.concatenate([np.cumsum(scanned[::-1])[::-1], [0.0]])
     reach = np.searchsorted(sizes, similar.overlap(sizes + 1))
     cost = small + from_size[reach]
-    allowed = sizes >= LEAST_LARGE
-    return int(sizes[allowed][np.argmin(cost[allowed])]) if allowed.any() else LEAST_LARGE
+    allowed = sizes >= least
+    return int(sizes[allowed][np.argmin(cost[allowed])]) if allowed.any() else least
 
 
 def signatures(n: int, similar: Similarity, boundary: int, frequent: np.ndarray, weight: np.ndarray) -> Callable:
@@ -143,6 +154,9 @@ def signatures(n: int, similar: Similarity, boundary: int, frequent: np.ndarray,
                         i, j = np.triu_indices(p, 1)
                         sig = bytetext.mix(bytetext.mix(prefix[:, i], 12) + prefix[:, j], 13)
                     out.append((PAIR_BY_SUBSET, sig.ravel(), np.repeat(rows, sig.shape[1])))
+                tiny = np.flatnonzero((size <= similar.single()) & (width > 1))
+                ones = bytetext.mix(grams[bytetext.ranges(offsets[tiny], size[tiny])], 11)
+                out.append((PAIR_BY_SUBSET, ones, np.repeat(tiny, size[tiny])))
                 large = np.flatnonzero(size >= reach)
                 count = similar.prefix(size[large], SHARED)
                 out.append((PAIR_BY_LIST, bytetext.mix(grams[bytetext.ranges(offsets[large], count)], 14), np.repeat(large, count)))
@@ -368,12 +382,14 @@ def jaccard_join(
     its own component. Equal sets link; they are one node with one set to verify.
     A null key takes part and never names a component unless all its keys are null.
     Repeated rows have a row each. An empty table gives no rows. Only the two columns
-    are read. Sets are named by 64 bits of their hash and grouped by 128.
+    are read. Sets are named by 64 bits of their hash and grouped by 128. The text of a
+    set is found again by key and hash, so documents that share a key, or have none,
+    do not meet each other.
     """
     similar = Similarity(num, den)
-    rows = docs.select(F.col(key).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = docs.select(F.col(key).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("words", F.xxhash64("text"))
     kind = rows.schema["doc"].dataType.simpleString()
-    sets = store(rows.mapInArrow(describe_sets(n), f"doc {kind}, n long, uid long, check long"), "sets")
+    sets = store(rows.mapInArrow(describe_sets(n), f"doc {kind}, words long, n long, uid long, check long"), "sets")
     classes = sets.where("n > 0").groupBy("uid", "check", "n").agg(F.min("doc").alias("least"))
     sizes = classes.groupBy(F.least("n", F.lit(LARGEST_SIZE_CLASS)).alias("n")).count().toArrow().sort_by("n")
     texts = rows.select("text")
@@ -395,10 +411,11 @@ def jaccard_join(
     long = _distinct_lists(met.where(F.col("kind") == LONG_LIST).select(F.col("x").alias("sig"), F.col("y").alias("uid")))
     cells = store(pair_cells.unionByName(_star_cells(long)), "cells")
 
-    named = sets.where("n > 0").groupBy("uid").agg(F.min(F.struct("doc", "n")).alias("first"))
-    wanted = cells.select("uid").distinct().join(named, "uid").select("uid", F.col("first.doc").alias("_doc"))
-    same = F.col("doc").eqNullSafe(F.col("_doc"))
-    with_text = store(rows.join(wanted, same).select("uid", "text").mapInArrow(own_texts(n), "uid long, text string"), "texts")
+    named = sets.where("n > 0").groupBy("uid").agg(F.min(F.struct("doc", "words")).alias("first"))
+    wanted = cells.select("uid").distinct().join(named, "uid").select("uid", F.col("first.doc").alias("_doc"), F.col("first.words").alias("_words"))
+    same = (F.col("words") == F.col("_words")) & F.col("doc").eqNullSafe(F.col("_doc"))
+    chosen = rows.join(wanted, same).groupBy("uid").agg(F.first("text").alias("text"))
+    with_text = store(chosen.mapInArrow(own_texts(n), "uid long, text string"), "texts")
 
     def verified(cells: DataFrame) -> DataFrame:
         shipped = cells.join(with_text, "uid").repartition("c1", "c2", "c3").sortWithinPartitions("c1", "c2", "c3")
