@@ -164,18 +164,18 @@ def train(words: list[bytes], language: np.ndarray, weight: np.ndarray, language
 def fit(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Network:
     """Train on a bounded sample of the labelled rows where ``learn`` holds.
 
-    The sample is at most ``SAMPLE_DOCS`` documents of each language, those of least
-    hash of their key, and of their words at most ``SAMPLE_WORDS`` a language. Rows far
-    above the wanted hash are left out before any text is shuffled. The driver holds
-    that sample alone. More than ``MAX_LANGUAGES`` languages are refused.
+    Learned are the ``MAX_LANGUAGES`` languages with most such rows (ties by name); no other
+    is ever predicted. The sample is at most ``SAMPLE_DOCS`` documents of each, those of least hash of
+    key and text, and of their words at most ``SAMPLE_WORDS`` a language. Rows far
+    above the wanted hash are left out before any text is shuffled; a language's least hash always
+    stays, so that one whose rows all share a key is learned too. The driver holds that sample alone.
     """
     wanted = F.coalesce(learn, F.lit(False)) & F.col(text).isNotNull() & F.col(lang).isNotNull()
     labelled = docs.where(wanted).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("language"))
-    sizes = labelled.groupBy("language").count()
-    if sizes.limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
-        raise ValueError(f"{lang} has more than {MAX_LANGUAGES} values")
-    hashed = labelled.withColumn("h", F.pmod(F.xxhash64("k"), F.lit(HASH_STEPS)))
-    near = F.col("h") * F.col("count") < F.lit(3 * SAMPLE_DOCS * HASH_STEPS)
+    hashed = labelled.withColumn("h", F.pmod(F.xxhash64("k", "t"), F.lit(HASH_STEPS)))
+    sizes = hashed.groupBy("language").agg(F.count("*").alias("count"), F.min("h").alias("least"))
+    sizes = sizes.orderBy(F.desc("count"), "language").limit(MAX_LANGUAGES)
+    near = (F.col("h") * F.col("count") < F.lit(3 * SAMPLE_DOCS * HASH_STEPS)) | (F.col("h") == F.col("least"))
     order = W.partitionBy("language").orderBy("h", "k")
     some = (
         hashed.join(F.broadcast(sizes), "language").where(near)
@@ -267,17 +267,17 @@ class Reader:
             yield first, list(names[np.where(known, best, size)]), np.clip(score, 0.0, 1.0)
 
 
-def label(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
-    """The input with ``lang_pred`` and ``score`` in front of its own columns' names.
+def label(docs: DataFrame, net: Network, text: str = "text", to: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The input with two more columns, named by ``to``: the language and its score.
 
     The language is the one of highest mean log probability over all bytes of words
     with a letter; the score is its mean probability there. A text that is null, empty
     or without a letter, and any text if the network knows no language, is ``und`` with
     score 0. Very long words are read in parts of ``LONGEST`` bytes, texts whole.
-    Repeated rows are labelled alike; an empty table gives no rows. Input columns named
-    ``lang_pred`` or ``score`` are replaced.
+    Repeated rows are labelled alike; an empty table gives no rows. Input columns that
+    have the names of ``to`` are replaced.
     """
-    own = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    own = [c for c in docs.columns if c not in to]
     at = own.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,7 +286,7 @@ def label(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
             done = list(reader.batch(batch.column(at)))
             languages = [x for _, names, _ in done for x in names]
             scores = np.concatenate([s for _, _, s in done]) if done else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(languages, pa.string()), pa.array(scores)], [*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(languages, pa.string()), pa.array(scores)], [*batch.schema.names, *to])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in own)
-    return docs.select(*[F.col(f"`{c}`") for c in own]).mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    return docs.select(*[F.col(f"`{c}`") for c in own]).mapInArrow(run, f"{kinds}, `{to[0]}` string, `{to[1]}` double")

@@ -108,6 +108,62 @@ def test_jaccard_join_matches_all_pairs(spark, docs, n, num):
     assert got == expected
 
 
+@pytest.mark.parametrize(("n", "num"), [(1, 50), (1, 34), (1, 30), (1, 12), (2, 50)])
+def test_jaccard_join_at_low_thresholds(spark, n, num):
+    """Tiny sets that link over one common element, and large ones that share less than four."""
+    import random
+
+    rng = random.Random(num)
+    data = [(i, " ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") * 2 + rng.choice("xyz") for _ in range(rng.choice([1, 1, 2, 3, 6, 12, 16])))) for i in range(120)]
+    data += [(900, "solo"), (901, "solo duo"), (902, "duo trio quartet"), (903, None)]
+    got = {(r["doc_id"], r["component_id"]) for r in jaccard.jaccard_join(spark.createDataFrame(data, "doc_id long, text string"), n, num, 100).collect()}
+    sets = {}
+    for k, t in data:
+        w = texts.plain_words(t)
+        sets[k] = {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
+    union = texts.Union(list(sets))
+    for a in sets:
+        for b in sets:
+            both = len(sets[a] & sets[b])
+            if a < b and both and 100 * both >= num * (len(sets[a]) + len(sets[b]) - both):
+                union.join(a, b)
+    assert got == {(k, union.find(k)) for k in sets}
+
+
+def test_jaccard_join_of_documents_that_share_an_id(spark):
+    """Half the rows have no id and a third one id: each text is still compared as itself."""
+    import random
+
+    rng = random.Random(6)
+    data = []
+    for i in range(60):
+        body = texts.words(rng, "en", 61)
+        data += [((None, 7, i)[i % 3], " ".join(body)), ((None, 7, 1000 + i)[i % 3], " ".join([*body[:-1], "other"]))]
+    data += [(7, data[1][1])] * 30
+    got = jaccard.jaccard_join(spark.createDataFrame(data, "doc_id long, text string").repartition(4), 5, 80, 100).collect()
+    assert len(got) == len(data)
+    by_key = Counter((r["doc_id"], r["component_id"]) for r in got)
+    assert by_key[None, None] == 38 and by_key[None, 7] == 2 and by_key[7, 7] == 70
+    for i in range(2, 60, 3):
+        assert by_key[i, i] == 1 and by_key[1000 + i, i] == 1
+
+
+def test_jaccard_join_does_not_multiply_rows_of_one_id(spark, monkeypatch):
+    """Texts of documents without an id are joined by their hash, so as many leave the join as entered it."""
+    import random
+
+    rng = random.Random(9)
+    data = []
+    for _ in range(40):
+        body = texts.words(rng, "fr", 61)
+        data += [(None, " ".join(body)), (None, " ".join([*body[:-1], "autre"]))]
+    stored = {}
+    keep = jaccard.store
+    monkeypatch.setattr(jaccard, "store", lambda df, name: stored.setdefault(name, keep(df, name)))
+    jaccard.jaccard_join(spark.createDataFrame(data, "doc_id long, text string"), 5, 80, 100).collect()
+    assert stored["texts"].count() == 80
+
+
 def test_jaccard_join_with_long_lists_and_blocks(spark, monkeypatch):
     """Many near copies: lists are long, cells are blocks, and the links are those of all pairs."""
     import random
@@ -338,3 +394,19 @@ def test_empty_tables(spark):
     assert net.languages == [] and language_id.label(none, net).count() == 0
     unlearned = language_id.label(texts.documents(spark), net)
     assert unlearned.where("lang_pred != 'und' OR score != 0").count() == 0
+
+
+def test_the_most_frequent_languages_are_learned_and_rows_of_one_id_suffice(spark, monkeypatch):
+    import random
+
+    rng = random.Random(4)
+    data = [(i, " ".join(texts.words(rng, "en", 40)), "en") for i in range(30)]
+    data += [(5, " ".join(texts.words(rng, "de", 40)), "de") for _ in range(25)]
+    data += [(100 + i, " ".join(texts.words(rng, "fr", 40)), f"rare{i}") for i in range(9)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    monkeypatch.setattr(language_id, "MAX_LANGUAGES", 2)
+    net = language_id.fit(docs, F.lit(True))
+    assert net.languages == ["de", "en"]
+    assert {r["lang_pred"] for r in language_id.label(docs, net).collect()} <= {"de", "en"}
+    same = spark.createDataFrame([(3, "der die das", "de")] * 50_0 + data[:30], "doc_id long, text string, lang string")
+    assert language_id.fit(same, F.lit(True)).languages == ["de", "en"]
