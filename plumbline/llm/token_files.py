@@ -25,7 +25,8 @@ from plumbline.llm.packing import UnitTokenizer
 from plumbline.llm.storing import store
 from plumbline.sources.shared import fresh_path
 
-FILE_TOKENS = 1 << 25
+FILE_BYTES = 1 << 27
+BOUND_ROWS = 100
 LONG_TEXT = 1 << 20
 ROWS_OUT = 4096
 BYTES_OUT = 8_000_000
@@ -59,8 +60,32 @@ def cut_long(column: pa.Array, limit: int) -> tuple[pa.Array, np.ndarray]:
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(edges) - 1, [None, *data]), np.concatenate([[0], np.cumsum(counts)])
 
 
-def encoder(path: str, end_id: int, dtype: str, long_text: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows ``row, key, text`` to ``row, key, n_tokens, ids``."""
+def place_key(key, row: int) -> tuple:
+    """Order of a record: null keys first, equal keys by row."""
+    return (key is not None, key if key is not None else 0, row)
+
+
+def file_bounds(rows: DataFrame, file_bytes: int) -> list[tuple]:
+    """Places at which a new file begins, so that files hold about ``file_bytes`` of text each.
+
+    Taken from a hashed sample of about ``BOUND_ROWS`` rows a file, weighted by size. The
+    sample decides how large files are and nothing else. One bound a file is on the driver.
+    """
+    sized = rows.select("key", "row", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))
+    n, total = sized.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    files = max(1, -(-total // file_bytes))
+    if files == 1:
+        return []
+    rate = min(1.0, BOUND_ROWS * files / n)
+    drawn = F.pmod(F.xxhash64("row"), F.lit(1 << 30)) < F.lit(int(rate * (1 << 30)))
+    sample = sorted((*place_key(r["key"], r["row"]), r["size"]) for r in sized.where(drawn).collect())
+    upto = np.cumsum([s[-1] + 1 for s in sample])
+    cuts = np.searchsorted(upto, np.arange(1, files) * upto[-1] / files) if sample else []
+    return [sample[i][:-1] for i in sorted(set(cuts))]
+
+
+def encoder(path: str, end_id: int, dtype: str, long_text: int, bounds: list[tuple]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows ``row, key, text`` to ``shard, row, key, n_tokens, ids``; ``bounds`` are where shards begin."""
 
     def rows_of(tokenizer: UnitTokenizer, column: pa.Array) -> Iterator[np.ndarray]:
         pieces, first = cut_long(column, long_text)
@@ -83,9 +108,12 @@ def encoder(path: str, end_id: int, dtype: str, long_text: int) -> Callable[[Ite
 
             def out() -> pa.RecordBatch:
                 part = batch.slice(done, len(held))
+                places = zip(part.column("key").to_pylist(), part.column("row").to_pylist(), strict=True)
+                shards = pa.array([bisect_right(bounds, place_key(*p)) for p in places], pa.int32())
                 counts = pa.array([len(x) for x in held], pa.int64())
                 ids = pa.array([x.tobytes() for x in held], pa.binary())
-                return pa.RecordBatch.from_arrays([part.column(0), part.column(1), counts, ids], ["row", "key", "n_tokens", "ids"])
+                columns = [shards, part.column("row"), part.column("key"), counts, ids]
+                return pa.RecordBatch.from_arrays(columns, ["shard", "row", "key", "n_tokens", "ids"])
 
             for own in rows_of(tokenizer, batch.column("text")):
                 held.append(own)
@@ -99,43 +127,56 @@ def encoder(path: str, end_id: int, dtype: str, long_text: int) -> Callable[[Ite
     return run
 
 
-def shard_writer(folder: str, dtype: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Write a sorted partition's ids and offsets as one shard; give ``shard, nth, key, n_tokens`` for each document.
+class ShardFiles:
+    """The two files of a shard while they are written, under the attempt's name until they are whole.
 
-    Files are written under the attempt's name and moved when whole, so a task that is
-    repeated, or runs twice, leaves the same files.
+    A task that is repeated, or runs twice, leaves the same files.
     """
 
+    def __init__(self, folder: str, shard: int):
+        self.system, base = opened(folder)
+        self.system.create_dir(base, recursive=True)
+        self.names = [f"{base}/{kind}-{shard:05d}.bin" for kind in ("tokens", "offsets")]
+        self.mark = f".{TaskContext.get().taskAttemptId()}"
+        self.outs = [self.system.open_output_stream(name + self.mark) for name in self.names]
+        self.outs[1].write(np.zeros(1, "<i8").tobytes())
+        self.shard, self.documents, self.tokens = shard, 0, 0
+
+    def write(self, ids: pa.Array, counts: np.ndarray) -> None:
+        flat, _ = bytetext.buffers(ids)
+        ends = self.tokens + np.cumsum(counts)
+        self.outs[0].write(pa.py_buffer(np.ascontiguousarray(flat)))
+        self.outs[1].write(ends.astype("<i8").tobytes())
+        self.documents, self.tokens = self.documents + len(counts), int(ends[-1])
+
+    def close(self) -> None:
+        for out, name in zip(self.outs, self.names, strict=True):
+            out.close()
+            self.system.move(name + self.mark, name)
+
+
+def shard_writer(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Write rows sorted by shard and place to the shards' files; give ``shard, nth, key, n_tokens`` for each."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get()
-        shard, attempt = task.partitionId(), task.taskAttemptId()
-        system, base = opened(folder)
-        names = [f"{base}/{kind}-{shard:05d}.bin" for kind in ("tokens", "offsets")]
-        n, place, outs = 0, 0, []
+        files: ShardFiles | None = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            if not outs:
-                system.create_dir(base, recursive=True)
-                outs = [system.open_output_stream(f"{name}.{attempt}") for name in names]
-                outs[1].write(np.zeros(1, "<i8").tobytes())
-            flat, _ = bytetext.buffers(batch.column("ids"))
-            counts = batch.column("n_tokens").to_numpy(zero_copy_only=False)
-            outs[0].write(pa.py_buffer(np.ascontiguousarray(flat)))
-            ends = place + np.cumsum(counts)
-            outs[1].write(ends.astype("<i8").tobytes())
-            rows = len(counts)
-            columns = [
-                pa.array(np.full(rows, shard, np.int32)),
-                pa.array(np.arange(n, n + rows, dtype=np.int64)),
-                batch.column("key"),
-                batch.column("n_tokens"),
-            ]
-            n, place = n + rows, int(ends[-1])
-            yield pa.RecordBatch.from_arrays(columns, ["shard", "nth", "key", "n_tokens"])
-        for out, name in zip(outs, names, strict=False):
-            out.close()
-            system.move(f"{name}.{attempt}", name)
+            shards = batch.column("shard").to_numpy()
+            edges = np.flatnonzero(np.diff(shards)) + 1
+            for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(shards)], strict=True):
+                if lo == hi:
+                    continue
+                if files is None or files.shard != shards[lo]:
+                    if files:
+                        files.close()
+                    files = ShardFiles(folder, int(shards[lo]))
+                part, first = batch.slice(lo, hi - lo), files.documents
+                files.write(part.column("ids"), part.column("n_tokens").to_numpy(zero_copy_only=False))
+                nth = pa.array(np.arange(first, files.documents, dtype=np.int64))
+                columns = [part.column("shard"), nth, part.column("key"), part.column("n_tokens")]
+                yield pa.RecordBatch.from_arrays(columns, ["shard", "nth", "key", "n_tokens"])
+        if files:
+            files.close()
 
     return run
 
@@ -226,14 +267,15 @@ def write(
     folder: str | None = None,
     key: str = "doc_id",
     text: str = "text",
-    file_tokens: int = FILE_TOKENS,
+    file_bytes: int = FILE_BYTES,
 ) -> tuple[Corpus, DataFrame]:
     """Write all texts in ascending order of key as a corpus; also its index ``shard, nth, key, n_tokens``.
 
-    Texts are encoded where they lie and stored as ids; only ids are shuffled. They are
-    dealt by ranges of the key into files of about ``file_tokens`` ids and streamed to them in order, so
-    no task holds a file. The bases of the files are prefix sums over their counts, one
-    row a file.
+    Texts are encoded where they lie; only ids are shuffled, once, to the file that their key
+    belongs to. Files hold about ``file_bytes`` of text and are streamed to in order, so no
+    task holds one; where each begins is found from the sizes of a sample of rows.
+    The bases of the files are prefix sums over their counts, one row a file. A lost
+    executor costs the encoding of what it held; files are moved to their name when whole.
 
     A null or empty text is the end token alone. Null keys come first, rows of equal key
     in the order they are stored in, each with its own ids; a key with a third of all
@@ -246,12 +288,10 @@ def write(
     dtype = "<u2" if max(len(UnitTokenizer(tokenizer).ends_word) - 1, end_id) < 1 << 16 else "<u4"
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(text).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
-    run = encoder(tokenizer, end_id, dtype, LONG_TEXT)
-    encoded = store(rows.mapInArrow(run, f"row long, key {kind}, n_tokens long, ids binary"), "encoded")
-    total = encoded.agg(F.sum("n_tokens")).first()[0] or 0
-    files = max(1, -(-total // file_tokens))
-    ordered = encoded.repartitionByRange(files, "key", "row").sortWithinPartitions("key", "row").select("key", "n_tokens", "ids")
-    index = store(ordered.mapInArrow(shard_writer(folder, dtype), f"shard int, nth long, key {kind}, n_tokens long"), "index")
+    run = encoder(tokenizer, end_id, dtype, LONG_TEXT, file_bounds(rows, file_bytes))
+    encoded = rows.mapInArrow(run, f"shard int, row long, key {kind}, n_tokens long, ids binary")
+    ordered = encoded.repartition("shard").sortWithinPartitions("shard", "key", "row").drop("row")
+    index = store(ordered.mapInArrow(shard_writer(folder), f"shard int, nth long, key {kind}, n_tokens long"), "index")
     before = W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
     counts = index.groupBy("shard").agg(F.count("*").alias("documents"), F.sum("n_tokens").alias("tokens"))
     bases = counts.select("*", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"first_{c[:-1]}") for c in ("documents", "tokens")])

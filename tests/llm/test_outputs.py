@@ -33,10 +33,10 @@ def ordered(data: list[tuple]) -> list[tuple]:
     return sorted(data, key=lambda r: (r[0] is not None, r[0] or 0))
 
 
-@pytest.mark.parametrize("file_tokens", [1 << 25, 700])
-def test_token_files_hold_the_ids_in_order(spark, tmp_path, encode, file_tokens):
+@pytest.mark.parametrize("file_bytes", [1 << 27, 3000])
+def test_token_files_hold_the_ids_in_order(spark, tmp_path, encode, file_bytes):
     data = texts.rows()
-    corpus, index = token_files.write(texts.documents(spark, data), VOCABULARY, 2, folder=str(tmp_path / "c"), file_tokens=file_tokens)
+    corpus, index = token_files.write(texts.documents(spark, data), VOCABULARY, 2, folder=str(tmp_path / "c"), file_bytes=file_bytes)
     got = token_files.read(spark, corpus, index).collect()
     expected = [[*encode(r[1]), 2] for r in ordered(data)]
     by_key = Counter((r[0], tuple(ids)) for r, ids in zip(ordered(data), expected))
@@ -51,7 +51,7 @@ def test_token_files_hold_the_ids_in_order(spark, tmp_path, encode, file_tokens)
     again = token_files.Corpus.open(corpus.folder)
     whole = [i for ids in expected for i in ids]
     assert (again == corpus) and again.dtype == "<u2" and again.n_tokens == len(whole) and again.n_documents == len(data)
-    if file_tokens == 700:
+    if file_bytes == 3000:
         assert len(again.shards) > 5
     assert again.window(0, len(whole) + 5).tolist() == whole
     for start in (0, 1, 699, 1400, len(whole) - 1, len(whole)):
@@ -74,7 +74,7 @@ def test_token_files_of_long_texts_hot_keys_and_nothing(spark, encode, monkeypat
     assert len(pieces) > 20 and b"".join(pieces[: first[1]].to_pylist()) == long.encode() and np.diff(first)[1:3].tolist() == [1, 1]
     data = [(7, t) for t in ["a", "b c", None, "d"] * 20] + [(3, long), (None, "z")]
     docs = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
-    corpus, index = token_files.write(docs, VOCABULARY, 2, file_tokens=40)
+    corpus, index = token_files.write(docs, VOCABULARY, 2, file_bytes=40)
     got = token_files.read(spark, corpus, index).collect()
     assert Counter((r["key"], r["n_tokens"]) for r in got) == Counter((k, len(encode(t)) + 1) for k, t in data)
     assert len(corpus.shards) > 2
@@ -163,8 +163,12 @@ def test_audit_matches_brute_force(spark, filters):
     assert len(got) == 4 * len(list(permutations(filters))) * len(filters)
 
 
-def test_audit_of_awkward_texts(spark):
+@pytest.mark.parametrize("hot", [1000, 1])
+def test_audit_of_awkward_texts(spark, monkeypatch, hot):
+    monkeypatch.setattr(filter_audit, "HOT_TEXTS", hot)
     data = texts.rows()
+    data += [(2000 + i, "common text", "en", "s", 11, "clash", 7, 1, 2, "x", True, "y") for i in range(40)]
+    data += [(3000 + i % 3, "rarer text", "fr", "s", 11, "clash", 7, 1, 2, "x", True, "y") for i in range(9)]
     docs = texts.documents(spark, data)
     labels = spark.createDataFrame([(0,), (0,), (5,), (None,)], "doc_id long")
     filters = {"W": lambda m: m.where("n_words < 40"), "E": filter_audit.copies}
