@@ -22,6 +22,7 @@ from plumbline.llm.storing import releasing, store
 from plumbline.sources.shared import fresh_path
 
 PIECE_BYTES = 1 << 20
+HOT_TEXTS = 1000
 _SPACE = re.compile(rb"[ \t-\r]")
 _MARKS = re.compile(rb"[#$%&*|]")
 _CAPITALS = bytes(range(65, 91))
@@ -77,11 +78,18 @@ def measure(docs: DataFrame, key: str = "doc_id", text: str = "text", part: str
 def copies(measured: DataFrame) -> DataFrame:
     """Rows whose text a row of smaller key has too; a null key is neither smaller nor larger than any.
 
-    The least key of a text is pre-aggregated, and a text with a third of all rows meets
-    one row, so adaptive execution splits it.
+    The least key of a text is pre-aggregated. The ``HOT_TEXTS`` most repeated texts, as many
+    rows at most, are broadcast; any other has less than that part of the rows, and meets its least
+    key by a shuffle.
     """
-    least = measured.groupBy("digest").agg(F.min("key").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return measured.join(least, (measured["digest"] == least["digest"]) & (measured["key"] > least["least"]), "left_semi")
+    least = measured.groupBy("digest").agg(F.min("key").alias("least"), F.count("*").alias("n")).where("n > 1")
+    least = store(least, "copied")
+    hot = F.broadcast(least.orderBy(F.desc("n"), "digest").limit(HOT_TEXTS).select("digest", F.struct("least").alias("hot")))
+    met = measured.join(hot, "digest", "left")
+    common = met.where(F.col("key") > F.col("hot.least")).drop("hot")
+    others = met.where("hot IS NULL").drop("hot").alias("m")
+    later = (F.col("m.digest") == F.col("l.digest")) & (F.col("m.key") > F.col("l.least"))
+    return common.unionByName(others.join(least.alias("l"), later, "left_semi"))
 
 
 def id_tables(failing: dict[str, DataFrame]) -> DataFrame:
