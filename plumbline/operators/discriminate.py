@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, functions as F
 
 from plumbline.functions.arrays import KEY, LABEL
@@ -12,6 +14,7 @@ from plumbline.operators.modeling import coefficient_importance, fit_simple_mode
 from plumbline.operators.sampling import with_stratified_split
 from plumbline.sources.shared import materialize
 
+# Names of the metrics and models in the reference's results.
 METRICS = ("f1_score", "auc_pr", "recall", "precision", "accuracy")
 MODELS = {"logistic_regression": "logistic", "decision_tree": "tree"}
 
@@ -40,32 +43,50 @@ def _zero_metrics(df: DataFrame) -> DataFrame:
     )
 
 
-def usable_classes(matrix: DataFrame, label: str = LABEL) -> bool:
-    """Whether two classes have at least two rows each; one count per class is read."""
-    sizes = matrix.groupBy(label).count().where(F.col("count") > 1).count()
-    return sizes >= 2
+@dataclass
+class Split:
+    """Stored rows with ``is_train``, and the sizes of both classes, counted once for all models."""
+
+    rows: DataFrame
+    positives: int
+    others: int
+
+    @property
+    def usable(self) -> bool:
+        """Whether both classes have at least two rows."""
+        return min(self.positives, self.others) > 1
 
 
 def split_matrix(
     matrix: DataFrame, ratio: float = 0.8, seed: int = 42, label: str = LABEL, key: str = KEY
-) -> DataFrame:
+) -> Split:
     """The matrix with ``is_train``, written once for the passes of fitting and scoring."""
-    return materialize(with_stratified_split(matrix, ratio, seed, key, label), "explanation-matrix")
+    rows = materialize(with_stratified_split(matrix, ratio, seed, key, label), "explanation-matrix")
+    is_one = F.col(label) == 1
+    sizes = rows.agg(F.count_if(is_one).alias("positives"), F.count_if(~is_one).alias("others")).first()
+    return Split(rows, **sizes.asDict())
+
+
+def fit_and_score(
+    split: Split, features: list[str], kind: str = "logistic", label: str = LABEL
+) -> tuple[PipelineModel, DataFrame]:
+    """A simple model of the training rows, and ``(label, p, prediction)`` of the held-out ones."""
+    model = fit_simple_model(split.rows.where("is_train"), features, kind, label)
+    return model, score_model(model, split.rows.where("NOT is_train")).select(label, "p", "prediction")
 
 
 def train_and_evaluate(
-    split: DataFrame, features: list[str], kind: str = "logistic", label: str = LABEL
+    split: Split, features: list[str], kind: str = "logistic", label: str = LABEL
 ) -> tuple[DataFrame, DataFrame | None]:
     """``(metric, value)`` on the held-out part of ``split_matrix``, and coefficient
     importance for ``logistic``.
 
-    With fewer than two usable classes all metrics are 0.
+    With fewer than two usable classes all metrics are 0. The held-out rows are scored once.
     """
-    if not usable_classes(split, label):
-        return _zero_metrics(split), None
-    model = fit_simple_model(split.where("is_train"), features, kind, label)
-    scored = score_model(model, split.where("NOT is_train")).select(label, "p", "prediction")
-    importance = coefficient_importance(model, split, features) if kind == "logistic" else None
+    if not split.usable:
+        return _zero_metrics(split.rows), None
+    model, scored = fit_and_score(split, features, kind, label)
+    importance = coefficient_importance(model, split.rows, features) if kind == "logistic" else None
     return positive_class_metrics(scored, label=label), importance
 
 

@@ -7,6 +7,8 @@ the task that holds the rows. The long forms (``perturb_single``,
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -18,6 +20,7 @@ from plumbline.functions.hashing import hash_key
 from plumbline.functions.vectors import (
     explode_positions,
     importance_ranks,
+    list_array,
     matrix_of,
     rank_at,
     rank_matrix,
@@ -166,37 +169,60 @@ def perturb_top_k(
     @F.arrow_udf(ArrayType(ArrayType(DoubleType())))
     def steps(x: pa.Array, phi: pa.Array, values: pa.Array) -> pa.Array:
         rows, new, ranks = matrix_of(x), matrix_of(values), rank_matrix(matrix_of(phi))
-        out = []
-        for i in range(len(rows)):
-            order = np.argsort(ranks[i], kind="stable")[int((ranks[i] == 0).sum()) :]
-            mixed = np.repeat(rows[i : i + 1], len(order), axis=0)
-            for k, j in enumerate(order):
-                mixed[k:, j] = new[i, j]
-            out.append(mixed.tolist())
-        return pa.array(out, pa.list_(pa.list_(pa.float64())))
+        width, count = rows.shape[1], (ranks > 0).sum(axis=1)
+        owner = np.repeat(np.arange(len(rows)), count)
+        k = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + 1
+        taken = (ranks[owner] > 0) & (ranks[owner] <= k[:, None])
+        inner = list_array(np.where(taken, new[owner], rows[owner]).reshape(-1, width))
+        offsets = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), inner)
 
     rows = explained.select(key, *keep, F.posexplode(steps("x", "phi", values)).alias("k0", "x"))
     return rows.select(key, *keep, (F.col("k0") + 1).alias("k"), "x")
 
 
+def replace_each(score, x: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of ``x``, and with each feature replaced in turn, by any batch function."""
+    rows, out = x.copy(), np.zeros(x.shape)
+    for j in range(x.shape[1]):
+        rows[:, j] = new[:, j]
+        out[:, j] = score(rows)
+        rows[:, j] = x[:, j]
+    return score(x), out
+
+
+def replace_in_order(score, x: np.ndarray, new: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of ``x``, and after replacing the features of rank 1, 2, ... by any batch function."""
+    rows, out = x.copy(), np.zeros(x.shape)
+    for k in range(1, x.shape[1] + 1):
+        np.copyto(rows, new, where=ranks == k)
+        out[:, k - 1] = score(rows) if len(rows) else 0.0
+    return score(x), out
+
+
+def replacement_functions(scorer, space: str):
+    """The scorer's own functions of replaced features, or plain scoring of every replacement."""
+    if hasattr(scorer, "replacement_functions"):
+        return scorer.replacement_functions(space)
+    score = scorer.batch_function(space)
+    return partial(replace_each, score), partial(replace_in_order, score)
+
+
 def fidelity_curve(
     explained: DataFrame, scorer, values: Column, space: str = "p", key: str = KEY
 ) -> DataFrame:
     """``(id, k, loss)``: squared change after replacing the top k features.
 
     The features of a whole batch are replaced rank by rank and scored at once, in the
-    task that holds the rows.
+    task that holds the rows; tree ensembles score only the trees a feature splits.
     """
-    score = explained.sparkSession.sparkContext.broadcast(scorer.batch_function(space))
+    in_order = explained.sparkSession.sparkContext.broadcast(replacement_functions(scorer, space)[1])
 
     @F.arrow_udf(ArrayType(DoubleType()))
     def losses(x: pa.Array, phi: pa.Array, values: pa.Array) -> pa.Array:
-        rows, new, ranks = matrix_of(x).copy(), matrix_of(values), rank_matrix(matrix_of(phi))
-        start, count = score.value(rows), (ranks > 0).sum(axis=1)
-        out = np.zeros(rows.shape)
-        for k in range(1, rows.shape[1] + 1):
-            np.copyto(rows, new, where=ranks == k)
-            out[:, k - 1] = (start - score.value(rows)) ** 2 if len(rows) else 0.0
+        rows, ranks = matrix_of(x), rank_matrix(matrix_of(phi))
+        start, after = in_order.value(rows, matrix_of(values), ranks)
+        out, count = (start[:, None] - after) ** 2, (ranks > 0).sum(axis=1)
         used = np.arange(rows.shape[1]) < count[:, None]
         offsets = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(out[used]))
@@ -244,6 +270,28 @@ def fold_impacts(ranks: np.ndarray, importance: np.ndarray, impact: np.ndarray)
     return aufc, np.where(flat, 0.0, r)
 
 
+def fidelity_of(
+    explained: DataFrame, scorer, stats: dict[str, list[float]], strategy: str = "mean", space: str = "p"
+) -> Column:
+    """Struct ``n, aufc, correlation`` of each row from its ``x`` and ``phi``, folded in the task that holds it.
+
+    ``n`` counts the explained features; ``random`` reads the ``donor`` of the row.
+    """
+    each = explained.sparkSession.sparkContext.broadcast(replacement_functions(scorer, space)[0])
+
+    @F.arrow_udf("struct<n:int,aufc:double,correlation:double>")
+    def folded(x: pa.Array, phi: pa.Array, values: pa.Array) -> pa.Array:
+        importance = np.abs(matrix_of(phi))
+        ranks = rank_matrix(importance)
+        start, after = each.value(matrix_of(x), matrix_of(values))
+        aufc, r = fold_impacts(ranks, importance, np.abs(start[:, None] - after))
+        count = (ranks > 0).sum(axis=1).astype(np.int32)
+        columns = [pa.array(count), pa.array(aufc), pa.array(r, mask=np.isnan(r))]
+        return pa.StructArray.from_arrays(columns, ["n", "aufc", "correlation"])
+
+    return folded("x", "phi", replacement_values(strategy, stats))
+
+
 def analyze_fidelity(
     explained: DataFrame,
     scorer,
@@ -254,27 +302,10 @@ def analyze_fidelity(
 ) -> DataFrame:
     """``(id, aufc, correlation)`` of every explained row.
 
-    The same numbers as ``row_fidelity`` of ``feature_impacts``, folded in the task
-    that holds the row: features are replaced one after the other for a whole batch,
-    scored, and only the row's two numbers leave. Only ``random`` needs a join.
+    The same numbers as ``row_fidelity`` of ``feature_impacts``: features are replaced one
+    after the other for a whole batch, scored, and only the row's two numbers leave. Tree
+    ensembles follow only the rows that a replaced value turns. Only ``random`` needs a join.
     """
     rows = with_donors(explained, key=key) if strategy == "random" else explained
-    score = explained.sparkSession.sparkContext.broadcast(scorer.batch_function(space))
-
-    @F.arrow_udf("struct<n:int,aufc:double,correlation:double>")
-    def folded(x: pa.Array, phi: pa.Array, values: pa.Array) -> pa.Array:
-        rows, new, importance = matrix_of(x).copy(), matrix_of(values), np.abs(matrix_of(phi))
-        ranks, start = rank_matrix(importance), score.value(rows)
-        impact = np.zeros(rows.shape)
-        for j in range(rows.shape[1]):
-            kept = rows[:, j].copy()
-            rows[:, j] = new[:, j]
-            impact[:, j] = np.abs(start - score.value(rows))
-            rows[:, j] = kept
-        aufc, r = fold_impacts(ranks, importance, impact)
-        count = (ranks > 0).sum(axis=1).astype(np.int32)
-        columns = [pa.array(count), pa.array(aufc), pa.array(r, mask=np.isnan(r))]
-        return pa.StructArray.from_arrays(columns, ["n", "aufc", "correlation"])
-
-    found = rows.select(key, folded("x", "phi", replacement_values(strategy, stats)).alias("f"))
+    found = rows.select(key, fidelity_of(explained, scorer, stats, strategy, space).alias("f"))
     return found.where("f.n > 0").select(key, "f.aufc", "f.correlation")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plumbline.functions.arrays import LABEL
 from plumbline.functions.guards import ratio
@@ -31,6 +31,37 @@ def confusion_counts(
     )
 
 
+def score_counts(
+    scored: DataFrame, prediction: str = "prediction", score: str = "p", label: str = LABEL
+) -> DataFrame:
+    """``(score, actual, guess, n)``, written once: all that metrics and curves need of scored rows.
+
+    ``scored`` is executed once here and not again, whatever is read from the counts. Rows
+    are counted in the map tasks, so a score that a third of them share is one row a task.
+    """
+    counts = scored.groupBy(
+        F.col(score).alias("score"), (F.col(label) == 1).alias("actual"), (F.col(prediction) == 1).alias("guess")
+    ).agg(F.count("*").alias("n"))
+    return materialize(counts, "score-counts")
+
+
+def counted_confusion(counts: DataFrame) -> DataFrame:
+    """``confusion_counts`` from ``score_counts``."""
+    cells = {"tn": "NOT actual AND NOT guess", "fp": "NOT actual AND guess", "fn": "actual AND NOT guess", "tp": "actual AND guess"}
+    return counts.agg(*[F.coalesce(F.sum(F.when(F.expr(w), F.col("n"))), F.lit(0)).alias(c) for c, w in cells.items()])
+
+
+def counted_areas(counts: DataFrame) -> DataFrame:
+    """``curve_areas`` from ``score_counts``."""
+    known = counts.where(F.col("score").isNotNull() & ~F.isnan("score"))
+
+    def total(of: Column) -> Column:
+        return F.sum(F.when(of, F.col("n")).otherwise(0))
+
+    sides = known.groupBy("score").agg(total(F.col("actual")).alias("pos"), total(~F.col("actual")).alias("neg"))
+    return areas_of(running_curve(sides))
+
+
 def confusion_matrix(
     scored: DataFrame, prediction: str = "prediction", label: str = LABEL
 ) -> DataFrame:
@@ -75,9 +106,6 @@ def score_curve(scored: DataFrame, score: str = "p", label: str = LABEL) -> Data
     """``(score, pos, neg, tp, fp)``: counts at and running counts down to each distinct score.
 
     Scores are any numbers and tie only when equal; null and NaN scores are left out.
-    They are counted first, then dealt into ranges of about equally many distinct
-    scores; running counts are taken inside a range and shifted by the totals of the
-    ranges above. The ranges are written once, so that both steps see the same ones.
     """
     counts = (
         scored.where(F.col(score).isNotNull() & ~F.isnan(score))
@@ -87,6 +115,16 @@ def score_curve(scored: DataFrame, score: str = "p", label: str = LABEL) -> Data
             F.count_if(F.col(label) != 1).alias("neg"),
         )
     )
+    return running_curve(counts)
+
+
+def running_curve(counts: DataFrame) -> DataFrame:
+    """``(score, pos, neg, tp, fp)`` from distinct ``(score, pos, neg)``.
+
+    Scores are dealt into ranges of about equally many of them; running counts are taken
+    inside a range and shifted by the totals of the ranges above. The ranges are
+    written once, so that both steps see the same ones.
+    """
     ranges = counts.repartitionByRange(F.desc("score")).withColumn("interval", F.spark_partition_id())
     counts = materialize(ranges, "score-ranges")
     above = Window.orderBy("interval").rowsBetween(Window.unboundedPreceding, -1)
@@ -116,12 +154,16 @@ def curve_areas(scored: DataFrame, score: str = "p", label: str = LABEL) -> Data
     point's precision; ``average_precision`` is the step sum. Null if a class
     is absent.
     """
-    curve = score_curve(scored, score, label)
+    return areas_of(score_curve(scored, score, label))
+
+
+def areas_of(curve: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Areas under running curves ``(by…, pos, neg, tp, fp)``, one row for each ``by``."""
     tp, fp, pos, neg = (F.col(c).cast("double") for c in ("tp", "fp", "pos", "neg"))
     before_tp, before_fp = tp - pos, fp - neg
     precision = tp / (tp + fp)
     before = F.coalesce(F.try_divide(before_tp, before_tp + before_fp), precision)
-    sums = curve.agg(
+    sums = curve.groupBy(*by).agg(
         F.sum(pos).alias("p"),
         F.sum(neg).alias("n"),
         F.sum(neg * (tp + before_tp) / 2).alias("roc"),
@@ -129,6 +171,7 @@ def curve_areas(scored: DataFrame, score: str = "p", label: str = LABEL) -> Data
         F.sum(pos * precision).alias("ap"),
     )
     return sums.select(
+        *by,
         F.try_divide("roc", F.col("p") * F.col("n")).alias("auc_roc"),
         F.try_divide(F.col("pr"), F.when(F.col("n") > 0, F.col("p"))).alias("auc_pr"),
         F.try_divide(F.col("ap"), F.col("p")).alias("average_precision"),
@@ -154,8 +197,12 @@ def rank_sum_area(scored: DataFrame, score: str = "p", label: str = LABEL) -> Da
 def positive_class_metrics(
     scored: DataFrame, prediction: str = "prediction", score: str = "p", label: str = LABEL
 ) -> DataFrame:
-    """``(metric, value)``: F1, average precision, recall, precision and accuracy for class 1."""
-    at_class = class_metrics(confusion_counts(scored, prediction, label)).select(
+    """``(metric, value)``: F1, average precision, recall, precision and accuracy for class 1.
+
+    The rows are scored and counted in one pass, which both the confusion and the curve read.
+    """
+    counts = score_counts(scored, prediction, score, label)
+    at_class = class_metrics(counted_confusion(counts)).select(
         F.inline(
             F.array(
                 *[
@@ -170,7 +217,7 @@ def positive_class_metrics(
             )
         )
     )
-    area = curve_areas(scored, score, label).select(
+    area = counted_areas(counts).select(
         F.lit("auc_pr").alias("metric"),
         F.coalesce("average_precision", F.lit(0.0)).alias("value"),
     )

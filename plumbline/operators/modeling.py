@@ -2,11 +2,14 @@
 
 A scorer's ``score(df, x)`` adds ``margin`` and ``p`` (probability of class 1)
 to a DataFrame that has the features in an array column; ``batch_function``
-gives the same probability for a numpy matrix inside a task.
+gives the same probability for a numpy matrix inside a task. A scorer that knows how a
+replaced feature moves its score may offer ``replacement_functions``: functions of
+``(x, new)`` and ``(x, new, ranks)`` that give the scores of ``x`` and of each replacement.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -21,15 +24,17 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from plumbline.functions.arrays import KEY, LABEL
+from plumbline.functions.arrays import KEY, LABEL, vectorize
 from plumbline.functions.guards import sigmoid
 from plumbline.functions.vectors import matrix_of
-from plumbline.operators.profiling import describe, quartiles
+from plumbline.operators.metrics import areas_of
+from plumbline.operators.profiling import MOST_LABELS, describe, quartiles
 from plumbline.operators.sampling import with_fold
-from plumbline.operators.trees import Ensemble, ensemble_margins
-from plumbline.sources.shared import shared_dir
+from plumbline.operators.trees import Ensemble, ReplacementIndex, ensemble_margins, staged_margins
+from plumbline.sources.models import first_trees, load_ensemble, save_model
+from plumbline.sources.shared import fresh_path, materialize, shared_dir
 
 # Tuning names of the reference's settings and the nearest tree parameters.
 GRID_NAMES = {
@@ -41,6 +46,11 @@ GRID_NAMES = {
     "min_child_weight": "minInstancesPerNode",
     "gamma": "minInfoGain",
 }
+# Tuning names that Spark's trees have no counterpart of (penalties on leaf values).
+GRID_REFUSED = ("reg_alpha", "reg_lambda")
+
+SCORE_LEVELS = 1 << 14
+HELD_LEVELS = 1 << 20
 
 
 def linear_margins(bias, weights, means, stds, x: np.ndarray) -> np.ndarray:
@@ -53,6 +63,12 @@ def in_space(space: str, margins, x: np.ndarray) -> np.ndarray:
     return found if space == "margin" else 1.0 / (1.0 + np.exp(-found))
 
 
+def replaced_in_space(space: str, margins, *batch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scores before and after replacements in ``margin`` or ``p``."""
+    found = margins(*batch)
+    return found if space == "margin" else tuple(1.0 / (1.0 + np.exp(-m)) for m in found)
+
+
 def batch_scores(arrays):
     """Arrow function ``x -> p`` by a node table's arrays."""
 
@@ -117,6 +133,10 @@ class TreeScorer:
     def batch_function(self, space: str = "p"):
         return partial(in_space, space, partial(ensemble_margins, self.ensemble.margin_arrays()))
 
+    def replacement_functions(self, space: str = "p"):
+        index = ReplacementIndex.of(self.ensemble)
+        return tuple(partial(replaced_in_space, space, f) for f in (index.replace_each, index.replace_in_order))
+
 
 class GBTScorer(TreeScorer):
     """A fitted boosted-tree pipeline; rows are scored by Spark ML in the JVM."""
@@ -172,23 +192,99 @@ def fit_booster(
     return booster_pipeline(features, label, **params).fit(train)
 
 
+def staged_counter(arrays, levels: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows ``x, actual`` to counts ``n_trees, level, pos, neg`` of the scores by each prefix of the trees.
+
+    Counts of a task are merged as they come and sent on once ``HELD_LEVELS`` are held.
+    """
+
+    def merged(codes: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        distinct, which = np.unique(codes, return_inverse=True)
+        sums = [np.bincount(which, v, len(distinct)).astype(np.int64) for v in (pos, neg)]
+        return distinct, *sums
+
+    def out(codes: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> pa.RecordBatch:
+        columns = [(codes // (levels + 1) + 1).astype(np.int32), codes % (levels + 1), pos, neg]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["n_trees", "level", "pos", "neg"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 3
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            scores = in_space("p", partial(staged_margins, arrays), matrix_of(batch.column("x")))
+            codes = np.arange(scores.shape[1]) * (levels + 1) + np.floor(scores * levels).astype(np.int64)
+            actual = np.repeat(batch.column("actual").to_numpy(zero_copy_only=False).astype(np.int64), scores.shape[1])
+            parts = (codes.ravel(), actual, 1 - actual)
+            held = list(merged(*[np.concatenate(v) for v in zip(held, parts, strict=True)]))
+            if len(held[0]) > HELD_LEVELS:
+                yield out(*held)
+                held = [np.zeros(0, np.int64)] * 3
+        if len(held[0]):
+            yield out(*held)
+
+    return run
+
+
+def staged_areas(rows: DataFrame, ensemble: Ensemble, label: str = LABEL, levels: int = SCORE_LEVELS) -> DataFrame:
+    """``(n_trees, auc_roc, auc_pr, average_precision)`` of the ensemble's first tree, first two, and so on.
+
+    One pass over ``rows`` (with ``x``): the margins of all prefixes are running sums over
+    the trees of a row. Scores tie at a resolution of ``levels`` steps of the probability, so a
+    prefix is at most ``levels + 1`` counts, which are merged before they are shuffled.
+    """
+    arrays = ensemble.margin_arrays()
+    given = rows.select("x", (F.col(label) == 1).alias("actual"))
+    counts = given.mapInArrow(staged_counter(arrays, levels), "n_trees int, level long, pos long, neg long")
+    merged = counts.groupBy("n_trees", "level").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    down = Window.partitionBy("n_trees").orderBy(F.desc("level"))
+    curve = merged.select("*", F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"))
+    return areas_of(curve, ("n_trees",))
+
+
+def best_prefix(areas: list[float | None], patience: int) -> int:
+    """How many trees to keep: the best so far when ``patience`` more have not bettered it, or all have been seen."""
+    best, most = 1, -1.0
+    for n, area in enumerate(areas, 1):
+        if area is not None and area > most:
+            best, most = n, area
+        elif n - best >= patience:
+            break
+    return best
+
+
 def fit_with_early_stopping(
     train: DataFrame,
     features: list[str],
     validation: str = "is_validation",
-    tolerance: float = 0.01,
+    patience: int = 5,
+    metric: str = "auc_pr",
+    label: str = LABEL,
     **params,
-) -> PipelineModel:
-    """Stop adding trees when the error on the marked rows improves by less than ``tolerance``."""
-    return fit_booster(
-        train, features, validationIndicatorCol=validation, validationTol=tolerance, **params
-    )
+) -> tuple[PipelineModel, DataFrame]:
+    """The trees before the first ``patience`` that do not better ``metric`` on the marked rows, and all areas.
+
+    The learner cannot be stopped from outside, so all trees are fitted on the unmarked
+    rows, every prefix is measured in one pass over the marked ones, and the model is cut
+    to the chosen prefix. One row a tree reaches the driver.
+    """
+    spark = train.sparkSession
+    model = fit_booster(train.where(~F.col(validation)), features, label, **params)
+    path = save_model(model, fresh_path(spark, "model"))
+    held_out = vectorize(train.where(validation), features, (label,))
+    areas = materialize(staged_areas(held_out, load_ensemble(spark, path, model), label), "staged-areas")
+    found = [r[metric] for r in areas.orderBy("n_trees").collect()]
+    return first_trees(spark, path, best_prefix(found, patience)), areas
 
 
 def parameter_grid(booster: GBTClassifier, values: dict[str, list]) -> list[dict]:
+    """Every combination of the given values, by either naming; shares of columns become text."""
     builder = ParamGridBuilder()
     for name, options in values.items():
-        builder = builder.addGrid(booster.getParam(GRID_NAMES.get(name, name)), options)
+        if name in GRID_REFUSED:
+            raise ValueError(f"{name} has no counterpart: Spark's trees put no penalty on leaf values")
+        param = booster.getParam(GRID_NAMES.get(name, name))
+        builder = builder.addGrid(param, [str(v) for v in options] if param.name == "featureSubsetStrategy" else options)
     return builder.build()
 
 
@@ -201,18 +297,23 @@ def tune_booster(
     parallelism: int = 4,
     label: str = LABEL,
     key: str = KEY,
+    keep_models: bool = False,
     **params,
 ) -> CrossValidatorModel:
-    """Cross-validated search by area under PR; folds come from the row key."""
+    """Cross-validated search by exact area under PR; folds come from the row key.
+
+    With ``keep_models`` the model of every fold and setting is kept, so that areas can be recomputed.
+    """
     shared_dir(train.sparkSession)
     estimator = booster_pipeline(features, label, **params)
     search = CrossValidator(
         estimator=estimator,
         estimatorParamMaps=parameter_grid(estimator.getStages()[-1], grid),
-        evaluator=BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderPR"),
+        evaluator=BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderPR", numBins=0),
         numFolds=folds,
         foldCol="fold",
         parallelism=parallelism,
+        collectSubModels=keep_models,
     )
     return search.fit(with_fold(train, folds, seed, key))
 
@@ -232,8 +333,11 @@ def with_decision(scored: DataFrame, threshold: float = 0.8) -> DataFrame:
 
 
 def with_balanced_weight(df: DataFrame, label: str = LABEL, to: str = "weight") -> DataFrame:
-    """Row weight ``n / (2 n_class)``; one count per class reaches the driver."""
-    sizes = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}
+    """Row weight ``n / (2 n_class)``; one count per class reaches the driver, ``MOST_LABELS`` at most."""
+    found = df.groupBy(label).count().limit(MOST_LABELS + 1).collect()
+    if len(found) > MOST_LABELS:
+        raise ValueError(f"{label!r} has more than {MOST_LABELS} values; a label is wanted")
+    sizes = {r[label]: r["count"] for r in found}
     total = float(sum(sizes.values()))
     weight = F.lit(None).cast("double")
     for value, n in sizes.items():
@@ -246,7 +350,8 @@ def fit_simple_model(
 ) -> PipelineModel:
     """Balanced logistic regression, or a balanced tree of depth 3, on plain columns.
 
-    ``regParam = 1 / n`` is an L2 penalty with unit strength on the summed loss.
+    ``regParam = 1 / n`` is an L2 penalty with unit strength on the summed loss. The
+    regression stops after 100 rounds, next to the optimum (see ``certificates.loss_slopes``).
     Features with next to no variation (squared deviations summing to less than
     1e-9) are left out of the regression: under that penalty they could move no
     margin by more than about ``1e-9 sqrt(n)``, but the learner divides the penalty by

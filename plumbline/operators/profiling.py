@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
@@ -21,6 +23,11 @@ from plumbline.functions.arrays import (
 from plumbline.functions.guards import drop_nan
 from plumbline.operators.quantiles import exact_quantiles
 
+SHARE_DIGITS = 9
+MOMENT_BLOCK = 512
+GRID_BYTES = 64_000_000
+MOST_LABELS = 1000
+
 
 def _missing(df: DataFrame, c: str) -> Column:
     col = F.col(f"`{c}`")
@@ -196,49 +203,66 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     return spark.createDataFrame(rows, "col_a string, col_b string, r double")
 
 
+def column_tiles(n: int, block: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """All unordered pairs of ``n`` columns, as pairs of blocks of at most ``block`` columns."""
+    blocks = [np.arange(lo, min(lo + block, n)) for lo in range(0, n, block)]
+    return [(a, b) for i, a in enumerate(blocks) for b in blocks[i:]]
+
+
+def _doubles(df: DataFrame, columns: list[str], positions: np.ndarray, *keep: str) -> DataFrame:
+    """The columns at some positions as doubles, named by position."""
+    return df.select(*keep, *[F.col(f"`{columns[i]}`").cast("double").alias(f"_{i}") for i in positions])
+
+
 def pairwise_correlation(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """``(col_a, col_b, r)`` for every unordered pair, over the rows complete in both columns.
 
     Each task folds its rows into one set of co-moments by matrix products and
     emits a row per pair; the sums over tasks and the coefficient are a grouped
-    aggregate. Values are taken relative to the column's mean, held within its
-    range so that a constant column is exactly 0. Null where undefined.
+    aggregate. Columns are taken in tiles of ``MOMENT_BLOCK`` by as many, each of which reads its own
+    columns only, so a task holds the moments of one tile. Values are taken relative to
+    the column's mean, held within its range so that a constant column is exactly 0.
+    Null where undefined.
     """
     columns = _numeric(df, columns)
     limits = {r["column"]: r for r in describe(df, columns).collect()}
     shift = np.array([_centre(limits.get(c)) for c in columns])
-    first, second = np.triu_indices(len(columns), 1)
     sums = ["n", "a", "b", "ab", "aa", "bb"]
-    schema = "pair int, " + ", ".join(f"{s} double" for s in sums)
-
-    def fold(batches):
-        total = 0.0
-        for batch in batches:
-            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]) - shift
-            known = ~np.isnan(x)
-            x, known = np.where(known, x, 0.0), known.astype(float)
-            total = total + np.stack([known.T @ known, x.T @ known, x.T @ x, (x * x).T @ known])
-        if np.ndim(total):
-            n, own, product, square = total
-            parts = [
-                n[first, second],
-                own[first, second],
-                own[second, first],
-                product[first, second],
-                square[first, second],
-                square[second, first],
-            ]
-            pair = np.arange(len(first), dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (pair, *parts)], ["pair", *sums])
-
-    numbers = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns])
-    totals = numbers.mapInArrow(fold, schema).groupBy("pair").agg(*[F.sum(s).alias(s) for s in sums])
+    schema = "i int, j int, " + ", ".join(f"{s} double" for s in sums)
+
+    def folder(left: np.ndarray, right: np.ndarray):
+        first, second = (m.ravel() for m in np.meshgrid(left, right, indexing="ij"))
+        ordered = first < second
+        places = np.unique(np.concatenate([left, right]))
+        at, to = np.searchsorted(places, left), np.searchsorted(places, right)
+
+        def fold(batches):
+            total = 0.0
+            for batch in batches:
+                x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]) - shift[places]
+                known = ~np.isnan(x)
+                x, known = np.where(known, x, 0.0), known.astype(float)
+                xa, xb, ka, kb = x[:, at], x[:, to], known[:, at], known[:, to]
+                moments = [ka.T @ kb, xa.T @ kb, ka.T @ xb, xa.T @ xb, (xa * xa).T @ kb, ka.T @ (xb * xb)]
+                total = total + np.stack(moments)
+            if np.ndim(total):
+                cells = [m.ravel()[ordered] for m in total]
+                pairs = [v[ordered].astype(np.int32) for v in (first, second)]
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (*pairs, *cells)], ["i", "j", *sums])
+
+        return _doubles(df, columns, places).mapInArrow(fold, schema)
+
+    if len(columns) < 2:
+        return df.sparkSession.createDataFrame([], "col_a string, col_b string, r double")
+    parts = [folder(left, right) for left, right in column_tiles(len(columns), MOMENT_BLOCK)]
+    folded = reduce(DataFrame.unionByName, parts)
+    totals = folded.groupBy("i", "j").agg(*[F.sum(s).alias(s) for s in sums])
     n, a, b, ab, aa, bb = (F.col(s) for s in sums)
     spread_a, spread_b = aa - F.try_divide(a * a, n), bb - F.try_divide(b * b, n)
     r = F.try_divide(ab - F.try_divide(a * b, n), F.sqrt(spread_a) * F.sqrt(spread_b))
     return totals.select(
-        literal_names([columns[i] for i in first])[F.col("pair")].alias("col_a"),
-        literal_names([columns[j] for j in second])[F.col("pair")].alias("col_b"),
+        literal_names(columns)[F.col("i")].alias("col_a"),
+        literal_names(columns)[F.col("j")].alias("col_b"),
         F.when((n > 1) & ~F.isnan(r), r).alias("r"),
     )
 
@@ -255,9 +279,6 @@ def strong_correlations(
     return pairwise_correlation(df, columns).where(F.abs("r") >= threshold)
 
 
-SHARE_DIGITS = 9
-
-
 def bucket(value: Column, low: Column, high: Column, bins: int) -> Column:
     """Equal-width bucket from 0; the last one is closed, a constant falls into bucket 0.
 
@@ -321,64 +342,74 @@ def outlier_counts(
     return boxes.groupBy("column").agg(F.sum("n_outliers").alias("n_outliers"))
 
 
+def few_labels(df: DataFrame, label: str) -> int:
+    """How many values the label has; a column that is no label is refused by its name."""
+    n = df.select(label).where(F.col(label).isNotNull()).distinct().limit(MOST_LABELS + 1).count()
+    if n > MOST_LABELS:
+        raise ValueError(f"{label!r} has more than {MOST_LABELS} values; a label is wanted")
+    return n
+
+
 def scatter_bins(
     df: DataFrame, columns: list[str] | None = None, label: str = LABEL, bins: int = 10
 ) -> DataFrame:
     """``(col_a, col_b, label, bin_a, bin_b, n)`` for every column pair.
 
     Each task counts its rows into one grid per pair and label and emits the
-    occupied cells; a grouped sum adds the tasks up. Size depends on the columns
-    and bins, not on the rows.
+    occupied cells; a grouped sum adds the tasks up. Columns are taken in tiles, each of which reads
+    its own columns only: a task holds the grids of one tile, at most ``GRID_BYTES``,
+    whatever the number of columns and labels. Size depends on columns and bins, not on rows.
     """
     columns = [c for c in _numeric(df, columns) if c != label]
     found = {r["column"]: r for r in describe(df, columns).collect()}
     low = np.array([np.nan if found[c]["min"] is None else found[c]["min"] for c in columns])
     high = np.array([np.nan if found[c]["max"] is None else found[c]["max"] for c in columns])
-    first, second = np.triu_indices(len(columns), 1)
     cells = bins * bins
-
-    def fold(batches):
-        grids = {}
-        for batch in batches:
-            groups = batch.column(0).to_numpy(zero_copy_only=False)
-            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]])
-            with np.errstate(invalid="ignore", divide="ignore"):
-                step = np.where(high > low, (x - low) / (high - low), np.where(np.isnan(x), x, 0.0))
-            known = ~np.isnan(step)
-            share = np.round(np.round(np.where(known, step, 0.0), SHARE_DIGITS) * bins, SHARE_DIGITS - 3)
-            place = np.minimum(np.floor(share), bins - 1).astype(np.int64)
-            for group in np.unique(groups):
-                rows = groups == group
-                grid = grids.setdefault(group, np.zeros((len(first), cells), np.int64))
-                p, k = place[rows].T.copy(), known[rows].T.copy()
-                for pair, (i, j) in enumerate(zip(first, second)):
-                    both = k[i] & k[j]
-                    grid[pair] += np.bincount((p[i] * bins + p[j])[both], minlength=cells)
-        for group, grid in grids.items():
-            pair, cell = np.nonzero(grid)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.full(len(pair), group)).cast(group_type),
-                    pa.array(pair.astype(np.int32)),
-                    pa.array(cell.astype(np.int32)),
-                    pa.array(grid[pair, cell]),
-                ],
-                [label, "pair", "cell", "n"],
-            )
-
+    block = max(1, int((GRID_BYTES / (8 * cells * max(1, few_labels(df, label)))) ** 0.5))
     group_type = to_arrow_type(df.schema[label].dataType)
-    schema = StructType([df.schema[label]]).add("pair", "integer").add("cell", "integer").add("n", "long")
-    numbers = df.where(F.col(label).isNotNull()).select(
-        label, *[F.col(f"`{c}`").cast("double").alias(c) for c in columns]
-    )
-    counts = (
-        numbers.mapInArrow(fold, schema)
-        .groupBy("pair", label, "cell")
-        .agg(F.sum("n").alias("n"))
-    )
+    schema = StructType([df.schema[label]])
+    for name, kind in (("i", "integer"), ("j", "integer"), ("cell", "integer"), ("n", "long")):
+        schema = schema.add(name, kind)
+
+    def folder(left: np.ndarray, right: np.ndarray):
+        places = np.unique(np.concatenate([left, right]))
+        pairs = [(i, j) for i in left for j in right if i < j]
+        first, second = np.array(pairs, np.int32).reshape(-1, 2).T
+
+        def fold(batches):
+            grids = {}
+            least, most = low[places], high[places]
+            at, to = np.searchsorted(places, first), np.searchsorted(places, second)
+            for batch in batches:
+                groups = batch.column(0).to_numpy(zero_copy_only=False)
+                x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]])
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    step = np.where(most > least, (x - least) / (most - least), np.where(np.isnan(x), x, 0.0))
+                known = ~np.isnan(step)
+                share = np.round(np.round(np.where(known, step, 0.0), SHARE_DIGITS) * bins, SHARE_DIGITS - 3)
+                place = np.minimum(np.floor(share), bins - 1).astype(np.int64)
+                for group in np.unique(groups):
+                    rows = groups == group
+                    grid = grids.setdefault(group, np.zeros((len(first), cells), np.int64))
+                    p, k = place[rows].T.copy(), known[rows].T.copy()
+                    for pair, (i, j) in enumerate(zip(at, to)):
+                        both = k[i] & k[j]
+                        grid[pair] += np.bincount((p[i] * bins + p[j])[both], minlength=cells)
+            for group, grid in grids.items():
+                pair, cell = np.nonzero(grid)
+                columns = [pa.array(v) for v in (first[pair], second[pair], cell.astype(np.int32), grid[pair, cell])]
+                own = pa.array(np.full(len(pair), group)).cast(group_type)
+                yield pa.RecordBatch.from_arrays([own, *columns], schema.names)
+
+        return _doubles(df.where(F.col(label).isNotNull()), columns, places, label).mapInArrow(fold, schema)
+
+    tiles = [t for t in column_tiles(len(columns), block) if len(np.union1d(*t)) > 1]
+    if not tiles:
+        return df.sparkSession.createDataFrame([], f"col_a string, col_b string, `{label}` {df.schema[label].dataType.simpleString()}, bin_a int, bin_b int, n long")
+    counts = reduce(DataFrame.unionByName, [folder(*t) for t in tiles]).groupBy("i", "j", label, "cell").agg(F.sum("n").alias("n"))
     return counts.select(
-        literal_names([columns[i] for i in first])[F.col("pair")].alias("col_a"),
-        literal_names([columns[j] for j in second])[F.col("pair")].alias("col_b"),
+        literal_names(columns)[F.col("i")].alias("col_a"),
+        literal_names(columns)[F.col("j")].alias("col_b"),
         label,
         F.floor(F.col("cell") / bins).cast("int").alias("bin_a"),
         (F.col("cell") % bins).cast("int").alias("bin_b"),

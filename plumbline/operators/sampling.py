@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from plumbline.functions.arrays import KEY, LABEL
 from plumbline.functions.hashing import hash_key, uniform
@@ -58,12 +58,29 @@ def with_stratified_split(
 def balanced_sample(
     df: DataFrame, n: int = 50, seed: int = 42, key: str = KEY, label: str = LABEL
 ) -> DataFrame:
-    """``n`` rows of each class (all rows of a smaller class), in hash order, for any ``n``.
+    """``n`` rows of each class (all rows of a smaller class), in hash order, for any ``n``."""
+    hashed = df.withColumn("__h", hash_key(seed, F.col(key), "balance"))
+    return smallest_rows(hashed, n, "__h", label, key).select(*df.columns)
+
+
+def smallest_rows(df: DataFrame, n: int, hash_column: str, by: str, key: str = KEY) -> DataFrame:
+    """The ``n`` rows of each ``by`` with the smallest hash (of 52 bits), ties by key.
 
-    Rows are numbered in slices of the hash, so no class is sorted in one task.
+    Counts by the hash's magnitude, a few numbers a class that merge in the map tasks,
+    give the power of two below which each class still has ``n`` rows: about ``n`` to
+    ``2 n`` of them, more only where one key repeats. Only those rows pass the filter; they alone are shuffled
+    and numbered, in slices, so neither a class nor the sample is sorted in one task.
     """
-    hashed = df.withColumn("__h", hash_key(seed, F.col(key), "balance"))
-    return number_rows(hashed, "__h", "__r", [label], key).where(F.col("__r") <= n).select(*df.columns)
+    size = F.floor(F.log2(F.col(hash_column) + 1)).cast("int")
+    below = F.sum("__c").over(Window.partitionBy(by).orderBy("__size"))
+    counts = df.groupBy(by, size.alias("__size")).agg(F.count("*").alias("__c")).withColumn("__below", below)
+    bounds = counts.groupBy(by).agg(
+        F.coalesce(F.min(F.when(F.col("__below") >= n, F.col("__size"))), F.max("__size")).alias("__bound")
+    )
+    chosen = df.join(F.broadcast(bounds), by).where(size <= F.col("__bound"))
+    widened = F.col(hash_column) * F.pow(F.lit(2.0), 51 - F.col("__bound"))
+    ranked = number_rows(chosen.withColumn("__wide", widened), "__wide", "__r", [by], key)
+    return ranked.where(F.col("__r") <= n).select(*df.columns)
 
 
 def union_rows(a: DataFrame, b: DataFrame) -> DataFrame:

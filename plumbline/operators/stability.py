@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.functions.arrays import KEY
 from plumbline.functions.hashing import words
@@ -80,7 +80,7 @@ def mean_stability(pairs: DataFrame, top_k: tuple[int, ...] = TOP_K, key: str =
     return pairs.groupBy(key).agg(*[F.avg(c).alias(c) for c in names])
 
 
-def analyze_stability(
+def stability_of(
     explained: DataFrame,
     explainer,
     stds: list[float],
@@ -90,12 +90,8 @@ def analyze_stability(
     top_k: tuple[int, ...] = TOP_K,
     seed: int = 42,
     key: str = KEY,
-) -> DataFrame:
-    """``(id, cosine, jaccard_5, jaccard_10, jaccard_20)`` of every explained row.
-
-    The same numbers as ``mean_stability`` of ``pair_stability`` of ``explain_copies``,
-    folded in the task that holds the row: no copy leaves it.
-    """
+) -> Column:
+    """Struct of the mean similarities of each row's noisy copies to it; no copy leaves the task that holds the row."""
     if strategy not in NOISE:
         raise ValueError(f"unknown noise: {strategy}; use one of {', '.join(NOISE)}")
     given = "explained_class" in explained.columns
@@ -117,7 +113,17 @@ def analyze_stability(
 
     wanted = F.col("explained_class") if given else F.lit(0)
     first, second = (F.array(*side) for side in zip(*pairs, strict=True))
-    return explained.select(key, folded("x", "phi", first, second, wanted).alias("s")).select(key, "s.*")
+    return folded("x", "phi", first, second, wanted)
+
+
+def analyze_stability(explained: DataFrame, explainer, stds: list[float], key: str = KEY, **settings) -> DataFrame:
+    """``(id, cosine, jaccard_5, jaccard_10, jaccard_20)`` of every explained row.
+
+    The same numbers as ``mean_stability`` of ``pair_stability`` of ``explain_copies``.
+    ``settings`` are those of ``stability_of``.
+    """
+    found = stability_of(explained, explainer, stds, key=key, **settings)
+    return explained.select(key, found.alias("s")).select(key, "s.*")
 
 
 def align_explanations(

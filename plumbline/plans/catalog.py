@@ -7,6 +7,7 @@ engines.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -53,7 +54,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 BOOSTER = {"maxIter": 100, "maxDepth": 6}
-# Sizes of the fits of the catalogue; the booster that most queries read has the first.
+# Sizes of the fits of the catalogue; all boosters have the first, but those of the search.
 GRID = {"max_depth": [2, 4], "learning_rate": [0.1, 0.3], "min_child_weight": [1, 5]}
 GRID_TREES = 5
 AS_TEXT = "yyyy-MM-dd HH:mm:ss"
@@ -126,16 +127,48 @@ class Linear:
         )
 
 
-_MODELS: dict[tuple[str, str], str] = {}
+_ONCE: dict[tuple, object] = {}
 
 
+def once(make: Callable) -> Callable:
+    """What ``make`` trains, once for each session and data folder; by the first query that needs it."""
+
+    @functools.wraps(make)
+    def kept(spark: SparkSession, sf_dir: str):
+        slot = (spark.sparkContext.applicationId, make.__name__, sf_dir)
+        if slot not in _ONCE:
+            _ONCE[slot] = make(spark, sf_dir)
+        return _ONCE[slot]
+
+    return kept
+
+
+@once
 def trained_path(spark: SparkSession, sf_dir: str) -> str:
-    """The saved model of this session and data; trained by the first query that needs it."""
-    slot = (spark.sparkContext.applicationId, sf_dir)
-    if slot not in _MODELS:
-        table = stored(transactions, spark, sf_dir)
-        _MODELS[slot] = report.trained_model_path(table, FEATURES, **BOOSTER)
-    return _MODELS[slot]
+    """The saved model that most queries read."""
+    return report.trained_model_path(stored(transactions, spark, sf_dir), FEATURES, **BOOSTER)
+
+
+@once
+def searched(spark: SparkSession, sf_dir: str):
+    """The search over the grid with the models of all folds, and its rows."""
+    train = sampling.hash_split(stored(transactions, spark, sf_dir))[0]
+    return modeling.tune_booster(train, FEATURES, GRID, maxIter=GRID_TREES, keep_models=True), train
+
+
+@once
+def stopped_early(spark: SparkSession, sf_dir: str):
+    """A model cut by patience, the areas of all prefixes, and the rows that decided."""
+    marked = sampling.with_split(stored(transactions, spark, sf_dir), 0.8, to="keep")
+    rows = materialize(marked.withColumn("is_validation", ~F.col("keep")).drop("keep"), "validation")
+    model, areas = modeling.fit_with_early_stopping(rows, FEATURES, patience=5, **BOOSTER)
+    return model, areas, rows.where("is_validation")
+
+
+@once
+def training_results(spark: SparkSession, sf_dir: str):
+    """The training job at full size."""
+    return report.train(stored(transactions, spark, sf_dir), fresh_path(spark, "model"), **BOOSTER)
 
 
 class Boosted:
@@ -203,8 +236,7 @@ def persisted(spark, sf_dir):
 @query
 def model_round_trip(spark, sf_dir):
     table = stored(transactions, spark, sf_dir)
-    train = sampling.hash_split(table)[0]
-    model = modeling.fit_booster(train, FEATURES, maxIter=5, maxDepth=4)
+    model = models.load_model(trained_path(spark, sf_dir))
     path = models.save_model(model, fresh_path(spark, "model"))
     before = modeling.score_model(model, table).withColumnRenamed("p", "p_before")
     both = modeling.score_model(
@@ -496,10 +528,9 @@ def first_rows(spark, sf_dir):
 
 @query
 def hash_split(spark, sf_dir):
-    table = transactions(spark, sf_dir).select("id", "Class")
-    train, test = sampling.hash_split(table)
-    return sampling.union_rows(
-        train.withColumn("side", F.lit("train")), test.withColumn("side", F.lit("test"))
+    train, test = sampling.hash_split(transactions(spark, sf_dir))
+    return rounded(
+        sampling.union_rows(train.withColumn("side", F.lit("train")), test.withColumn("side", F.lit("test")))
     )
 
 
@@ -511,25 +542,24 @@ def validation_split(spark, sf_dir):
 
 @query
 def balanced_sample(spark, sf_dir):
-    return rounded(sampling.balanced_sample(transactions(spark, sf_dir)))
+    return rounded(sampling.balanced_sample(stored(transactions, spark, sf_dir)))
 
 
 @query
 def union_classes(spark, sf_dir):
-    table = transactions(spark, sf_dir).select("id", "Amount", "Class")
+    table = transactions(spark, sf_dir)
     fraud, rest = table.where("Class = 1"), table.where("Class = 0")
     return rounded(sampling.union_rows(fraud, rest))
 
 
 @query
 def stratified_split(spark, sf_dir):
-    table = stored(transactions, spark, sf_dir).select("id", "Class")
-    return sampling.with_stratified_split(table)
+    return rounded(sampling.with_stratified_split(stored(transactions, spark, sf_dir)))
 
 
 @query
 def fold_split(spark, sf_dir):
-    return sampling.with_fold(transactions(spark, sf_dir).select("id", "Class"))
+    return rounded(sampling.with_fold(transactions(spark, sf_dir)))
 
 
 # --- models and metrics -----------------------------------------------------------------
@@ -549,8 +579,7 @@ def booster_fit(spark, sf_dir):
 
 @query
 def cross_validation(spark, sf_dir):
-    train = sampling.hash_split(stored(transactions, spark, sf_dir))[0]
-    model = modeling.tune_booster(train, FEATURES, GRID, maxIter=GRID_TREES)
+    model, _ = searched(spark, sf_dir)
     settings = [
         ", ".join(f"{p.name}={v}" for p, v in sorted(m.items(), key=lambda e: e[0].name))
         for m in model.getEstimatorParamMaps()
@@ -561,15 +590,20 @@ def cross_validation(spark, sf_dir):
 
 @query
 def early_stopping(spark, sf_dir):
-    marked = sampling.with_split(stored(transactions, spark, sf_dir), 0.8, to="keep")
-    rows = marked.withColumn("is_validation", ~F.col("keep")).drop("keep")
-    model = modeling.fit_with_early_stopping(rows, FEATURES, maxIter=20, maxDepth=3)
-    scored = modeling.score_model(model, rows.where("is_validation"))
+    model, _, held_out = stopped_early(spark, sf_dir)
+    scored = modeling.score_model(model, held_out)
     return rounded(
         metrics.curve_areas(scored).withColumn("n_trees", F.lit(model.stages[-1].getNumTrees))
     )
 
 
+@query
+def staged_areas(spark, sf_dir):
+    """Areas of the booster's first tree, first two, and so on, over all rows."""
+    boosted = Boosted(spark, sf_dir)
+    return rounded(modeling.staged_areas(boosted.rows, boosted.scorer.ensemble))
+
+
 @query
 def batch_score(spark, sf_dir):
     model = models.load_model(trained_path(spark, sf_dir))
@@ -883,6 +917,14 @@ def boosted_fidelity(spark, sf_dir):
     return rounded(fidelity.analyze_fidelity(boosted.shap()[1], boosted.scorer, stats))
 
 
+@query
+def boosted_fidelity_curve(spark, sf_dir):
+    boosted = Boosted(spark, sf_dir)
+    values = fidelity.replacement_values("mean", boosted.stats())
+    curve = fidelity.fidelity_curve(boosted.shap()[1], boosted.scorer, values)
+    return rounded(fidelity.mean_curve(curve))
+
+
 @query
 def lime_fidelity(spark, sf_dir):
     boosted = Boosted(spark, sf_dir)
@@ -1027,9 +1069,12 @@ def raw_feature_baseline(spark, sf_dir):
 
 def _row_scores(spark, sf_dir) -> DataFrame:
     linear = Linear(spark, sf_dir)
-    fid = fidelity.analyze_fidelity(linear.explained, linear.scorer, linear.stats)
-    stab = stability.analyze_stability(linear.explained, linear.explainer, linear.stats["std"])
-    return fid.join(stab, "id")
+    rows = linear.explained.select(
+        "id",
+        fidelity.fidelity_of(linear.explained, linear.scorer, linear.stats).alias("f"),
+        stability.stability_of(linear.explained, linear.explainer, linear.stats["std"]).alias("s"),
+    )
+    return rows.where("f.n > 0").select("id", "f.aufc", "f.correlation", "s.*")
 
 
 SCORES = ["aufc", "correlation", "cosine", "jaccard_5", "jaccard_10", "jaccard_20"]
@@ -1063,6 +1108,6 @@ def lime_report(spark, sf_dir):
 
 @query
 def training_report(spark, sf_dir):
-    results = report.train(transactions(spark, sf_dir), fresh_path(spark, "model"), maxIter=5, maxDepth=4)
+    results = training_results(spark, sf_dir)
     parts = [unpivot_columns(results[k], results[k].columns, [], "metric") for k in ("metrics", "areas")]
     return rounded(parts[0].unionByName(parts[1]))

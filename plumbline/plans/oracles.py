@@ -277,6 +277,32 @@ def build() -> dict[str, str]:
     sql["model_nodes_check"] = f"SELECT {none_off}"
     sql["batch_score_check"] = _with([TX], f"SELECT count(*) AS n_rows, {none_off} FROM tx")
     sql["booster_evaluation_check"] = "SELECT 0 AS n_off"
+    sql["booster_fit_check"] = f"SELECT CAST(100 AS BIGINT) AS n_trees, {none_off}"
+    sql["early_stopping_check"] = "SELECT 100 AS n_fitted, 0 AS n_other_prefix, 0 AS n_off"
+    in_fold = f"CAST(floor({uniform('42', 'id', chr(39) + 'fold' + chr(39))} * 3) AS INTEGER)"
+    in_train = f"{uniform('42', 'id', chr(39) + 'split' + chr(39))} < 0.8"
+    sql["cross_validation_check"] = _with(
+        [TX], f"SELECT {in_fold} AS fold, count(*) AS n_rows, 8 AS n_settings, 0 AS n_off FROM tx WHERE {in_train} GROUP BY 1"
+    )
+    sql["logistic_check"] = f"SELECT CAST(0 AS BIGINT) AS n_sloping, {none_off}"
+    sql["shallow_tree_check"] = f"SELECT CAST(0 AS BIGINT) AS n_outvoted, {none_off}"
+    sql["coefficient_importance_check"] = f"SELECT {len(FEATURES)} AS n_features, 0 AS n_off"
+    sql["explain_by_method_check"] = _with(
+        [TX], f"SELECT method, count(*) AS n_rows, {none_off} FROM tx CROSS JOIN (VALUES ('shap'), ('lime')) m(method) GROUP BY method"
+    )
+    both_models = "(VALUES ('logistic_regression'), ('decision_tree')) m(model)"
+    sql["train_on_explanations_check"] = f"SELECT {none_off}"
+    sql["discriminative_power_check"] = f"SELECT model, {none_off} FROM {both_models}"
+    sql["model_comparison_check"] = f"SELECT CAST(10 AS BIGINT) AS n_values, {none_off}"
+    sql["raw_feature_baseline_check"] = (
+        f"SELECT inputs, model, {none_off} FROM {both_models} CROSS JOIN (VALUES ('explanations'), ('features')) i(inputs)"
+    )
+    sql["boosted_fidelity_check"] = _with([TX], f"SELECT count(*) AS n_rows, {none_off} FROM tx")
+    sql["boosted_curve_check"] = _with([TX], f"SELECT CAST({len(FEATURES)} * count(*) AS BIGINT) AS n_steps, {none_off} FROM tx")
+    sql["training_report_check"] = f"SELECT {none_off}"
+    sql["explanation_report_check"] = f"SELECT CAST(6 AS BIGINT) AS n_metrics, {none_off}"
+    sql["approx_distinct_counts_check"] = f"SELECT CAST({len(DIRTY_TYPES)} AS BIGINT) AS n_columns, {none_off}"
+    sql["boosted_importance_check"] = f"SELECT CAST({len(FEATURES)} AS BIGINT) AS n_features, {none_off}"
     sql["lime_check"] = _with([TX], f"SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_not_ten, {none_off} FROM tx")
     sql["tree_shap_additivity"] = _with([TX], "SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_off FROM tx")
     sql["scored_output"] = _with([LINEAR], f"SELECT id, {r('p', 'p')}, p >= 0.8 AS flagged FROM scored")
@@ -429,7 +455,7 @@ def build() -> dict[str, str]:
 
     sql["hash_split"] = _with(
         [TX],
-        f"SELECT id, Class, CASE WHEN {uniform('42', 'id', chr(39) + 'split' + chr(39))} < 0.8 THEN 'train' ELSE 'test' END AS side FROM tx",
+        f"SELECT id, {rounded_columns(FEATURES)}, Class, CASE WHEN {uniform('42', 'id', chr(39) + 'split' + chr(39))} < 0.8 THEN 'train' ELSE 'test' END AS side FROM tx",
     )
     sql["validation_split"] = _with(
         [TX],
@@ -441,18 +467,18 @@ def build() -> dict[str, str]:
         [TX, f"o AS (SELECT *, {order.format(hash_key('42', 'id', chr(39) + 'balance' + chr(39)))} AS n FROM tx)"],
         f"SELECT id, {rounded_columns(FEATURES)}, Class FROM o WHERE n <= 50",
     )
-    sql["union_classes"] = _with([TX], f"SELECT id, {r('Amount', 'Amount')}, Class FROM tx")
+    sql["union_classes"] = _with([TX], tx_all)
     sql["stratified_split"] = _with(
         [
             TX,
-            f"o AS (SELECT id, Class, {order.format(hash_key('42', 'id', chr(39) + 'strata' + chr(39)))} AS n, "
+            f"o AS (SELECT *, {order.format(hash_key('42', 'id', chr(39) + 'strata' + chr(39)))} AS n, "
             "count(*) OVER (PARTITION BY Class) AS total FROM tx)",
         ],
-        "SELECT id, Class, n <= floor(0.8 * total + 1e-9) AS is_train FROM o",
+        f"SELECT id, {rounded_columns(FEATURES)}, Class, n <= floor(0.8 * total + 1e-9) AS is_train FROM o",
     )
     sql["fold_split"] = _with(
         [TX],
-        f"SELECT id, Class, CAST(floor({uniform('42', 'id', chr(39) + 'fold' + chr(39))} * 3) AS INTEGER) AS fold FROM tx",
+        f"SELECT id, {rounded_columns(FEATURES)}, Class, CAST(floor({uniform('42', 'id', chr(39) + 'fold' + chr(39))} * 3) AS INTEGER) AS fold FROM tx",
     )
 
     sql["class_probabilities"] = _with(

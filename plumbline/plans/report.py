@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.ml import PipelineModel
@@ -22,7 +23,7 @@ from plumbline.operators.sampling import first_rows, with_split
 from plumbline.operators.shapley import TreeShap, global_importance
 from plumbline.operators.surrogate import Lime
 from plumbline.sources.models import load_ensemble, load_model, save_model
-from plumbline.sources.shared import fresh_path, materialize
+from plumbline.sources.shared import fresh_path, materialize, scratch
 from plumbline.sources.tables import write_table
 
 
@@ -42,6 +43,16 @@ def analyze(df: DataFrame, label: str = LABEL, correlation_threshold: float = 0.
     }
 
 
+def saved(job: Callable[..., dict], df: DataFrame, folder: str, *args, **settings) -> dict[str, str]:
+    """Run ``analyze``, ``train`` or ``explain`` and write every table it returns below ``folder``.
+
+    Intermediate tables of the job are deleted once the results are written.
+    """
+    with scratch(df.sparkSession):
+        results = job(df, *args, **settings)
+        return save_statistics({k: v for k, v in results.items() if isinstance(v, DataFrame)}, folder)
+
+
 def save_statistics(results: dict[str, DataFrame], folder: str) -> dict[str, str]:
     """Each table to its own parquet folder; returns the paths."""
     return {name: write_table(df, f"{folder}/{name}.parquet") for name, df in results.items()}
@@ -54,17 +65,31 @@ def train(
     seed: int = 42,
     grid: dict[str, list] | None = None,
     clean: bool = True,
+    patience: int | None = None,
+    validation: float = 0.2,
     label: str = LABEL,
     key: str = KEY,
     **params,
 ) -> dict[str, DataFrame | PipelineModel | str]:
-    """Clean, split, fit (or tune), score the held-out rows once, and save the model to ``path``."""
+    """Clean, split, fit (or tune), score the held-out rows once, and save the model to ``path``.
+
+    With ``patience`` a share ``validation`` of the training rows is kept aside, and the
+    trees after the best prefix are cut when that many more did not better it; ``stages``
+    then holds the areas of all prefixes.
+    """
+    if grid and patience:
+        raise ValueError("a search and early stopping at once are not supported; stop the chosen setting early")
     rows = cleaning.clean(df) if clean else df
-    rows = materialize(with_split(rows, ratio, seed, key), "training-rows")
-    features = [f for f in feature_columns(rows, label, key) if f != "is_train"]
-    train_rows = rows.where("is_train")
+    marked = with_split(with_split(rows, ratio, seed, key), ratio * (1 - validation), seed, key, "is_fitted")
+    rows = materialize(marked, "training-rows")
+    features = [f for f in feature_columns(rows, label, key) if f not in ("is_train", "is_fitted")]
+    train_rows, stages = rows.where("is_train"), {}
     if grid:
         model = modeling.tune_booster(train_rows, features, grid, label=label, key=key, **params).bestModel
+    elif patience:
+        held_out = train_rows.withColumn("is_validation", ~F.col("is_fitted"))
+        model, areas = modeling.fit_with_early_stopping(held_out, features, patience=patience, label=label, **params)
+        stages = {"stages": areas}
     else:
         model = modeling.fit_booster(train_rows, features, label, **params)
     save_model(model, path)
@@ -80,6 +105,7 @@ def train(
         "confusion": confusion,
         "metrics": metrics.class_metrics(confusion),
         "areas": metrics.curve_areas(scored, label=label),
+        **stages,
     }
 
 
@@ -127,6 +153,8 @@ def explain(
     n: int | None = None,
     repetitions: int = 5,
     seed: int = 42,
+    threshold: float = 0.8,
+    predictions: str | None = None,
     label: str = LABEL,
     key: str = KEY,
     **settings,
@@ -134,7 +162,10 @@ def explain(
     """Explain every row (or the first ``n`` by key) with a saved model and grade the explanations.
 
     Explanations are computed once and written to the shared folder; fidelity,
-    stability and discriminative power all read that table.
+    stability and discriminative power all read that table. A row's scores are folded side by
+    side in the task that holds it, so nothing is joined. ``predictions`` of the result are
+    the rows' probabilities and whether they reach ``threshold``; a path of that name
+    has them written there, as CSV or parquet by its ending.
     """
     spark = df.sparkSession
     scorer = load_scorer(spark, path)
@@ -144,22 +175,28 @@ def explain(
     chosen = df if n is None else first_rows(df, n, key)
     rows = vectorize(chosen, features, (key, label))
     explained = materialize(scorer.score(explainer.explain(rows)).drop("margin"), "explanations")
-    row_fidelity = fidelity.analyze_fidelity(explained, scorer, stats, key=key)
     curve = fidelity.mean_curve(
         fidelity.fidelity_curve(
             explained, scorer, fidelity.replacement_values("median", stats), key=key
         )
     )
-    row_stability = stab.analyze_stability(
-        explained, explainer, stats["std"], repetitions=repetitions, seed=seed, key=key
+    rows = explained.select(
+        key,
+        fidelity.fidelity_of(explained, scorer, stats).alias("f"),
+        stab.stability_of(explained, explainer, stats["std"], repetitions=repetitions, seed=seed, key=key).alias("s"),
     )
-    scores = materialize(row_fidelity.join(row_stability, key), "explanation-scores")
+    scores = rows.where("f.n > 0").select(key, "f.aufc", "f.correlation", "s.*")
+    scores = materialize(scores, "explanation-scores")
     names = ["aufc", "correlation", "cosine", *[f"jaccard_{k}" for k in stab.TOP_K]]
     power = discriminate.analyze_discriminative_power(
         discriminate.explanation_matrix(explained, features, (key, label)), features, seed, label, key
     )
+    decided = modeling.with_decision(explained, threshold).select(key, "p", "flagged")
+    if predictions:
+        write_table(decided, predictions)
     return {
         "explanations": explained,
+        "predictions": decided,
         "importance": global_importance(explained, features),
         "scores": scores,
         "means": metric_means(scores, names),

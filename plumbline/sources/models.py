@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.ml import PipelineModel
+from pyspark.ml.classification import GBTClassificationModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline.operators.trees import Ensemble
+from plumbline.sources.shared import fresh_path
 
 
 def save_model(model: PipelineModel, path: str) -> str:
@@ -17,6 +21,18 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
+def first_trees(spark: SparkSession, path: str, n: int) -> PipelineModel:
+    """The saved booster's first ``n`` trees as a pipeline of its own."""
+    model = load_model(path)
+    stage = f"{path.rstrip('/')}/stages/1_{model.stages[1].uid}"
+    short = fresh_path(spark, "booster")
+    for part, tree in (("treesMetadata", "_1"), ("data", "treeID")):
+        spark.read.parquet(f"{stage}/{part}").where(F.col(tree) < n).write.parquet(f"{short}/{part}")
+    about = json.loads(spark.read.text(f"{stage}/metadata").first()[0]) | {"numTrees": n}
+    spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.text(f"{short}/metadata")
+    return PipelineModel([model.stages[0], GBTClassificationModel.load(short)])
+
+
 def model_nodes(spark: SparkSession, path: str, model: PipelineModel | None = None) -> DataFrame:
     """Tree nodes of a saved assembler + boosted-trees pipeline.
 

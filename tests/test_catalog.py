@@ -3,11 +3,12 @@
 import pytest
 
 from checking import connect, difference
-from plumbline.plans.catalog import QUERIES
+from plumbline.plans import catalog
+from plumbline.plans.checks import CHECKS
 from plumbline.plans.oracles import ORACLES
 
-# Queries without SQL that are cheap enough to run here; the rest share their code.
-SMOKE = ["model_nodes", "booster_fit", "batch_score", "tree_shap", "boosted_importance", "lime", "training_report"]
+QUERIES = {**catalog.QUERIES, **CHECKS}
+NO_SQL = sorted(set(QUERIES) - set(ORACLES))
 
 
 @pytest.fixture(scope="module")
@@ -24,6 +25,10 @@ def test_query_equals_sql(spark, duck, sf_dir, name):
     assert difference(QUERIES[name](spark, sf_dir), duck.sql(ORACLES[name])) is None
 
 
-@pytest.mark.parametrize("name", SMOKE)
+def test_every_check_is_stated():
+    assert set(CHECKS) <= set(ORACLES)
+
+
+@pytest.mark.parametrize("name", NO_SQL)
 def test_query_returns_rows(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).count() > 0
