@@ -288,9 +288,10 @@ def write(
     dtype = "<u2" if max(len(UnitTokenizer(tokenizer).ends_word) - 1, end_id) < 1 << 16 else "<u4"
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(text).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
-    run = encoder(tokenizer, end_id, dtype, LONG_TEXT, file_bounds(rows, file_bytes))
+    bounds = file_bounds(rows, file_bytes)
+    run = encoder(tokenizer, end_id, dtype, LONG_TEXT, bounds)
     encoded = rows.mapInArrow(run, f"shard int, row long, key {kind}, n_tokens long, ids binary")
-    ordered = encoded.repartition("shard").sortWithinPartitions("shard", "key", "row").drop("row")
+    ordered = encoded.repartitionById(len(bounds) + 1, "shard").sortWithinPartitions("shard", "key", "row").drop("row")
     index = store(ordered.mapInArrow(shard_writer(folder), f"shard int, nth long, key {kind}, n_tokens long"), "index")
     before = W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
     counts = index.groupBy("shard").agg(F.count("*").alias("documents"), F.sum("n_tokens").alias("tokens"))
