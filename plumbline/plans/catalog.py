@@ -17,6 +17,7 @@ from plumbline.functions.arrays import (
     feature_columns,
     literal_array,
     literal_names,
+    shuffled,
     spread,
     unpivot_array,
     unpivot_columns,
@@ -444,7 +445,8 @@ def join_explanations(spark, sf_dir):
     linear = Linear(spark, sf_dir)
     phi = shapley.long_values(linear.explained, FEATURES)
     values = unpivot_columns(linear.table, FEATURES, ["id"], "feature")
-    return rounded(values.join(phi, ["id", "feature"]).select("id", "feature", "value", "phi"))
+    joined = shuffled(values).join(shuffled(phi), ["id", "feature"])
+    return rounded(joined.select("id", "feature", "value", "phi"))
 
 
 @query
