@@ -629,7 +629,7 @@ def batch_score_check(spark, sf_dir):
 def booster_evaluation_check(spark, sf_dir):
     """Areas of the booster's held-out scores against rank sums and plain running counts."""
     model = models.load_model(trained_path(spark, sf_dir))
-    test = sampling.hash_split(transactions(spark, sf_dir))[1]
+    test = sampling.hash_split(stored(transactions, spark, sf_dir))[1]
     scored = materialize(modeling.score_model(model, test).select("id", "Class", "p"), "scored-rows")
     by_ranks = metrics.rank_sum_area(scored).first()["by_ranks"]
     off = F.abs(F.col("auc_roc") - F.lit(by_ranks)) > 1e-9
@@ -639,7 +639,7 @@ def booster_evaluation_check(spark, sf_dir):
 @query
 def booster_evaluation(spark, sf_dir):
     model = models.load_model(trained_path(spark, sf_dir))
-    test = sampling.hash_split(transactions(spark, sf_dir))[1]
+    test = sampling.hash_split(stored(transactions, spark, sf_dir))[1]
     scored = modeling.score_model(model, test).select("id", "Class", "p", "prediction")
     scored = materialize(scored, "scored-rows")
     confusion = metrics.class_metrics(metrics.confusion_counts(scored))

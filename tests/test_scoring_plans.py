@@ -6,7 +6,7 @@ from plumbline.plans import catalog, report
 from plumbline.plans.standin import FEATURES
 
 
-@pytest.mark.parametrize("name", ["batch_score"])
+@pytest.mark.parametrize("name", ["batch_score", "booster_evaluation", "booster_evaluation_check"])
 def test_the_table_the_booster_was_trained_on_is_not_built_again(spark, sf_dir, monkeypatch, name):
     table = catalog.stored(catalog.transactions, spark, sf_dir)
     path = report.trained_model_path(table, FEATURES, maxIter=2, maxDepth=2)
