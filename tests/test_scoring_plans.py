@@ -27,7 +27,7 @@ def test_the_table_the_booster_was_trained_on_is_not_built_again(spark, sf_dir,
     assert found.count() == (table.count() if name == "batch_score" else found.distinct().count())
 
 
-@pytest.mark.parametrize("dense", [0, 4])
+@pytest.mark.parametrize("dense", [0, 11])
 def test_a_task_sends_each_tree_and_level_once_where_all_fit(monkeypatch, dense):
     nodes = []
     for tree in range(3):
@@ -37,7 +37,7 @@ def test_a_task_sends_each_tree_and_level_once_where_all_fit(monkeypatch, dense)
     rng, levels = np.random.default_rng(1), 16
     parts = [(rng.normal(size=(n, 2)), rng.random(n) < 0.4) for n in (200, 0, 300)]
     batches = [pa.RecordBatch.from_arrays([list_array(x), pa.array(y, pa.bool_())], ["x", "actual"]) for x, y in parts]
-    monkeypatch.setattr(modeling, "HELD_LEVELS", 13 if dense else 3)
+    monkeypatch.setattr(modeling, "HELD_LEVELS", 5 if dense else 3)
     monkeypatch.setattr(modeling, "DENSE_LEVELS", dense, raising=False)
     sent, found, want = [], Counter(), Counter()
     for batch in modeling.staged_counter(arrays, levels)(iter(batches)):
