@@ -52,6 +52,9 @@ GRID_REFUSED = ("reg_alpha", "reg_lambda")
 SCORE_LEVELS = 1 << 14
 HELD_LEVELS = 1 << 20
 DENSE_LEVELS = 4
+# Rows a task of a fit, and rows a core below which they stay as they lie.
+TASK_ROWS = 1_000_000
+EVEN_ROWS = 10_000
 
 
 def linear_margins(bias, weights, means, stds, x: np.ndarray) -> np.ndarray:
@@ -185,12 +188,28 @@ def booster_pipeline(features: list[str], label: str = LABEL, **params) -> Pipel
     )
 
 
+def dealt(rows: DataFrame, n_rows: int) -> DataFrame:
+    """Rows in equal parts, as many for each core, for a learner that passes over them hundreds of times.
+
+    Parts that lie unequally, or one more than there are cores, would leave cores waiting in each
+    pass. Small tables stay as they lie.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    if n_rows < cores * EVEN_ROWS:
+        return rows
+    return rows.repartition(cores * -(-n_rows // (cores * TASK_ROWS)))
+
+
 def fit_booster(
     train: DataFrame, features: list[str], label: str = LABEL, **params
 ) -> PipelineModel:
-    """Fit on the training rows; the shared folder bounds the lineage of the residuals."""
+    """Fit on the training rows; the shared folder bounds the lineage of the residuals.
+
+    The rows are assembled and dealt once, before the learner reads them.
+    """
     shared_dir(train.sparkSession)
-    return booster_pipeline(features, label, **params).fit(train)
+    assembler, learner = booster_pipeline(features, label, **params).getStages()
+    return PipelineModel([assembler, learner.fit(dealt(assembler.transform(train), train.count()))])
 
 
 def staged_counter(arrays, levels: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
