@@ -11,9 +11,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import partial
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
@@ -52,9 +54,10 @@ GRID_REFUSED = ("reg_alpha", "reg_lambda")
 SCORE_LEVELS = 1 << 14
 HELD_LEVELS = 1 << 20
 DENSE_LEVELS = 4
-# Rows a task of a fit, and rows a core below which they stay as they lie.
+# Rows a task of a fit, rows a core below which they stay as they lie, and rows that fits side by side hold.
 TASK_ROWS = 1_000_000
 EVEN_ROWS = 10_000
+SIDE_ROWS = 1 << 22
 
 
 def linear_margins(bias, weights, means, stds, x: np.ndarray) -> np.ndarray:
@@ -324,6 +327,42 @@ def parameter_grid(booster: GBTClassifier, values: dict[str, list]) -> list[dict
     return builder.build()
 
 
+class StoredFoldSearch(CrossValidator):
+    """A search whose folds are read from one stored table of assembled rows; its estimator is assembler and learner.
+
+    Nothing is cached for a fold, and settings are fitted side by side only as far as
+    ``SIDE_ROWS`` allows: a learner holds some 300 bytes a row while it runs, and one
+    fit of that many rows keeps all cores at work.
+    """
+
+    def _fit(self, dataset: DataFrame) -> CrossValidatorModel:
+        assembler, learner = self.getEstimator().getStages()
+        settings, judge, fold = self.getEstimatorParamMaps(), self.getEvaluator(), self.getFoldCol()
+        columns = [learner.getFeaturesCol(), learner.getLabelCol()]
+        n_rows = dataset.count()
+        rows = materialize(dealt(assembler.transform(dataset).select(*columns, fold), n_rows), "fold-rows")
+        found = {r[fold] for r in rows.select(fold).distinct().limit(self.getNumFolds() + 1).collect()}
+        if found != set(range(self.getNumFolds())):
+            raise ValueError(f"every fold from 0 to {self.getNumFolds() - 1} needs rows, and no others may be; found {found}")
+        scores, kept = [], []
+
+        def judged(i: int, setting: dict) -> tuple[float, PipelineModel]:
+            model = learner.fit(rows.where(F.col(fold) != i).select(*columns), setting)
+            return judge.evaluate(model.transform(rows.where(F.col(fold) == i))), PipelineModel([assembler, model])
+
+        with ThreadPool(max(1, min(self.getParallelism(), SIDE_ROWS // n_rows))) as pool:
+            for i in range(self.getNumFolds()):
+                task = inheritable_thread_target(rows.sparkSession)(partial(judged, i))
+                fitted = pool.map(task, settings, chunksize=1)
+                scores.append([score for score, _ in fitted])
+                kept.append([model for _, model in fitted])
+        means, spreads = np.mean(scores, axis=0), np.std(scores, axis=0)
+        best = int(np.argmax(means) if judge.isLargerBetter() else np.argmin(means))
+        model = PipelineModel([assembler, learner.fit(rows.select(*columns), settings[best])])
+        subs = kept if self.getCollectSubModels() else None
+        return self._copyValues(CrossValidatorModel(model, means.tolist(), subs, spreads.tolist()))
+
+
 def tune_booster(
     train: DataFrame,
     features: list[str],
@@ -342,7 +381,7 @@ def tune_booster(
     """
     shared_dir(train.sparkSession)
     estimator = booster_pipeline(features, label, **params)
-    search = CrossValidator(
+    search = StoredFoldSearch(
         estimator=estimator,
         estimatorParamMaps=parameter_grid(estimator.getStages()[-1], grid),
         evaluator=BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderPR", numBins=0),
@@ -414,6 +453,16 @@ def score_model(model: PipelineModel, df: DataFrame) -> DataFrame:
     return model.transform(df).withColumn("p", vector_to_array("probability")[1])
 
 
+def score_models(fitted: list[PipelineModel], df: DataFrame) -> DataFrame:
+    """``p``: an array of each fitted pipeline's probability, in one pass; all share the first one's assembler."""
+    scored = fitted[0].stages[0].transform(df)
+    for i, model in enumerate(fitted):
+        names = {"rawPredictionCol": f"__raw_{i}", "probabilityCol": f"__p_{i}", "predictionCol": f"__guess_{i}"}
+        own = model.stages[-1]
+        scored = own.transform(scored, {own.getParam(k): v for k, v in names.items()}).drop(f"__guess_{i}")
+    return scored.withColumn("p", F.array(*[vector_to_array(f"__p_{i}")[1] for i in range(len(fitted))]))
+
+
 def coefficient_importance(
     model: PipelineModel, df: DataFrame, features: list[str]
 ) -> DataFrame:

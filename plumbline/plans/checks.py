@@ -79,13 +79,12 @@ def cross_validation_check(spark, sf_dir):
     """Settings whose mean area over the folds differs from that of the folds' own models, scored again."""
     model, train = searched(spark, sf_dir)
     rows = materialize(sampling.with_fold(train, 3), "folds")
-    off = 0
-    for i, mean in enumerate(model.avgMetrics):
-        areas = []
-        for fold, subs in enumerate(model.subModels):
-            scored = modeling.score_model(subs[i], rows.where(F.col("fold") == fold)).select("Class", "p")
-            areas.append(metrics.curve_areas(scored).first()["auc_pr"])
-        off += abs(sum(areas) / len(areas) - mean) > 1e-9
+    areas = []
+    for fold, subs in enumerate(model.subModels):
+        scored = materialize(modeling.score_models(subs, rows.where(F.col("fold") == fold)).select("Class", "p"), "scored-folds")
+        each = [scored.select("Class", F.col("p")[i].alias("p")) for i in range(len(subs))]
+        areas.append([metrics.curve_areas(s).first()["auc_pr"] for s in each])
+    off = sum(abs(sum(found) / len(found) - mean) > 1e-9 for found, mean in zip(zip(*areas), model.avgMetrics, strict=True))
     sizes = rows.groupBy("fold").agg(F.count("*").alias("n_rows"))
     return sizes.select("fold", "n_rows", F.lit(len(model.avgMetrics)).alias("n_settings"), F.lit(int(off)).alias("n_off"))
 
